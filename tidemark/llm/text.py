@@ -16,6 +16,8 @@ PIECE = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For words without punctuation: all ASCII but letters and digits.
+PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -66,12 +68,12 @@ def pieces(buf: np.ndarray, off: np.ndarray, most: int = PIECE) -> Iterator[tupl
         a = b
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in order, and where each document's words begin, with the end last."""
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word in order, and where each document's words begin, with the end last. ``space``: the bytes between words."""
     n, docs = len(buf), len(off) - 1
     wide = np.full(n + docs, 32, np.uint8)  # a space after each document
-    wide[np.arange(n) + np.repeat(np.arange(docs), np.diff(off))] = LOWER[buf] if lower else buf
-    inside = np.concatenate([[False], ~SPACE[wide], [False]])
+    wide[np.arange(n) + np.repeat(np.arange(docs), np.diff(off))] = LOWER[buf]
+    inside = np.concatenate([[False], ~space[wide], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     first = np.searchsorted(start, off + np.arange(docs + 1))
