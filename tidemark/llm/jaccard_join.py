@@ -7,9 +7,10 @@ of n2 - k2 pieces of a part: similar sets share one for certain. A set also gets
 partners that are a little larger.
 
 Candidates share a signature and are then compared exactly. Equal sets are one node. In a group of sets that share a
-signature, each is first compared with one pivot; whatever is already in one component needs no more comparisons, and
-the rest is compared pair by pair, so no link that joins two components is lost and no group is expanded into all its
-pairs when it hangs together.
+signature, each is first compared with one pivot. Groups that are then in one component need no more comparisons. Those
+that are not form clusters, and what lies outside a cluster's largest component is compared with all of the cluster in
+blocks, which give edges between components only: no link that joins two components is lost, and no group is expanded
+into rows of pairs.
 """
 
 from __future__ import annotations
@@ -147,40 +148,99 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
 
     sets = scratch.save(texts_of.mapInArrow(shingles, "id long, s array<long>").dropDuplicates(["id"]), "shingles")
     labels = scratch.save(who.select("id", F.col("id").alias("label")), "labels")
-    tried, turn = None, 0
-    near = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    while True:
-        at = groups.join(labels, "id")
-        per = at.groupBy("key", "label").agg(F.count("*").alias("c"))
-        per = per.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("labels")).where("labels > 1")
-        open_keys = scratch.save(per, "open")
-        cross, rest = open_keys.agg(F.coalesce(F.sum((F.expr("double(all) * all") - F.col("sq")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not rest:
-            return labels
-        at = at.join(open_keys.select("key"), "key")
-        # by pivots while that is much less than all pairs between components; the exact rest ends it
-        last = cross <= 4 * rest or turn >= 12
-        if last:
-            other = at.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("to"))
-            pairs = at.join(other, "key").where("id < y and label <> to")
-        else:
-            order = F.col("id") if turn == 0 else F.xxhash64("label", F.lit(turn), "id")
-            pivot = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("p")).select("key", "p.y", "p.m", "p.to")
-            pairs = at.join(pivot, "key").where("label <> to")
-        pairs = pairs.where(near).groupBy(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).agg(F.min("n").alias("n"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-        both = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
-        judged = scratch.save(both.select("x", "y", F.expr(f"{den} * common >= {num} * (size(sx) + size(sy) - common)").alias("linked")), "judged")
-        links = judged.where("linked").select("x", "y")
-        tried = judged.select("x", "y") if tried is None else tried.union(judged.select("x", "y"))
-        edges = links.join(labels.select(F.col("id").alias("x"), F.col("label").alias("a")), "x").join(labels.select(F.col("id").alias("y"), F.col("label").alias("b")), "y").select("a", "b")
-        joined = components(edges, scratch)
-        labels = scratch.save(labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-        turn += 1
-        if last:
-            return labels
+    # each against the first of its group, which joins nearly all of a group that hangs together
+    pivot = groups.groupBy("key").agg(F.min(F.struct(F.col("id").alias("y"), F.col("n").alias("m"))).alias("p")).select("key", "p.y", "p.m")
+    pairs = groups.join(pivot, "key").where("id <> y").where(f"{den} * least(n, m) >= {num} * greatest(n, m)").select(F.col("y").alias("x"), F.col("id").alias("y")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    links = both.where(den * common >= num * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = _joined(labels, links, scratch)
+    # groups of three or more in which some are not yet together
+    at = groups.join(labels, "id")
+    left = at.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).where("c > 2 and lo < hi")
+    left = scratch.save(left.select("key", "first"), "left")
+    if not left.limit(1).count():
+        return labels
+    loose = scratch.save(groups.join(left, "key").select("id", F.col("first")).distinct(), "loose")
+    cluster = components(loose.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch)
+    member = scratch.save(cluster.select("id", F.col("label").alias("cluster")).join(labels, "id"), "clusters")
+    return _joined(labels, _compared(member, sets, num, den, scratch), scratch)
+
+
+def _joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (id, label) after joining the labels of ``edges`` (a, b)."""
+    joined = components(edges, scratch)
+    return scratch.save(labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+
+
+#: Members of a cluster that a task compares with how many others.
+ROWS, COLUMNS = 256, 1024
+
+
+def _compared(member: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between labels for the links within clusters (id, cluster, label).
+
+    Those outside a cluster's largest component are compared with all of the cluster, block by block; a block gives at
+    most as many edges as it has labels.
+    """
+    sizes = member.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+    sizes = sizes.select("cluster", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / ROWS).cast("int").alias("rows"), F.ceil(F.col("all") / COLUMNS).cast("int").alias("columns"))
+    full = scratch.save(member.join(sizes, "cluster").where("rows > 0").join(sets, "id"), "members")
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    down = full.where("label <> main").select("cluster", own("rows", 1).alias("r"), every("columns").alias("c"), F.lit(0).alias("side"), "id", "label", "s")
+    across = full.select("cluster", every("rows").alias("r"), own("columns", 2).alias("c"), F.lit(1).alias("side"), "id", "label", "s")
+
+    def compare(batches):
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), strict=True):
+                if row[:3] != now:
+                    yield from _edges(held, num, den)
+                    now, held = row[:3], []
+                held.append((*row[3:6], np.asarray(row[6].values)))
+        yield from _edges(held, num, den)
+
+    keys = ["cluster", "r", "c"]
+    return scratch.save(down.union(across).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(compare, "a long, b long").distinct(), "edges")
+
+
+def _edges(held: list[tuple], num: int, den: int):
+    down, across = [h for h in held if h[0] == 0], [h for h in held if h[0] == 1]
+    if not down or not across:
+        return
+    size = np.array([len(h[3]) for h in down + across])
+    value, where = np.unique(np.concatenate([h[3] for h in down + across]), return_inverse=True)
+    owner, often = np.repeat(np.arange(len(size)), size), np.bincount(where)
+    place = np.cumsum(often > 1) - 1  # elements of one set only are never common
+    keep = often[where] > 1
+    owner, where, n = owner[keep], place[where[keep]], int((often > 1).sum())
+    common = np.zeros((len(down), len(across)), np.float32)
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    for lo in range(0, n, 4096):
+        a, b = np.searchsorted(where, (lo, lo + 4096))
+        has = np.zeros((len(size), min(4096, n - lo)), np.float32)
+        has[owner[a:b], where[a:b] - lo] = 1
+        common += has[: len(down)] @ has[len(down) :].T
+    linked = den * common >= num * (size[: len(down), None] + size[None, len(down) :] - common)
+    la, lb = np.array([h[2] for h in down]), np.array([h[2] for h in across])
+    linked &= la[:, None] != lb[None, :]
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in {(int(la[i]), int(lb[j])) for i, j in np.argwhere(linked)}:
+        p, q = top(x), top(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((x, y))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
 def near_duplicates_dropped(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
