@@ -162,7 +162,10 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
     if not left.limit(1).count():
         return labels
     loose = scratch.save(groups.join(left, "key").select("id", F.col("first")).distinct(), "loose")
-    cluster = components(loose.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch)
+    # firsts that share a member are tied to the least of them, so a member brings one edge and not one for each group
+    least = scratch.save(loose.groupBy("id").agg(F.min("first").alias("least")), "least")
+    ties = loose.join(least, "id").select("first", "least").where("first <> least").distinct().union(least.select("id", "least"))
+    cluster = components(ties.toDF("a", "b"), scratch)
     member = scratch.save(cluster.select("id", F.col("label").alias("cluster")).join(labels, "id"), "clusters")
     return _joined(labels, _compared(member, sets, num, den, scratch), scratch)
 
