@@ -32,9 +32,16 @@ from .text import U, mix
 
 BLOCK = 1 << 18
 #: Distinct words whose ids a worker remembers, and the longest that is worth it.
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 700_000, 40
 #: A space that white space or the end follows.
 ODD = re.compile(r" (?:\s|\Z)")
+#: Words that the pre-tokenizer cuts just where letters, marks and single line feeds meet.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(rf"[{_LETTERS}]+[.,;:!?]*(?:\n[{_LETTERS}]+[.,;:!?]*)*\n?")
+PART = re.compile(rf"[{_LETTERS}]+|[.,;:!?]+|\n")
+#: How byte-level vocabularies write each byte: printable Latin-1 as itself, the others in order from U+0100.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 WRITTEN = "kind string, part int, block int, ids binary, width int, first_id long, n_ids long, n_keys long, low long, high long, levels binary, bits binary, fingerprints binary, starts binary"
 
 
@@ -54,6 +61,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_word = "ByteLevel" in str(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -61,6 +69,28 @@ class Encoder:
             out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. Those of Latin letters, marks and line feeds go to the model by their parts."""
+        out: list[bytes | None] = [None] * len(words)
+        parts, model, kind, rest = self.parts, self.tokenizer.model, self.kind, []
+        if len(parts) > MEMO:
+            parts.clear()
+        for i, w in enumerate(words):
+            if not PLAIN.fullmatch(w):
+                rest.append(i)
+                continue
+            got = b""
+            for j, x in enumerate(PART.findall(w)):
+                x = " " + x if j == 0 else x
+                if (ids := parts.get(x)) is None:
+                    shown = "\u0120" + x[1:] if j == 0 and x.isascii() else x if x.isascii() and x != "\n" else "".join([SHOWN[c] for c in x.encode()])
+                    ids = parts[x] = np.array([t.id for t in model.tokenize(shown)], kind).tobytes()
+                got += ids
+            out[i] = got
+        for i, ids in zip(rest, self._ids([" " + words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if self.by_word and not ODD.search(t) else None for t in texts]
         memo, need = self.memo, set().union(*(own[1:] for own in cut if own))
@@ -68,7 +98,7 @@ class Encoder:
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list(need)
-        memo.update(zip(new, self._ids([" " + w for w in new]), strict=True))
+        memo.update(zip(new, self._words(new), strict=True))
         whole = iter(self._ids([own[0] if own else t for t, own in zip(texts, cut, strict=True)]))
         get = memo.__getitem__
         out = [first + b"".join(map(get, own[1:])) if own else first for first, own in zip(whole, cut, strict=True)]
