@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Documents fall into blocks of their source by hash. A source whose target is r times its size takes every block
-floor(r) times and, for the rest, blocks of a permutation until the words suffice; the last block is taken in part, in
-the order of a hash. The exact numbers of blocks that each source gives are split among the output shards by a tree: a
+floor(r) times and, for the rest, blocks of a permutation until the words suffice; of the last block only the documents
+that still fit. The exact numbers of blocks that each source gives are split among the output shards by a tree: a
 node divides its blocks between two halves of its shards by a multivariate hypergeometric draw, so a shard's mix is
 that of a random deal of all blocks. A shard then draws the next blocks of each source's permutation, so no two shards
 share a draw, and shuffles its rows by hash.
@@ -23,6 +23,8 @@ from .scratch import Scratch
 
 #: Most blocks of a source, and the documents that a block should hold at least.
 BLOCKS, LEAST = 4096, 16
+#: Passes that fill the block that a source takes in part.
+FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,18 +104,27 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, share: float = 1.0,
     blocks = scratch.save(blocks, "plan")
     hint = F.broadcast if blocks.count() <= 200_000 else (lambda df: df)
     counts = hint(sources.select("__key", "n_blocks"))
-    # in blocks that are taken in part: the words of the documents before, by hash
-    in_part = blocks.where("extra > 0 and extra < words").select("__key", "__block")
+    # in blocks that are taken in part: documents in the order of a hash while they fit, and again those that fit the rest
+    in_part = blocks.where("extra > 0 and extra < words").select("__key", "__block", "extra")
     place = F.pmod(F.xxhash64("id", F.lit(seed)), "n_blocks").cast("int").alias("__block")
-    own = rows.join(counts, "__key").select("id", "__size", "__key", place).join(hint(in_part), ["__key", "__block"])
+    left = rows.where("__size > 0").join(counts, "__key").select("id", "__size", "__key", place).join(hint(in_part), ["__key", "__block"])
+    left = scratch.save(left.groupBy("__key", "__block", "id").agg(F.sum("__size").alias("__size"), F.first("extra").alias("gap")), "part")
     order = Window.partitionBy("__key", "__block").orderBy(F.xxhash64("id", F.lit(seed + 2)), "id")
-    own = own.groupBy("__key", "__block", "id").agg(F.sum("__size").alias("__size")).withColumn("__middle", F.sum("__size").over(order) - F.col("__size") / 2).select("__key", "__block", "id", "__middle")
-    own = scratch.save(own, "middle")
+    chosen = []
+    for _ in range(FILLS):
+        tried = left.where("__size <= gap").withColumn("up_to", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        fits = scratch.save(tried.where("up_to <= gap").select("__key", "__block", "id", "up_to"), "fits")
+        chosen.append(fits)
+        used = fits.groupBy("__key", "__block").agg(F.max("up_to").alias("used"))
+        left = scratch.save(left.join(fits.select("__key", "__block", "id"), ["__key", "__block", "id"], "left_anti").join(used, ["__key", "__block"], "left").select("__key", "__block", "id", "__size", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "part")
+    own = chosen[0].select("id")
+    for more in chosen[1:]:
+        own = own.union(more.select("id"))
+    own = scratch.save(own.distinct().select(F.col("id").alias("__own")), "own")
     base = (full.withColumn("id", F.col("__id")) if keep_columns else rows).join(counts, "__key").withColumn("__block", F.pmod(F.xxhash64("id", F.lit(seed)), "n_blocks").cast("int"))
     base = base.join(hint(blocks), ["__key", "__block"])
-    n_own = own.count()
-    base = base.join((F.broadcast(own) if n_own <= 100_000 else own).withColumnRenamed("id", "__own"), (base["__key"] == own["__key"]) & (base["__block"] == own["__block"]) & (base["id"] == F.col("__own")), "left").drop(own["__key"]).drop(own["__block"])
-    again = F.when(F.col("extra") <= 0, 0).when(F.col("extra") >= F.col("words"), 1).when(F.col("__middle") <= F.col("extra"), 1).otherwise(0)
+    base = base.join(F.broadcast(own) if own.count() <= 100_000 else own, F.col("id") == F.col("__own"), "left")
+    again = F.when(F.col("extra") <= 0, 0).when(F.col("extra") >= F.col("words"), 1).when(F.col("__own").isNotNull(), 1).otherwise(0)
     base = base.withColumn("copies", F.when(F.col("source_size") > 0, F.col("full") + again).otherwise(0).cast("int"))
     out = [F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards")]
     return base.select(*([F.col(f"`{c}`") for c in docs.columns] if keep_columns else ["doc_id"]), *(c if not isinstance(c, str) else F.col(c) for c in out))
