@@ -40,7 +40,7 @@ def bits_for(keys: float) -> int:
     return int(max(4, min(24, np.ceil(np.log2(max(1.0, keys / BUCKET))))))
 
 
-def _pack(key, owner, place, bits: int, chunk: int) -> Iterator[pa.RecordBatch]:
+def _pack(key, owner, place, bits: int, width: int, chunk: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((owner, key))
     key, owner, place = key[order], owner[order], place[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -57,7 +57,7 @@ def _pack(key, owner, place, bits: int, chunk: int) -> Iterator[pa.RecordBatch]:
     key, owner, place, settled = key[keep], owner[keep], place[keep], several[keep]
     bucket = (key >> U(64 - bits)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    short = ((key << U(bits)) >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+    short = (((key << U(bits)) >> U(24)) if width == 5 else key).view(np.uint8).reshape(-1, 8)[:, :width]
     for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
         base = int(owner[a:b].min())
         rows.append((int(bucket[a]), False, base, short[a:b].tobytes(), narrow(owner[a:b] - base), narrow(place[a:b]), np.packbits(settled[a:b]).tobytes()))
@@ -65,7 +65,7 @@ def _pack(key, owner, place, bits: int, chunk: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), PACKED.types, strict=True)], schema=PACKED)
 
 
-def _settle(rows: list[dict], bits: int) -> Iterator[pa.RecordBatch]:
+def _settle(rows: list[dict], bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """Of one bucket: the keys with several owners."""
     direct, rows = [r for r in rows if r["direct"]], [r for r in rows if not r["direct"]]
     for r in direct:
@@ -73,33 +73,35 @@ def _settle(rows: list[dict], bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(wide(r["owners"]) + r["base"]), pa.array(wide(r["places"]).astype(np.int32))], schema=ROWS)
     if len(rows) < 2:
         return
-    short = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, 5) for r in rows])
+    short = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, width) for r in rows])
     full = np.zeros((len(short), 8), np.uint8)
-    full[:, :5] = short
+    full[:, :width] = short
     key = full.view(np.uint64).ravel()
     owner = np.concatenate([wide(r["owners"]) + r["base"] for r in rows])
     place = np.concatenate([wide(r["places"]) for r in rows])
-    settled = np.concatenate([np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=len(r["keys"]) // 5) for r in rows]).astype(bool)
+    settled = np.concatenate([np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=len(r["keys"]) // width) for r in rows]).astype(bool)
     order = np.argsort(key, kind="stable")
     key, owner, place, settled = key[order], owner[order], place[order], settled[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
     several = np.repeat(several, np.diff(np.concatenate([begin, [len(key)]]))) & ~settled
     if several.any():
-        out = (key[several] << U(24)) >> U(bits) | U(rows[0]["bucket"]) << U(64 - bits)
-        out &= ~U((1 << (24 - bits)) - 1) if bits < 24 else U(2**64 - 1)
+        out = key[several]
+        if width == 5:
+            out = (out << U(24)) >> U(bits) | U(rows[0]["bucket"]) << U(64 - bits)
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(owner[several]), pa.array(place[several].astype(np.int32))], schema=ROWS)
 
 
-def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keys: float) -> DataFrame:
+def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keys: float, exact: bool = False) -> DataFrame:
     """(key, owner, place) of every key that two owners or more have.
 
     ``emit`` gives keys (uint64, well mixed), owners (int64) and places (int64, under 2**31) of a batch. ``keys`` is
     about how many there are; it sets the number of buckets. Keys are told apart by 40 bits and the bucket's number,
-    so a few that are not shared may come too: callers compare what they stand for.
+    so a few that are not shared may come too: callers compare what they stand for. With ``exact`` all 64 bits go along.
     """
     bits = bits_for(keys)
-    low = ~U((1 << max(0, 24 - bits)) - 1)
+    width = 8 if exact else 5
+    low = U(2**64 - 1) if exact else ~U((1 << max(0, 24 - bits)) - 1)
 
     def send(batches):
         held, n, chunk = [], 0, 0
@@ -109,10 +111,10 @@ def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[n
                     held.append((key & low, owner.astype(np.int64), place.astype(np.int64)))
                     n += len(key)
                 if n >= CHUNK:
-                    yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, chunk)
+                    yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width, chunk)
                     held, n, chunk = [], 0, chunk + 1
         if n:
-            yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, chunk)
+            yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width, chunk)
 
     def settle(batches):
         bucket, rows = None, []
@@ -120,11 +122,11 @@ def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[n
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
                     if rows:
-                        yield from _settle(rows, bits)
+                        yield from _settle(rows, bits, width)
                     bucket, rows = row["bucket"], []
                 rows.append(row)
         if rows:
-            yield from _settle(rows, bits)
+            yield from _settle(rows, bits, width)
 
     parts = max(1 << bits, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.mapInArrow(send, PACKED_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, ROWS_DDL)

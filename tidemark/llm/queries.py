@@ -15,6 +15,7 @@ from .license_scan import licensed
 from .mixing import mixed
 from .quality import quality_scores
 from .sharding import sharded
+from .suffix_dedup import deduplicated
 from .token_store import stored
 from .vp_tree import neighbours
 
@@ -70,9 +71,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed(docs.select("doc_id", "text", path.alias("path")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op10_sampled_splitters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op9_suffix_dedup, op10_sampled_splitters)}
 ORACLE: dict[str, str] = {"op3_chat_format": chat_format.ORACLE}

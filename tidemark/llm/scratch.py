@@ -7,6 +7,7 @@ a local master: on a cluster executors could not read it, so that is an error.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Let Spark drop the shuffle files that no DataFrame needs any more; it looks when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def free(self, *saved: DataFrame) -> None:
         for df in saved:
             delete(self.spark, df.scratch_path)
