@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +56,22 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str, buckets: float, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """As ``save``, one file for each bucket of ``key``: joins on it then leave these rows where they are.
+
+        ``then`` is applied to the rows dealt out by ``key``.
+        """
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(buckets) + 1))
+        name = "tidemark_" + uuid.uuid4().hex[:12]
+        then(df.repartition(n, key)).write.option("compression", "zstd").option("path", self.path("bucketed")).bucketBy(n, key).sortBy(key).saveAsTable(name)
+        return self.spark.table(name)
+
     def sweep(self) -> None:
         """Let Spark drop the shuffle files that no DataFrame needs any more; it looks when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
     def free(self, *saved: DataFrame) -> None:
         for df in saved:

@@ -9,8 +9,9 @@ A match of ``length`` bytes holds the same local minimum of the identifiers of i
 only suffixes at such minima enter (one in about thirteen), by these steps, each over what the one before has left:
 
 1. their q-byte buckets that two documents share
-2. the bucket of all windows for which the suffix is the minimum; documents after the first of a bucket are settled
-3. the buckets of q bytes with 13 more on either side: a match has one of these
+2. the bucket of all windows for which the suffix is the minimum; documents after the first of a bucket are settled, and
+   that first one stands for them from here on
+3. of suffixes that are not settled, the buckets of q bytes with 13 more on either side: a match has one of these
 4. the windows of ``length`` bytes themselves
 
 A window counts as repeated if a smaller doc_id has it too. Identifiers have 64 bits: two different strings among n
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from .text import BYTE, U, mix, pieces, texts
 
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 Q = 24
+#: Text in a bucket of documents.
+BUCKET_BYTES = 32 << 20
 
 
 class Buckets:
@@ -91,19 +95,14 @@ class Piece:
             lo, hi = np.where(ok, s, lo), np.maximum(hi, np.where(ok, s, hi))
         return lo, hi
 
-
-def _whole(batch: pa.RecordBatch):
-    """id, text and lists of places of each row, in pieces: ids, starts, bytes, places (with their document)."""
-    ids = batch.column(0).to_numpy()
-    buf, off = texts(batch.column(1))
-    lists = batch.column(2) if batch.num_columns > 2 else None
-    for a, b, own, begin in pieces(buf, off):
-        if lists is None:
-            yield ids[a:b], own, begin, None, None
-            continue
-        part = lists.slice(a, b - a)
-        n = np.array([len(x) if x is not None else 0 for x in (v.values if v.is_valid else None for v in part)], np.int64)
-        yield ids[a:b], own, begin, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(b - a), n)
+    def inside(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places (each once) that are the minimum of some window, with their documents and the range of windows."""
+        ok = at + Q <= self.off[doc + 1]
+        at, first = np.unique(at[ok], return_index=True)
+        doc = doc[ok][first]
+        lo, hi = self.ranges(at, doc)
+        ok = lo <= hi
+        return at[ok], doc[ok], lo[ok], hi[ok]
 
 
 def removed_spans(text: bytes, marked: np.ndarray) -> tuple[int, int, str]:
@@ -121,117 +120,108 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     Rows of one id are one document, whose text is the least of theirs. An empty table gives an empty result. Other
     columns are not read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
+    scratch = Scratch(docs.sparkSession, "suffix")
     assert length >= Q + 26, "the steps are made for strings of 50 bytes or more"
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     density = 2.0 / (length - Q + 2)
+    # the texts move once, into buckets by id; each step then joins its places to them where they are
+    docs = scratch.bucketed(rows, "id", n_bytes / BUCKET_BYTES, lambda df: df.groupBy("id").agg(F.min("text").alias("text")))
+    scratch.sweep()
 
     def at_minima(batch):
-        for ids, own, begin, _, _ in _whole(batch):
+        for ids, own, begin in _placed(batch):
             p = Piece(own, begin, length)
             at, doc = p.minima()
             yield mix(p.h[at]), ids[doc], at - begin[doc]
 
-    places = lambda df, name: scratch.save(df.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias(name)), name)
-    cands = places(shared_keys(rows, at_minima, n_bytes * density).select("owner", "place").distinct(), "places")
-    scratch.sweep()
-    texts_of = rows.groupBy("id").agg(F.min("text").alias("text")).join(cands, "id", "left")
-    plain = F.col("places").isNull()
-    both = texts_of.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(plain, F.sha2("text", 256)).alias("sha"), F.when(plain, F.lit(None)).otherwise(F.col("text")).alias("text"), *([F.when(plain, F.col("text").cast("binary")).alias("same")] if with_text else []), "places")
-    both = scratch.save(both, "texts")
+    def places(df: DataFrame, name: str) -> DataFrame:
+        out = scratch.save(df.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias(name)), name)
+        scratch.sweep()
+        return out
+
+    cands = places(shared_keys(docs, at_minima, n_bytes * density).select("owner", "place"), "places")
+    n_cand = cands.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+
+    def around(batch):
+        for ids, own, begin, (place, doc) in _placed(batch):
+            p = Piece(own, begin, length)
+            at, doc, lo, hi = p.inside(place + begin[doc], doc)
+            end = hi + length
+            if len(at):
+                near = p.buckets.of(32)
+                key = near[lo] * A + near[np.minimum(lo + 32, end - 32)] * B + near[end - 32] * C + ((end - lo) * 256 + at - lo).astype(U)
+                yield mix(key), ids[doc], at - begin[doc]
+
+    met = scratch.save(shared_keys(docs.join(cands, "id"), around, n_cand, exact=True), "met")
     scratch.sweep()
-    n_cand = both.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    first = met.groupBy("key").agg(F.min("owner").alias("first"))
+    settled = places(met.join(first, "key").where("owner > first").select("owner", "place"), "settled")
 
-    def refined(batch):
-        for ids, own, begin, place, doc in _whole(batch):
+    def either_side(batch):
+        for ids, own, begin, (place, doc), (done, of) in _placed(batch):
             p = Piece(own, begin, length)
-            at = place + begin[doc]
-            ok = at + Q <= begin[doc + 1]
-            at, doc = at[ok], doc[ok]
-            lo, hi = p.ranges(at, doc)
-            ok = lo <= hi
-            at, doc, lo, end = at[ok], doc[ok], lo[ok], hi[ok] + length
-            if not len(at):
-                continue
-            near, rel = p.buckets.of(32), at - begin[doc]
-            around = near[lo] * A + near[np.minimum(lo + 32, end - 32)] * B + near[end - 32] * C + ((end - lo) * 256 + at - lo).astype(U)
-            yield mix(around), ids[doc], rel * 4
-            longer = p.buckets.of(Q + 13)
+            at, doc, lo, hi = p.inside(place + begin[doc], doc)
+            left = ~np.isin(at, done + begin[of])
+            at, doc, lo, hi = at[left], doc[left], lo[left], hi[left]
+            longer, place = p.buckets.of(Q + 13), (at - begin[doc]) * 2
             ok = at - 13 >= begin[doc]
-            yield mix(longer[at[ok] - 13] + A), ids[doc[ok]], rel[ok] * 4 + 1
+            yield mix(longer[at[ok] - 13] + A), ids[doc[ok]], place[ok]
             ok = at + Q + 13 <= begin[doc + 1]
-            yield mix(longer[at[ok]] + B), ids[doc[ok]], rel[ok] * 4 + 2
+            yield mix(longer[at[ok]] + B), ids[doc[ok]], place[ok] + 1
 
-    source = both.where("places is not null").select("id", "text", "places")
-    met = scratch.save(shared_keys(source, refined, 3.0 * n_cand, exact=True), "met")
-    first = met.where("place % 4 = 0").groupBy("key").agg(F.min("owner").alias("first"))
-    settled = met.where("place % 4 = 0").join(first, "key").where("owner > first").select("owner", "place")
-    marks = places(settled.union(met.where("place % 4 > 0").select("owner", "place")).distinct(), "marks")
-    scratch.sweep()
+    open_ = places(shared_keys(docs.join(cands, "id").join(settled, "id", "left"), either_side, 1.5 * n_cand).select("owner", "place"), "open")
+    n_open = open_.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
 
-    def windows(p: Piece, begin, place, doc):
-        """Settled windows (first, last, document), and the others that are still open (place, document)."""
-        kind, at = place % 4, place // 4 + begin[doc]
-        done = kind == 0
-        lo, hi = p.ranges(at[done], doc[done])
-        open_ = ~done & ~np.isin(at, at[done])
-        at, od, ok = at[open_], doc[open_], kind[open_]
-        l2, h2 = p.ranges(at, od)
-        l2, h2 = np.where(ok == 2, np.maximum(l2, at - 13), l2), np.where(ok == 1, np.minimum(h2, at - 13), h2)
-        n = np.maximum(0, h2 - l2 + 1)
-        s = np.repeat(l2, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, where = np.unique(s, return_index=True)
-        return lo, hi, doc[done], s, np.repeat(od, n)[where]
-
-    def last(batch):
-        for ids, own, begin, place, doc in _whole(batch):
+    def windows(batch):
+        for ids, own, begin, (place, doc) in _placed(batch):
             p = Piece(own, begin, length)
-            *_, s, owner = windows(p, begin, place, doc)
+            at, side = place // 2 + begin[doc], place % 2
+            lo, hi = p.ranges(at, doc)
+            lo, hi = np.where(side == 1, np.maximum(lo, at - 13), lo), np.where(side == 0, np.minimum(hi, at - 13), hi)
+            n = np.maximum(0, hi - lo + 1)
+            s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s, where = np.unique(s, return_index=True)
+            owner = np.repeat(doc, n)[where]
             if len(s):
                 yield mix(p.buckets.of(length)[s]), ids[owner], s - begin[owner]
 
-    marked = source.select("id", "text").join(marks, "id")
-    n_open = met.where("place % 4 > 0").count()
-    hits = scratch.save(shared_keys(marked.select("id", "text", "marks"), last, 8.0 * n_open, exact=True), "hits")
+    hits = scratch.save(shared_keys(docs.join(open_, "id"), windows, 5.0 * n_open, exact=True), "hits")
     first = hits.groupBy("key").agg(F.min("owner").alias("first"))
-    again = places(hits.join(first, "key").where("owner > first").select("owner", "place").distinct(), "hit")
-    scratch.sweep()
+    again = places(hits.join(first, "key").where("owner > first").select("owner", "place"), "hit")
 
     def finish(batches):
         for batch in batches:
             out = []
-            extra = batch.column(4)
-            for i, (ids, own, begin, place, doc) in enumerate(_rows(batch)):
+            for i in range(batch.num_rows):
+                ids, own, begin, (place, doc), (hit, _) = next(_placed(batch.slice(i, 1)))
                 text = own.tobytes()
                 cover = np.zeros(len(own) + 1, np.int32)
                 if len(place):
-                    lo, hi, *_ = windows(Piece(own, begin, length), begin, place, doc)
-                    lo, hi = lo[lo <= hi], hi[lo <= hi]
-                    np.add.at(cover, lo, 1)
-                    np.add.at(cover, hi + length, -1)
-                hit = np.asarray(extra[i].values).astype(np.int64) if extra[i].is_valid else np.zeros(0, np.int64)
+                    lo, hi = Piece(own, begin, length).ranges(place, doc)
+                    ok = lo <= hi
+                    np.add.at(cover, lo[ok], 1)
+                    np.add.at(cover, hi[ok] + length, -1)
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + length, -1)
                 gone = np.cumsum(cover)[: len(own)] > 0
-                out.append((int(ids[0]), len(own), *removed_spans(text, gone), np.frombuffer(text, np.uint8)[~gone].tobytes() if with_text else None))
+                out.append((int(ids[0]), len(own), *removed_spans(text, gone), own[~gone].tobytes() if with_text else None))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rest = both.where("places is not null").select("id", "text", "n_bytes").join(marks, "id", "left").join(again, "id", "left").select("id", "text", "marks", "n_bytes", "hit")
-    done = rest.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    none = F.lit(0).cast("long")
-    clean = both.where("places is null").select(F.col("id").alias("doc_id"), "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), (F.col("same") if with_text else F.lit(None).cast("binary")).alias("kept"))
-    out = clean.union(done)
-    return out if with_text else out.drop("kept")
-
-
-def _rows(batch: pa.RecordBatch):
-    """As ``_whole``, a row at a time."""
-    for i in range(batch.num_rows):
-        one = batch.slice(i, 1)
-        buf, off = texts(one.column(1))
-        places = one.column(2)
-        place = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if places.null_count == 0 else np.zeros(0, np.int64)
-        yield one.column(0).to_numpy(), buf, off, place, np.zeros(len(place), np.int64)
+    done = docs.join(settled, "id", "left").join(again, "id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done if with_text else done.drop("kept")
+
+
+def _placed(batch: pa.RecordBatch):
+    """ids, bytes, starts, and for each column of lists the places with their documents, piece by piece."""
+    ids = batch.column(0).to_numpy()
+    buf, off = texts(batch.column(1))
+    for a, b, own, begin in pieces(buf, off):
+        lists = []
+        for c in range(2, batch.num_columns):
+            part = batch.column(c).slice(a, b - a)
+            n = np.where(part.is_valid().to_numpy(zero_copy_only=False), pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy(zero_copy_only=False), 0)
+            lists.append((part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(b - a), n)))
+        yield ids[a:b], own, begin, *lists
