@@ -59,10 +59,28 @@ def test_components_equal_brute_force(spark, k, num, den):
     assert got == brute(rows, k, num, den)
 
 
+def test_large_loose_groups_in_blocks(spark, monkeypatch):
+    from tidemark.llm import jaccard_join
+
+    for name, n in (("FEW", 2), ("ROWS", 7), ("COLUMNS", 11)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.randint(0, 9)):
+            own[r.randrange(80)] = f"x{r.randint(0, 40)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(df, 3, 9, 10).collect()}
+    assert got == brute(rows, 3, 9, 10) and len({c for *_, c in got}) > 3
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(0)
     ends = bands(8, 10, 5000)
-    for n in (1, 2, 4, 9, 10, 37, 400):
+    for n in (1, 2, 4, 9, 10, 37, 90, 130, 400):
         for _ in range(30):
             a = mix(rng.integers(1, 2**62, n).astype(np.uint64))
             drop = int(rng.integers(0, n // 5 + 1))

@@ -8,7 +8,7 @@ partners that are a little larger.
 
 Candidates share a signature and are then compared exactly. Equal sets are one node. In a group of sets that share a
 signature, each is first compared with one pivot. Groups that are then in one component need no more comparisons. Those
-that are not form clusters, and what lies outside a cluster's largest component is compared with all of the cluster in
+that are not are compared pair by pair if small; large ones form clusters, and what lies outside a cluster's largest component is compared with all of the cluster in
 blocks, which give edges between components only: no link that joins two components is lost, and no group is expanded
 into rows of pairs.
 """
@@ -18,7 +18,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ from .text import U, grams, mix, pieces, texts, words
 
 #: Ids whose broadcast is surely small (8 bytes each).
 SMALL = 500_000
+#: Members of a group that is compared pair by pair: at most FEW / 2 pairs a member.
+FEW = 16
 
 
 def bands(num: int, den: int, largest: int) -> np.ndarray:
@@ -41,32 +42,42 @@ def bands(num: int, den: int, largest: int) -> np.ndarray:
     return np.array([*ends, low * den // num], np.int64)
 
 
-def shape(end: int, num: int, den: int) -> tuple[int, int, int]:
-    """n1, n2 and k2 for sets of at most ``end`` elements."""
+def shape(end: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """n1, n2, k2 and the spare parts among n1, for sets of at most ``end`` elements."""
     differ = 2 * end * (den - num) // (den + num)
     if differ == 0:
-        return 1, 1, 0
+        return 1, 1, 0, 0
     n1 = (differ + 2) // 2
     n2 = 2
     while n2 < 4 and (n2 - 1) * end < 6 * n1 * n2:  # pieces kept in a signature: six elements or so
         n2 += 1
-    return n1, n2, differ // n1
+    spare = min(2, n1 // 8)
+    return n1 + spare, n2, differ // n1, spare
 
 
 def signatures(s: np.ndarray, ends: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of one set of distinct hashes."""
+    """Of one set of distinct hashes.
+
+    Pieces may be empty, and a signature of nothing says nothing. With ``spare`` more parts than needed, spare + 1 parts
+    of similar sets agree; so a set in which no more than ``spare`` parts have such a signature can leave them out.
+    """
     out, own = [], int(np.searchsorted(ends, len(s)))
     for band in (own, own + 1):
-        n1, n2, k2 = shape(int(ends[band]), num, den)
+        n1, n2, k2, spare = shape(int(ends[band]), num, den)
         at = (mix(s ^ U(band * 0x9E3779B9 + 1)) >> U(32)) * U(n1 * n2) >> U(32)
         held = np.zeros(n1 * n2, U)
         np.add.at(held, at.astype(np.int64), mix(s + U(band)))
         held = held.reshape(n1, n2)
-        for j, chosen in enumerate(combinations(range(n2), n2 - k2)):
+        full = np.bincount(at.astype(np.int64), minlength=n1 * n2).reshape(n1, n2) > 0
+        choices = list(combinations(range(n2), n2 - k2))
+        told = np.stack([full[:, c].any(1) for c in map(list, choices)])
+        if (~told.all(0)).sum() > spare:
+            told[:] = True
+        for j, chosen in enumerate(choices):
             got = np.zeros(n1, U)
             for c in chosen:
                 got += mix(held[:, c] + U(c + 1))
-            out.append(mix(got + U(band << 40) + U(j << 32) + np.arange(n1, dtype=U)))
+            out.append(mix(got + U(band << 40) + U(j << 32) + np.arange(n1, dtype=U))[told[j]])
     return np.concatenate(out)
 
 
@@ -98,21 +109,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
     def digest(batches):
         for batch in batches:
-            got = [(int(i), len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s + U(7)).sum(dtype=U).view(np.int64))) for i, s in _sets(batch, words)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["id", "n", "a", "b"]).astype("int64"), preserve_index=False)
+            got = [(int(i), len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s + U(7)).sum(dtype=U).view(np.int64)), np.bincount((s >> U(58)).astype(np.int64), minlength=64).astype(np.int32)) for i, s in _sets(batch, words)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [pa.int64()] * 4 + [pa.list_(pa.int32())], strict=True)], names=["id", "n", "a", "b", "counts"])
 
-    sets = scratch.save(rows.mapInArrow(digest, "id long, n long, a long, b long"), "sets")
+    sets = scratch.save(rows.mapInArrow(digest, "id long, n long, a long, b long, counts array<int>"), "sets")
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"))
-    member = scratch.save(sets.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "member")
+    member = scratch.save(sets.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "member")
+    counts = scratch.save(sets.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("counts").alias("counts")), "counts")
     total, largest = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     scratch.free(sets)
-    labels = _link(spark, scratch, rows, member, words, num, den, total, largest)
+    labels = _link(spark, scratch, rows, member, counts, words, num, den, total, largest)
     return member.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id")
     )
 
 
-def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFrame, k: int, num: int, den: int, total: int, largest: int) -> DataFrame:
+def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFrame, counts: DataFrame, k: int, num: int, den: int, total: int, largest: int) -> DataFrame:
     """(id, label) of the classes that have links."""
     ends = bands(num, den, largest)
 
@@ -148,26 +161,36 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
 
     sets = scratch.save(texts_of.mapInArrow(shingles, "id long, s array<long>").dropDuplicates(["id"]), "shingles")
     labels = scratch.save(who.select("id", F.col("id").alias("label")), "labels")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of (x, y): those that are similar. Sets differ at least by the sum of what 64 counts by hash differ, which is seen first."""
+        side = lambda c: counts.join(who, "id").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+        apart = F.aggregate(F.zip_with("cx", "cy", lambda a, b: F.abs(a - b)), F.lit(0), lambda t, d: t + d)
+        close = pairs.join(side("x"), "x").join(side("y"), "y").where(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)).select("x", "y")
+        both = scratch.save(close, "close").join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+        common = F.size(F.array_intersect("sx", "sy"))
+        return both.where(den * common >= num * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    near = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     # each against the first of its group, which joins nearly all of a group that hangs together
     pivot = groups.groupBy("key").agg(F.min(F.struct(F.col("id").alias("y"), F.col("n").alias("m"))).alias("p")).select("key", "p.y", "p.m")
-    pairs = groups.join(pivot, "key").where("id <> y").where(f"{den} * least(n, m) >= {num} * greatest(n, m)").select(F.col("y").alias("x"), F.col("id").alias("y")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    links = both.where(den * common >= num * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = _joined(labels, links, scratch)
-    # groups of three or more in which some are not yet together
+    labels = _joined(labels, linked(groups.join(pivot, "key").where("id <> y").where(near).select(F.col("y").alias("x"), F.col("id").alias("y")).distinct()), scratch)
+    # groups of three or more in which some are not yet together: small ones pair by pair, but for the pivot's pairs
     at = groups.join(labels, "id")
     left = at.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).where("c > 2 and lo < hi")
-    left = scratch.save(left.select("key", "first"), "left")
-    if not left.limit(1).count():
+    left = scratch.save(left.select("key", "first", "c"), "left")
+    few = at.join(left.where(f"c <= {FEW}").select("key", "first"), "key").where("id <> first").select("key", "id", "n", "label")
+    pairs = few.join(few.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("to")), "key").where("id < y and label <> to").where(near)
+    labels = _joined(labels, linked(pairs.select(F.col("id").alias("x"), "y").distinct()), scratch)
+    loose = scratch.save(groups.join(left.where(f"c > {FEW}"), "key").select("id", "first").distinct(), "loose")
+    if not loose.limit(1).count():
         return labels
-    loose = scratch.save(groups.join(left, "key").select("id", F.col("first")).distinct(), "loose")
     # firsts that share a member are tied to the least of them, so a member brings one edge and not one for each group
     least = scratch.save(loose.groupBy("id").agg(F.min("first").alias("least")), "least")
     ties = loose.join(least, "id").select("first", "least").where("first <> least").distinct().union(least.select("id", "least"))
     cluster = components(ties.toDF("a", "b"), scratch)
-    member = scratch.save(cluster.select("id", F.col("label").alias("cluster")).join(labels, "id"), "clusters")
-    return _joined(labels, _compared(member, sets, num, den, scratch), scratch)
+    clustered = scratch.save(cluster.select("id", F.col("label").alias("cluster")).join(labels, "id"), "clusters")
+    return _joined(labels, _compared(clustered, sets, num, den, scratch), scratch)
 
 
 def _joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
