@@ -96,3 +96,11 @@ def test_empty_repeated_and_null_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (1, 1), (3, 1)]
     kept = near_duplicates_dropped(df)
     assert kept.columns == ["doc_id", "text"] and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+
+
+def test_links_of_ids_join_their_labels(spark):
+    """An id that has another's label brings all of that label along."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "id long, label long")
+    edges = spark.createDataFrame([(2, 4)], "a long, b long")
+    got = {r["id"]: r["label"] for r in jaccard_join._joined(labels, edges, Scratch(spark, "joined")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}

@@ -194,8 +194,9 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
 
 
 def _joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``labels`` (id, label) after joining the labels of ``edges`` (a, b)."""
-    joined = components(edges, scratch)
+    """``labels`` (id, label) after joining the labels of the ids of ``edges`` (a, b); a label's own label is itself."""
+    of = lambda c, to: labels.select(F.col("id").alias(c), F.col("label").alias(to))
+    joined = components(edges.join(of("a", "la"), "a").join(of("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
     return scratch.save(labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
