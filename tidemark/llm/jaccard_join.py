@@ -81,6 +81,12 @@ def signatures(s: np.ndarray, ends: np.ndarray, num: int, den: int) -> np.ndarra
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each of 2**b equal ranges, four to a range at most on average, so that sets of any size are told apart."""
+    bits = max(6, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
+
+
 def _sets(batch: pa.RecordBatch, k: int):
     """id and distinct shingle hashes of each document of (id, text)."""
     ids = np.asarray(batch.column(0))
@@ -109,11 +115,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
     def digest(batches):
         for batch in batches:
-            got = [(int(i), len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s + U(7)).sum(dtype=U).view(np.int64)), np.bincount((s >> U(58)).astype(np.int64), minlength=64).astype(np.int32)) for i, s in _sets(batch, words)]
+            got = [(int(i), len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s + U(7)).sum(dtype=U).view(np.int64)), sketch(s)) for i, s in _sets(batch, words)]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [pa.int64()] * 4 + [pa.list_(pa.int32())], strict=True)], names=["id", "n", "a", "b", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [pa.int64()] * 4 + [pa.list_(pa.int8())], strict=True)], names=["id", "n", "a", "b", "counts"])
 
-    sets = scratch.save(rows.mapInArrow(digest, "id long, n long, a long, b long, counts array<int>"), "sets")
+    sets = scratch.save(rows.mapInArrow(digest, "id long, n long, a long, b long, counts array<tinyint>"), "sets")
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"))
     member = scratch.save(sets.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "member")
     counts = scratch.save(sets.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("counts").alias("counts")), "counts")
@@ -161,27 +167,48 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
 
     sets = scratch.save(texts_of.mapInArrow(shingles, "id long, s array<long>").dropDuplicates(["id"]), "shingles")
     labels = scratch.save(who.select("id", F.col("id").alias("label")), "labels")
+    scratch.sweep()
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of (x, y): those that are similar. Sets differ at least by the sum of what 64 counts by hash differ, which is seen first."""
+    def halved(c: str, other: str):
+        """Of two sketches the finer one takes the ranges of the other; sizes near each other are one step apart at most."""
+        wide = F.col(c).cast("array<int>")
+        return F.when(F.size(c) > F.size(other), F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / 2).cast("int") - 1), lambda i: F.get(wide, 2 * i) + F.get(wide, 2 * i + 1))).otherwise(wide)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of (x, y): those that may be similar. Sets differ at least by the sum of what their sketches differ."""
         side = lambda c: counts.join(who, "id").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
-        apart = F.aggregate(F.zip_with("cx", "cy", lambda a, b: F.abs(a - b)), F.lit(0), lambda t, d: t + d)
-        close = pairs.join(side("x"), "x").join(side("y"), "y").where(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)).select("x", "y")
-        both = scratch.save(close, "close").join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+        apart = F.aggregate(F.zip_with(halved("cx", "cy"), halved("cy", "cx"), lambda a, b: F.abs(a - b)), F.lit(0), lambda t, d: t + F.coalesce(d, F.lit(0)))
+        return scratch.save(pairs.join(side("x"), "x").join(side("y"), "y").where(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)).select("x", "y"), "close")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of (x, y): those that are similar."""
+        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
         common = F.size(F.array_intersect("sx", "sy"))
         return both.where(den * common >= num * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``labels`` after comparing (x, y): each y with its first x, then with the others that this leaves in another component."""
+        pairs = close(pairs)
+        first = scratch.save(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+        labels = _joined(labels, linked(first), scratch)
+        scratch.sweep()
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+        rest = pairs.join(first, ["x", "y"], "left_anti").join(of("x"), "x").join(of("y"), "y").where("lx <> ly").select("x", "y")
+        labels = _joined(labels, linked(scratch.save(rest, "rest")), scratch)
+        scratch.sweep()
+        return labels
+
     near = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     # each against the first of its group, which joins nearly all of a group that hangs together
     pivot = groups.groupBy("key").agg(F.min(F.struct(F.col("id").alias("y"), F.col("n").alias("m"))).alias("p")).select("key", "p.y", "p.m")
-    labels = _joined(labels, linked(groups.join(pivot, "key").where("id <> y").where(near).select(F.col("y").alias("x"), F.col("id").alias("y")).distinct()), scratch)
+    labels = joined(labels, groups.join(pivot, "key").where("id <> y").where(near).select(F.col("y").alias("x"), F.col("id").alias("y")).distinct())
     # groups of three or more in which some are not yet together: small ones pair by pair, but for the pivot's pairs
     at = groups.join(labels, "id")
     left = at.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).where("c > 2 and lo < hi")
     left = scratch.save(left.select("key", "first", "c"), "left")
     few = at.join(left.where(f"c <= {FEW}").select("key", "first"), "key").where("id <> first").select("key", "id", "n", "label")
     pairs = few.join(few.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("to")), "key").where("id < y and label <> to").where(near)
-    labels = _joined(labels, linked(pairs.select(F.col("id").alias("x"), "y").distinct()), scratch)
+    labels = joined(labels, pairs.select(F.col("id").alias("x"), "y").distinct())
     loose = scratch.save(groups.join(left.where(f"c > {FEW}"), "key").select("id", "first").distinct(), "loose")
     if not loose.limit(1).count():
         return labels
