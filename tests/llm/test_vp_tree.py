@@ -45,3 +45,15 @@ def test_relaxed_recall_and_small(spark):
     three = df.where("vec_id < 3")
     assert neighbours(three, three, 10).count() == 6
     assert neighbours(df.limit(0), df.limit(0), 10).count() == 0
+
+
+def test_recall_in_few_dimensions_over_several_regions(spark):
+    r = np.random.default_rng(5)
+    for dim in (4, 8):
+        x = r.normal(size=(6000, dim)).astype(np.float32)
+        ids = list(range(len(x)))
+        df = spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in zip(ids, x, strict=True)], DDL)
+        want = brute(ids, x.astype(float), ids[::60], 10)
+        # 6000 // (4 * 300) regions, and about 20 shards
+        hit = sum(w.vec_id in {i for _, i in want[w.query_id]} for w in neighbours(df, df.where("vec_id % 60 = 0"), 10, shard=300).collect())
+        assert hit >= 0.97 * sum(map(len, want.values())), (dim, hit)
