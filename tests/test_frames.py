@@ -121,3 +121,32 @@ def test_stream_equals_batch(spark, tmp_path):
     got, want = spark.table("running").toPandas(), incremental.running(df, "k", "t", "x", "x").toPandas()
     order = ["k", "t"]
     pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True))
+
+
+def test_knn_over_all_blocks_of_donors(spark):
+    rng, rows = np.random.default_rng(8), []
+    for key, n in (("a", 90), ("b", 41), (None, 30), ("few", 3)):
+        for _ in range(n):
+            x = rng.integers(0, 12, 3).astype(float)
+            rows.append((len(rows), key, *[None if rng.random() < 0.25 else float(v) for v in x]))
+    rows += [(1000 + i, "a", 1.0, 2.0, None) for i in range(9)] + [(1100 + i, "a", 1.0, 2.0, 3.0) for i in range(4)] + [(1200, "a", None, None, None), (1300, "gone", 1.0, None, None)]
+
+    def nearest(row, j, k=5):
+        found = []
+        for other in rows:
+            if other[1] == row[1] and other[j] is not None:
+                both = [c for c in (2, 3, 4) if row[c] is not None and other[c] is not None]
+                if both:
+                    found.append((sum((row[c] - other[c]) ** 2 for c in both) * 3 / len(both), other[j]))
+        known = [o[j] for o in rows if o[1] == row[1] and o[j] is not None]
+        use = [v for _, v in sorted(found)[:k]] or known
+        return sum(use) / len(use) if use else None
+
+    want = {r[0]: (r[1], *[r[j] if r[j] is not None else nearest(r, j) for j in (2, 3, 4)]) for r in rows}
+    df = spark.createDataFrame(rows, "i long, k string, x double, y double, z double").repartition(3)
+    for donors in (7, 2_000):
+        got = clean.knn_imputed(df, ["k"], ["x", "y", "z"], 5, donors).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            key, *values = want[r.i]
+            assert r.k == key and all(a is None and b is None or abs(a - b) < 1e-9 for a, b in zip((r.x, r.y, r.z), values, strict=True)), (donors, r, want[r.i])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,28 +181,62 @@ def imputed(df: DataFrame, columns: Sequence[str], how: str = "mean", constant:
 def knn_imputed(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = 5, donors: int = 2_000) -> DataFrame:
     """Mean of the k nearest rows of the same series that know the value, by distance over what both know.
 
-    A series' donors are split in blocks by hash when there are more than ``donors``; a row looks in its own block.
+    Ties go to the smaller value; without a donor, the mean of the series. Equal rows are compared once, with their number.
+    A series' rows with gaps and its donors are cut in blocks of about ``donors``, and every block of the ones meets every
+    block of the others: each pair keeps k candidates per row and column, and these are merged to the k nearest of all.
     """
-    blocks = df.groupBy(*by).agg(F.ceil(F.count("*") / donors).cast("int").alias("__b"))
-    tagged = df.join(blocks, list(by)).withColumn("__k", F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.col("__b"))).drop("__b")
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in columns else f.dataType) for f in df.schema.fields])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(columns)].astype(float).to_numpy()
-        known, out = ~np.isnan(x), x.copy()
-        z = np.where(known, x, 0.0)
-        for i in np.flatnonzero(~known.all(1)):
-            both = known & known[i]
-            n = both.sum(1)
-            d = np.where(n > 0, (((z - z[i]) ** 2) * both).sum(1) * x.shape[1] / np.maximum(n, 1), np.inf)
-            d[i] = np.inf
-            for j in np.flatnonzero(~known[i]):
-                order = np.argsort(np.where(known[:, j], d, np.inf), kind="stable")[:k]
-                order = order[known[order, j] & np.isfinite(d[order])]
-                out[i, j] = x[order, j].mean() if len(order) else (np.nanmean(x[:, j]) if known[:, j].any() else np.nan)
-        return pdf.assign(**{c: out[:, j] for j, c in enumerate(columns)})[schema.names]
-
-    return tagged.groupBy(*by, "__k").applyInPandas(one, schema)
+    by, columns = list(by), list(columns)
+    exact = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    gap = F.exists("__x", lambda e: e.isNull())
+    rows = df.withColumn("__x", F.array(*map(exact, columns)))
+    vectors = rows.groupBy(*by, "__x").agg(F.count("*").alias("__n"))
+    means = F.array(*[div(F.sum(F.col("__x")[j] * F.col("__n")), F.sum(F.when(F.col("__x")[j].isNotNull(), F.col("__n")))) for j in range(len(columns))])
+    blocks = lambda n: F.greatest(F.ceil(n / donors), F.lit(1)).cast("int")
+    series = vectors.groupBy(*by).agg(blocks(F.count_if(gap)).alias("__as"), blocks(F.count("*")).alias("__bs"), means.alias("__m"))
+    tagged = vectors.join(series.withColumnsRenamed({c: f"__s_{c}" for c in by}), F.struct(*by) == F.struct(*[f"__s_{c}" for c in by]))
+    own, all_of = lambda n: F.pmod(F.xxhash64("__x"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = tagged.where(gap)
+    asked = asking.select(*by, own("__as").alias("__a"), all_of("__bs").alias("__b"), "__x")
+    given = tagged.where(F.exists("__x", lambda e: e.isNotNull())).select(*by, all_of("__as").alias("__a"), own("__bs").alias("__b"), "__x", "__n")
+    given = given.select(*[F.col(c).alias(c) for c in given.columns])  # attributes of its own beside those of asked
+    schema = T.StructType([*[df.schema[c] for c in by], *T._parse_datatype_string("__x array<double>, __j int, __d double, __y double, __n long").fields])
+
+    def pair(asks: pa.Table, gives: pa.Table) -> pa.Table:
+        matrix = lambda t: t.column("__x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32), *[np.zeros(0)] * 2, np.zeros(0, np.int64))]
+        if asks.num_rows and gives.num_rows:
+            q, x, n = matrix(asks), matrix(gives), gives.column("__n").to_numpy()
+            known, step = ~np.isnan(x), max(1, 1_000_000 // len(x))
+            ranks = [o[known[o, j]] for j, o in enumerate(np.argsort(x, axis=0, kind="stable").T)]  # who knows the column, by value
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                total, both = np.zeros((len(part), len(x))), np.zeros((len(part), len(x)))
+                for c in range(x.shape[1]):
+                    ok = ~np.isnan(part[:, c])[:, None] & known[:, c]
+                    total += np.where(ok, part[:, c][:, None] - x[:, c], 0.0) ** 2
+                    both += ok
+                d = np.where(both > 0, total * x.shape[1] / np.maximum(both, 1), np.inf)
+                for j, rank in enumerate(ranks):
+                    who = np.flatnonzero(np.isnan(part[:, j]))
+                    near = np.argsort(d[who][:, rank], axis=1, kind="stable")[:, :k]
+                    row, donor = np.repeat(who, near.shape[1]), rank[near.ravel()]
+                    fits = np.isfinite(d[row, donor])
+                    row, donor = row[fits], donor[fits]
+                    parts.append((row + at, np.full(len(row), j, np.int32), d[row, donor], x[donor, j], n[donor]))
+        row, *rest = map(np.concatenate, zip(*parts, strict=True))
+        return pa.table([*[asks.column(c).take(pa.array(row)) for c in [*by, "__x"]], *map(pa.array, rest)], names=schema.names)
+
+    pairs = asked.groupBy(*by, "__a", "__b").cogroup(given.groupBy(*by, "__a", "__b")).applyInArrow(pair, schema)
+    fallback = asking.select(*by, "__x", F.posexplode("__m").alias("__j", "__y")).select(*by, "__x", "__j", F.lit(float("inf")).alias("__d"), "__y", F.lit(1).cast("long").alias("__n"))
+    found = pairs.unionByName(fallback).where("__y is not null").groupBy(*by, "__x", "__j").agg(F.array_sort(F.collect_list(F.struct("__d", "__y", "__n"))).alias("t"))
+    near = F.slice(F.filter("t", lambda e: e["__d"] < float("inf")), 1, k)
+    values = F.slice(F.flatten(F.transform(near, lambda e: F.array_repeat(e["__y"], F.least(e["__n"], F.lit(k)).cast("int")))), 1, k)
+    mean = F.when(F.size(near) == 0, F.col("t")[0]["__y"]).otherwise(F.aggregate(values, F.lit(0.0), lambda s, e: s + e) / F.size(values))
+    answers = found.select(*by, "__x", "__j", mean.alias("v")).groupBy(*by, "__x").agg(F.map_from_entries(F.collect_list(F.struct("__j", "v"))).alias("__v"))
+    out = lambda f: [f(columns.index(c)).alias(c) if c in columns else c for c in df.columns]
+    answers = answers.withColumnsRenamed({c: f"__s_{c}" for c in [*by, "__x"]})
+    filled = rows.where(gap).join(answers, F.struct(*by, "__x") == F.struct(*[f"__s_{c}" for c in [*by, "__x"]]), "left")
+    return rows.where(~gap).select(out(lambda j: F.col("__x")[j])).union(filled.select(out(lambda j: F.coalesce(F.col("__x")[j], F.col("__v")[j]))))
 
 
 def interpolation_imputed(df: DataFrame, p: Panel, columns: Sequence[str], how: str = "linear", order: int = 2) -> DataFrame:
