@@ -62,3 +62,24 @@ def test_equals_brute_force(spark):
     for i, w in want.items():
         assert got[i][0] == w[0] and got[i][2:] == w[2:] and (w[1] is None or abs(got[i][1] - w[1]) < 1e-8), (i, got[i], w)
     assert licensed(df.limit(0)).collect() == []
+
+
+def test_notices_in_long_lines_and_wrapped_headers(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("w%d" % r.randrange(60) for _ in range(n))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(TEMPLATES):
+        words = text.split()
+        wrapped = "\n".join("# " + " ".join(words[a : a + 2]) for a in range(0, len(words), 2))
+        for n, made in enumerate((prose(400) + " " + text + " " + prose(300), prose(900) + " " + text + ".", prose(30) + "\n" + wrapped + "\n" + prose(30), prose(9) + "\n" + prose(60) + " " + words[0] + "\n" + " ".join(words[1:]) + " " + prose(60))):
+            rows.append((10 * k + n, f"a/f{k}_{n}.txt", made))
+            want[10 * k + n] = name
+    rows += [(1000 + i, f"a/p{i}.txt", "\n".join([prose(200), prose(5)])) for i in range(40)] + [(2000, "a/both.txt", prose(300) + " " + TEMPLATES[3][1] + " " + prose(50) + "\n" + "x" + "\n" + prose(40))]
+    want[2000] = "MIT"
+    rows.append((2001, "a/two.txt", "This work is licensed under the GNU General Public License,\nversion 2\n" + prose(40)))  # its first line fits GPL-3.0 as well
+    want[2001] = "GPL-2.0"
+    got = {x.doc_id: (x.license, x.score, x.origin, x.unit) for x in licensed(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, *_ in rows:
+        assert got[i][0] == want.get(i), (i, got[i], want.get(i))
+    assert got[2000][2:] == ("own", 0) and got[2][3] == 1

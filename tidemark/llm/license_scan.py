@@ -1,6 +1,9 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Units are the lines of a text (headers, notices) and, for licence files, the whole text. The weight of a word is its count
+Units are the lines of a text (headers, notices) and, for licence files, the whole text; and
+windows of words, in long lines and across lines: around each heavy word, windows of a template's length with the word where
+the template has it, so that a complete notice is a window of its own whatever stands around it or breaks it, and overlapping
+windows of twice the longest template for longer wordings. Where a line has the licence that is found, the line is the unit. The weight of a word is its count
 times ln((1 + N) / (1 + df)) + 1 over all N texts; words that no template holds weigh 1. A unit has the licence of the
 template with the largest cosine, if that is at least ``threshold``.
 
@@ -40,6 +43,9 @@ TEMPLATES = (
 #: Names of licence files, without their extension.
 FILES = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.(txt|md|rst))?$"
 
+#: A window's first word and its length in one number; longer than any window.
+BASE = 1 << 20
+
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower case."""
@@ -68,11 +74,33 @@ def heavy_words(vectors: list[dict[str, float]], norms: list[float], threshold:
     return sorted(set(idf) - light)
 
 
+def _places(templates, heavy: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """By heavy word: its offsets in the templates that hold it, with their lengths."""
+    out: dict[str, set[tuple[int, int]]] = {w: set() for w in heavy}
+    for _, text in templates:
+        own = _words(text)
+        for o, w in enumerate(own):
+            if w in out:
+                out[w].add((o, len(own)))
+    return {w: sorted(x) for w, x in out.items()}
+
+
+def _windows(words: Column, places: dict[str, list[tuple[int, int]]], longest: int) -> Column:
+    """Of an array of (w, line): windows [(at, length, their words)] around heavy words; (at, length) in one number."""
+    offsets = F.create_map(*[x for w, p in places.items() for x in (F.lit(w), F.array(*[F.lit(o * BASE + n) for o, n in p]))])
+    heavy = F.filter(F.transform(words, lambda s, i: F.struct(s["w"].alias("w"), i.cast("long").alias("i"))), lambda s: F.map_contains_key(offsets, s["w"]))
+    aligned = lambda s: F.transform(offsets[s["w"]], lambda p: F.greatest(s["i"] - F.floor(p / BASE), F.lit(0)) * BASE + p % BASE)
+    block = lambda s: F.floor(s["i"] / longest)
+    wide = lambda s: F.array(*[F.greatest(block(s) - b, F.lit(0)) * longest * BASE + 2 * longest for b in (0, 1)])
+    keys = F.array_distinct(F.flatten(F.transform(heavy, lambda s: F.concat(aligned(s), wide(s)))))
+    return F.transform(keys, lambda key: F.struct(key.alias("key"), F.slice(words, (F.floor(key / BASE) + 1).cast("int"), (key % BASE).cast("int")).alias("words")))
+
+
 def licensed(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """(doc_id, license, score, origin, unit, licensed_by) of every row of ``files``.
 
-    ``origin`` is "own" (a line or, in a licence file, the whole text), "inherited" (``licensed_by`` is the licence file's
-    path) or null without any. ``unit`` is the line's number from 0, -1 for a whole file. Ties go to the larger score, the
+    ``origin`` is "own" (a line, a window of words or, in a licence file, the whole text), "inherited" (``licensed_by`` is the licence file's
+    path) or null without any. ``unit`` is the line's number from 0 (of a window, that of its first word), -1 for a whole file. Ties go to the larger score, the
     first unit, the first template. A null or empty text has no licence of its own; a null path inherits nothing; rows
     repeated each get a row, those of one id the same one (the best of them). Rows with a null id take no part. An empty
     table gives an empty result. Other columns are not read.
@@ -86,7 +114,8 @@ def licensed(files: DataFrame, path_col: str = "path", text_col: str = "text", i
     n = df.pop("", 0)
     vectors, norms = weights(templates, df, n)
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in names}
-    heavy = F.array(*map(F.lit, heavy_words(vectors, norms, threshold, idf)))
+    heavies = heavy_words(vectors, norms, threshold, idf)
+    heavy = F.array(*map(F.lit, heavies))
     is_file = F.coalesce(F.col("path").rlike(FILES), F.lit(False))
     lines = F.when(is_file, F.array(F.col("text"))).otherwise(F.split("text", "\n"))
     units = rows.select("id", is_file.alias("whole"), F.posexplode(lines).alias("unit", "line"))
@@ -96,13 +125,30 @@ def licensed(files: DataFrame, path_col: str = "path", text_col: str = "text", i
     table = [(w, i, float(x)) for i, v in enumerate(vectors) for w, x in v.items()]
     by_word = F.broadcast(spark.createDataFrame(table, "w string, template int, weight double"))
     known = F.broadcast(spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "w string, idf double"))
-    terms = units.select("id", "unit", F.explode("words").alias("w")).groupBy("id", "unit", "w").agg(F.count("*").alias("tf"))
-    terms = scratch.save(terms.join(known, "w", "left").select("id", "unit", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("x")), "terms")
-    length = terms.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = terms.join(by_word, "w").groupBy("id", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     about = F.broadcast(spark.createDataFrame([(i, name, float(norm)) for i, ((name, _), norm) in enumerate(zip(templates, norms, strict=True))], "template int, license string, of double"))
-    scored = dot.join(length, ["id", "unit"]).join(about, "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("of")), 9)).where(F.col("score") >= threshold)
-    best = scratch.save(scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("unit")).alias("u"), (-F.col("template")).alias("t"), "license")).alias("b")).select("id", "b.license", "b.score", (-F.col("b.u")).cast("int").alias("unit")), "best")
+
+    def scores(units: DataFrame, key: str, name: str) -> DataFrame:
+        terms = units.select("id", key, F.explode("words").alias("w")).groupBy("id", key, "w").agg(F.count("*").alias("tf"))
+        terms = scratch.save(terms.join(known, "w", "left").select("id", key, "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("x")), name)
+        length = terms.groupBy("id", key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        dot = terms.join(by_word, "w").groupBy("id", key, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+        return dot.join(length, ["id", key]).join(about, "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("of")), 9)).where(F.col("score") >= threshold)
+
+    prose = rows.where(~is_file & F.arrays_overlap(tokens(F.col("text")), heavy)).select("id", "text").distinct()
+    of_line = lambda line, i: F.transform(tokens(line), lambda w: F.struct(w.alias("w"), i.alias("line")))
+    spread = prose.select("id", F.xxhash64("text").alias("text"), F.flatten(F.transform(F.split("text", "\n"), of_line)).alias("words"))
+    longest = max(len(_words(t)) for _, t in templates)
+    windows = spread.select("id", "text", F.explode(_windows(F.col("words"), _places(templates, heavies), longest)).alias("v"))
+    windows = windows.select("id", F.struct("text", "v.key").alias("key"), F.col("v.words")[0]["line"].alias("line"), F.transform("v.words", lambda s: s["w"]).alias("words"))
+    windows = scratch.save(windows, "windows")
+    within = scores(windows, "key", "window_terms").join(windows.select("id", "key", "line"), ["id", "key"]).select("id", F.col("line").alias("unit"), "template", "license", "score")
+    # the licence by the best of lines and windows; where a line has that licence too, the line stands for it
+    found = F.struct("score", (-F.col("unit")).alias("u"), (-F.col("template")).alias("t"))
+    both = scores(units, "unit", "terms").select("id", "license", found.alias("line"), F.lit(None).cast("struct<score:double,u:int,t:int>").alias("part")).union(within.select("id", "license", F.lit(None).cast("struct<score:double,u:int,t:int>"), found))
+    each = both.groupBy("id", "license").agg(F.max("line").alias("line"), F.max("part").alias("part"))
+    order = F.struct(F.greatest("line.score", "part.score"), F.coalesce("line.score", F.lit(-1.0)), F.coalesce("line", "part").alias("b"), "license")
+    best = each.groupBy("id").agg(F.max(order).alias("o")).select("id", "o.license", "o.b.score", (-F.col("o.b.u")).cast("int").alias("unit"))
+    best = scratch.save(best, "best")
     own = rows.select("id", "path").join(best, "id", "left")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     holders = own.where(F.col("license").isNotNull() & is_file).groupBy(folder.alias("above")).agg(F.max(F.struct("score", "path", "license")).alias("h"))
