@@ -57,3 +57,15 @@ def test_empty(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = spark.createDataFrame([(1, "q" * 60), (2, "q" * 60)], "doc_id long, text string")
     assert [(r.doc_id, bytes(r.kept)) for r in deduplicated(one, with_text=True).orderBy("doc_id").collect()] == [(1, b"q" * 60), (2, b"")]
+
+
+def test_longer_strings_that_differ_in_the_middle_stay(spark):
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(30):
+        start, end = say(66), say(40)
+        rows += [(2 * k, start + say(34) + end), (2 * k + 1, start + say(34) + end)]  # no 100 bytes in common
+    rows += [(100, say(150)), (101, rows[0][1] + "tail")]
+    got = {x.doc_id: bytes(x.kept).decode() for x in deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), length=100, with_text=True).collect()}
+    assert [i for i, t in rows if got[i] != t] == [101]

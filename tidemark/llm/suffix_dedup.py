@@ -151,6 +151,8 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             if len(at):
                 near = p.buckets.of(32)
                 key = near[lo] * A + near[np.minimum(lo + 32, end - 32)] * B + near[end - 32] * C + ((end - lo) * 256 + at - lo).astype(U)
+                for step in range(64, 2 * length - 24 - 32, 32):  # what these three leave out of ranges of over 96 bytes
+                    key = mix(key) * A + near[np.minimum(lo + step, end - 32)] * B
                 yield mix(key), ids[doc], at - begin[doc]
 
     met = scratch.save(shared_keys(docs.join(cands, "id"), around, n_cand, exact=True), "met")
