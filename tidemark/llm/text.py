@@ -33,17 +33,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 with np.errstate(over="ignore"):
     #: A random odd number for each byte, and powers for the places in a word.
     BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-POWER = np.ones(4096, U)
-POWER[1:] = U(0xD1342543DE82EF95)
-POWER = np.cumprod(POWER, dtype=U)
+#: The byte's number after lower-casing, and what the powers of places in a word, and their inverses, are powers of.
+FOLDED = BYTE[LOWER]
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+SPAN = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    global POWER
-    with np.errstate(over="ignore"):
-        while len(POWER) < n:
-            POWER = np.concatenate([POWER, POWER * (POWER[-1] * U(0xD1342543DE82EF95))])
-    return POWER
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """The first n powers (or some more) of an odd number, modulo 2**64."""
+    had = _POWERS.get(base)
+    if had is None or len(had) < n:
+        had = np.full(max(n, 1 << 12), base, U)
+        had[0] = 1
+        _POWERS[base] = had = np.cumprod(had, dtype=U)
+    return had
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +74,27 @@ def pieces(buf: np.ndarray, off: np.ndarray, most: int = PIECE) -> Iterator[tupl
 
 
 def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in order, and where each document's words begin, with the end last. ``space``: the bytes between words."""
-    n, docs = len(buf), len(off) - 1
-    wide = np.full(n + docs, 32, np.uint8)  # a space after each document
-    wide[np.arange(n) + np.repeat(np.arange(docs), np.diff(off))] = LOWER[buf]
-    inside = np.concatenate([[False], ~space[wide], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    first = np.searchsorted(start, off + np.arange(docs + 1))
-    if not len(start):
-        return np.zeros(0, U), first
-    size = end - start
-    at = np.repeat(start, size)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-    value = BYTE[wide[at + place]] * powers(int(size.max()))[place]
-    return mix(np.add.reduceat(value, np.cumsum(size) - size)), first
+    """The hash of each word in order, and where each document's words begin, with the end last. ``space``: the bytes between words.
+
+    A word's hash is a difference of two running sums over the text, moved to the word's start by an inverse power.
+    """
+    inside = ~space[buf]
+    before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    cut = off[(off > 0) & (off < len(buf))]
+    before[cut] = after[cut - 1] = False
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    out, first, i = np.empty(len(start), U), np.searchsorted(start, off), 0
+    while i < len(start):  # so much text at a time as a processor's cache holds
+        a = start[i]
+        j = max(i + 1, int(np.searchsorted(end, a + SPAN, "right")))
+        n = int(end[j - 1] - a)
+        total = np.zeros(n + 1, U)
+        np.cumsum(FOLDED[buf[a : a + n]] * powers(n)[:n], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = mix((total[e] - total[s]) * powers(n, INVERSE)[s])
+        i = j
+    return out, first
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,3 +115,15 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
         s = hashes[first[i] : first[i + 1]]
         got[begin[i]] = mix((s * (powers(k + 1)[1 : len(s) + 1] | U(1))).sum(dtype=U) + U(k * 1000 + len(s)))
     return got, begin
+
+
+def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the runs of k words of each document in order, and where each document's begin."""
+    got, first = grams(*words(buf, off), k)
+    new = np.ones(len(got), bool)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        got[a:b].sort()
+    new[1:] = got[1:] != got[:-1]
+    new[first[:-1][first[:-1] < len(got)]] = True
+    at = np.concatenate([[0], np.cumsum(new)])
+    return got[new], at[first]
