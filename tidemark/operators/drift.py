@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import running_sums
 from ..functions.panel import div
 from .alternative import component_scores
 
@@ -17,9 +18,9 @@ def _cdf(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, x, f, g): both empirical distributions at every distinct value."""
     long = lambda df, side: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*", F.lit(side).alias("side")).where("x IS NOT NULL AND NOT isnan(x)")
     per = long(ref, 0).union(long(cur, 1)).groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    w = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("feature")
-    return per.withColumns({"n": F.sum("a").over(all_), "m": F.sum("b").over(all_)}).withColumns({"f": div(F.sum("a").over(w), F.col("n")), "g": div(F.sum("b").over(w), F.col("m"))})
+    size = per.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+    got = running_sums(per, ["feature"], "x", {"__f": "a", "__g": "b"}).join(F.broadcast(size), "feature")
+    return got.withColumns({"f": div("__f", "n"), "g": div("__g", "m")}).drop("__f", "__g")
 
 
 def ks_p(d: float, n: int, m: int) -> float:
@@ -42,11 +43,14 @@ def ks(ref: DataFrame, cur: DataFrame, columns: Sequence[str], alpha: float = 0.
 
 
 def wasserstein(ref: DataFrame, cur: DataFrame, columns: Sequence[str], limit: float = 0.1) -> DataFrame:
-    """(feature, distance, score, drifted): area between the distributions, over the reference's deviation."""
-    step = F.lead("x").over(Window.partitionBy("feature").orderBy("x")) - F.col("x")
-    got = _cdf(ref, cur, columns).withColumn("__a", F.abs(F.col("f") - F.col("g")) * step).groupBy("feature").agg(F.sum("__a").alias("distance"))
-    std = ref.agg(*[F.stddev_pop(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("std")) for c in columns])).alias("r")).select("r.*")
-    return got.join(F.broadcast(std), "feature").withColumn("score", div("distance", "std")).withColumn("drifted", F.col("score") > limit).drop("std")
+    """(feature, distance, relative, score, drifted): area between the distributions; relative to the reference's sample deviation.
+
+    A feature has drifted if that is over ``limit``; the score is the relative distance over the limit, 1 at most.
+    """
+    got = _cdf(ref, cur, columns).withColumn("__a", F.abs(F.col("f") - F.col("g")) * (F.col("__next") - F.col("x"))).groupBy("feature").agg(F.sum("__a").alias("distance"))
+    std = ref.agg(*[F.stddev_samp(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("std")) for c in columns])).alias("r")).select("r.*")
+    got = got.join(F.broadcast(std), "feature").withColumn("relative", F.coalesce(div("distance", "std"), F.lit(0.0)))
+    return got.withColumns({"score": F.least(F.lit(1.0), F.col("relative") / limit), "drifted": F.col("relative") > limit}).drop("std")
 
 
 def chi2(ref: DataFrame, cur: DataFrame, columns: Sequence[str], bins: int = 9, critical: float = 15.507) -> DataFrame:

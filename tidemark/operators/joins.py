@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import by_day
+
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], default: dict | None = None) -> DataFrame:
     """``left`` with the right row's ``columns`` of the latest time not after its own; ``default`` where there is none.
@@ -71,9 +73,8 @@ def interpolated(df: DataFrame, by: Sequence[str], time: Sequence[str], columns:
 
 
 def between_ordinals(df: DataFrame, calendar: DataFrame, start: str, end: str, day: str = "day", name: str = "trading_days") -> DataFrame:
-    """Trading days from ``start`` to ``end``, both included if they trade: two as-of steps on numbered days, no range join."""
-    numbered = calendar.select(F.col(day).alias("__day")).distinct().withColumn("__one", F.lit(0)).withColumn("__n", F.row_number().over(Window.partitionBy("__one").orderBy("__day")))
-    df = df.withColumn("__one", F.lit(0)).withColumn("__before", F.date_sub(start, 1))
-    df = asof(df, numbered.select("__one", "__day", F.col("__n").alias("__to")), ["__one"], end, "__day", ["__to"], {"__to": 0})
-    df = asof(df, numbered.select("__one", "__day", F.col("__n").alias("__from")), ["__one"], "__before", "__day", ["__from"], {"__from": 0})
-    return df.withColumn(name, F.col("__to") - F.col("__from")).drop("__one", "__before", "__to", "__from")
+    """Trading days from ``start`` to ``end``, both included if they trade: a difference of two days' numbers. A missing date counts as one before all."""
+    df = df.withColumn("__before", F.date_sub(start, 1))
+    df = by_day(df, end, calendar, day, ["number"]).withColumnRenamed("number", "__to")
+    df = by_day(df, "__before", calendar, day, ["number"]).withColumnRenamed("number", "__from")
+    return df.withColumn(name, F.coalesce("__to", F.lit(0)) - F.coalesce("__from", F.lit(0))).drop("__before", "__to", "__from")

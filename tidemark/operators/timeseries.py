@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import by_day
 from ..functions.panel import Panel, div, flag, ln
 from .joins import asof
 from .price import Bar
@@ -134,14 +135,8 @@ def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame
 
 def neighbours(df: DataFrame, calendar: DataFrame, time: str, day: str = "day") -> DataFrame:
     """Whether the date trades, and the trading days before, after, and on or before it."""
-    days = calendar.select(F.col(day).alias("__day")).distinct().withColumn("__one", F.lit(0))
-    w = Window.partitionBy("__one").orderBy("__day")
-    days = days.withColumns({"__prev": F.lag("__day").over(w), "__next": F.lead("__day").over(w)})
-    first = days.agg(F.min("__day").alias("__first"))
-    got = asof(df.withColumn("__one", F.lit(0)), days.withColumn("__at", F.col("__day")), ["__one"], time, "__day", ["__at", "__prev", "__next"])
-    got = got.join(F.broadcast(first), how="cross")  # one row
-    is_day = F.col("__at").eqNullSafe(F.col(time))
-    return got.withColumns({"is_trading_day": flag(is_day), "previous_trading_day": F.when(is_day, F.col("__prev")).otherwise(F.col("__at")), "next_trading_day": F.when(F.col("__at").isNull(), F.col("__first")).otherwise(F.col("__next")), "as_trading_day": F.col("__at")}).drop("__one", "__at", "__prev", "__next", "__first")
+    named = {"at": "as_trading_day", "before": "previous_trading_day", "after": "next_trading_day"}
+    return by_day(df, time, calendar, day, list(named)).withColumnsRenamed(named).withColumn("is_trading_day", flag(F.col("as_trading_day") == F.col(time).cast("date")))
 
 
 def rolling_spans(calendar: DataFrame, size: int, step: int, day: str = "day") -> DataFrame:

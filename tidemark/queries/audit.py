@@ -97,9 +97,9 @@ def ks_drift(spark, sf):
     return rounded(drift.ks(*weeks(spark, sf), ["value"]).select("feature", "statistic", "n", "m"))
 
 
-@query(CDF + " SELECT 'value' AS feature, round(sum(abs(f - g) * dx), 6) + 0.0 AS distance, round(sum(abs(f - g) * dx) / (SELECT stddev_pop(x) FROM r), 6) + 0.0 AS score FROM k")
+@query(CDF + ", d AS (SELECT sum(abs(f - g) * dx) AS d FROM k), s AS (SELECT d, d / (SELECT stddev_samp(x) FROM r) AS q FROM d) SELECT 'value' AS feature, round(d, 6) + 0.0 AS distance, round(q, 6) + 0.0 AS relative, round(least(1.0, q / 0.1), 6) + 0.0 AS score, q > 0.1 AS drifted FROM s")
 def wasserstein_drift(spark, sf):
-    return rounded(drift.wasserstein(*weeks(spark, sf), ["value"]).select("feature", "distance", "score"))
+    return rounded(drift.wasserstein(*weeks(spark, sf), ["value"]))
 
 
 @query(HALVES + ", s AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT x FROM r UNION ALL SELECT x FROM c)), n AS (SELECT least(8, CAST(floor((x - lo) * 9 / (hi - lo)) AS INT)) AS b, sum(a) AS a, sum(z) AS z FROM (SELECT x, 1 AS a, 0 AS z FROM r UNION ALL SELECT x, 0, 1 FROM c), s GROUP BY 1), e AS (SELECT z, (a + 1e-10) * sum(z) OVER () / sum(a) OVER () AS e FROM n) SELECT 'value' AS feature, round(sum(power(z - e, 2) / e), 4) + 0.0 AS statistic FROM e")

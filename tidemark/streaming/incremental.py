@@ -9,72 +9,106 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "n long, ma double, ema double, var double, low double, high double, total double, xs array<double>, ys array<double>"
 COLUMNS = ("ma", "ema", "vol", "low", "high", "total", "mean", "std", "window_low", "window_high", "window_n", "corr")
 
 
-def fold(rows: pd.DataFrame, state: dict, x: str, y: str | None, window: int, span: float) -> pd.DataFrame:
-    """Adds the running values to rows in order and moves ``state`` on.
+def _decayed(x: np.ndarray, alpha: float, before: float | None) -> np.ndarray:
+    """Recursive mean of x, after ``before`` or seeded by the first value."""
+    seeded = x if before is None else np.concatenate([[before], x])
+    return pd.Series(seeded).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(seeded) - len(x) :]
+
+
+def _last(held: list, x: np.ndarray, window: int) -> np.ndarray:
+    """The last ``window`` values at each of x, NaN where there are fewer."""
+    pad = np.full(window - 1, np.nan)
+    pad[window - 1 - min(len(held), window - 1) :] = held[-(window - 1) :] if window > 1 else []
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, x]), window)
+
+
+def fold(rows: pd.DataFrame, state: dict, paired: bool, window: int, span: float) -> pd.DataFrame:
+    """Adds the running values of ``x`` (and ``y``) to rows in order and moves ``state`` on.
 
     ma: the mean until ``window`` values, then m + (x - m) / window. ema: seeded by the first value. vol: root of the
     decayed mean square. low, high, total: so far. mean, std (population), window_low, window_high, window_n: of the last
     ``window`` values. corr: of the last values of x and y, 0 for fewer than two or without variance.
     """
-    alpha, out = 2 / (span + 1), []
-    for a, b in zip(rows[x].astype(float), rows[y].astype(float) if y else [math.nan] * len(rows), strict=True):
-        if math.isnan(a):
-            out.append([math.nan] * len(COLUMNS))
-            continue
-        s = state
-        s["n"] += 1
-        s["ma"] += (a - s["ma"]) / min(s["n"], window)
-        s["ema"] = a if s["n"] == 1 else alpha * a + (1 - alpha) * s["ema"]
-        s["var"] = a * a if s["n"] == 1 else alpha * a * a + (1 - alpha) * s["var"]
-        s["low"], s["high"], s["total"] = min(s["low"], a), max(s["high"], a), s["total"] + a
-        s["xs"] = [*s["xs"], a][-window:]
-        s["ys"] = [*s["ys"], b][-window:] if y else []
-        held, m = s["xs"], sum(s["xs"]) / len(s["xs"])
-        sd = math.sqrt(sum((v - m) ** 2 for v in held) / len(held))
-        corr = 0.0
-        if y and len(held) > 1:
-            n = sum(s["ys"]) / len(s["ys"])
-            sy = math.sqrt(sum((v - n) ** 2 for v in s["ys"]) / len(held))
-            corr = sum((v - m) * (w - n) for v, w in zip(held, s["ys"], strict=True)) / len(held) / (sd * sy) if sd * sy > 0 else 0.0
-        out.append([s["ma"], s["ema"], math.sqrt(s["var"]), s["low"], s["high"], s["total"], m, sd, min(held), max(held), float(len(held)), corr])
+    every = rows["x"].to_numpy(float)
+    known = ~np.isnan(every)
+    out = np.full((len(rows), len(COLUMNS)), np.nan)
+    other = rows["y"].to_numpy(float) if paired else None
+    at = np.flatnonzero(known)
+    for a in range(0, len(at), 100_000):  # windows are laid out for so many rows at a time
+        part = at[a : a + 100_000]
+        out[part] = _folded(every[part], other[part] if paired else None, state, window, span)
     return pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=list(COLUMNS))], axis=1)
 
 
+def _folded(x: np.ndarray, y: np.ndarray | None, state: dict, window: int, span: float) -> np.ndarray:
+    alpha, begun = 2 / (span + 1), state["n"] > 0
+    n = state["n"] + np.arange(1, len(x) + 1)
+    early = int((n <= window).sum())
+    ma = np.empty(len(x))
+    ma[:early] = (state["ma"] * state["n"] + np.cumsum(x[:early])) / n[:early]
+    ma[early:] = _decayed(x[early:], 1 / window, ma[early - 1] if early else state["ma"])
+    ema, var = _decayed(x, alpha, state["ema"] if begun else None), _decayed(x * x, alpha, state["var"] if begun else None)
+    low, high = np.minimum(np.minimum.accumulate(x), state["low"]), np.maximum(np.maximum.accumulate(x), state["high"])
+    total = state["total"] + np.cumsum(x)
+    held = _last(state["xs"], x, window)
+    size = np.minimum(n, window)
+    mean = np.nansum(held, axis=1) / size
+    std = np.sqrt(np.nansum((held - mean[:, None]) ** 2, axis=1) / size)
+    corr = np.zeros(len(x))
+    if y is not None:
+        pair = _last(state["ys"], y, window)
+        mid = np.nansum(pair, axis=1) / size
+        both = std * np.sqrt(np.nansum((pair - mid[:, None]) ** 2, axis=1) / size)
+        cov = np.nansum((held - mean[:, None]) * (pair - mid[:, None]), axis=1) / size
+        np.divide(cov, both, out=corr, where=(size > 1) & (both > 0))
+        corr[np.isnan(pair).sum(axis=1) > window - size] = np.nan
+        state["ys"] = [*state["ys"], *y.tolist()][-window:]
+    state |= {"n": int(n[-1]), "ma": float(ma[-1]), "ema": float(ema[-1]), "var": float(var[-1]), "low": float(low[-1]), "high": float(high[-1]), "total": float(total[-1]), "xs": [*state["xs"], *x.tolist()][-window:]}
+    return np.stack([ma, ema, np.sqrt(var), low, high, total, mean, std, np.nanmin(held, axis=1), np.nanmax(held, axis=1), size.astype(float), corr], axis=1)
+
+
 def fresh() -> dict:
     return {"n": 0, "ma": 0.0, "ema": 0.0, "var": 0.0, "low": math.inf, "high": -math.inf, "total": 0.0, "xs": [], "ys": []}
 
 
 def running(df: DataFrame, key: str, time: str, x: str, y: str | None = None, window: int = 20, span: float = 12) -> DataFrame:
-    """``key, time, x[, y]`` with the running values; a stream keeps them in state, a batch starts from nothing."""
-    cols = [key, time, x] + ([y] if y else [])
-    schema = df.select(*cols).schema
-    for c in COLUMNS:
-        schema = schema.add(c, "double")
-    data = df.select(*cols)
+    """``key, time, x[, y]`` with the running values; a stream keeps them in state, a batch starts from nothing.
+
+    x and y may be the same column. Where y is missing, so are correlations over it; where x is, all values of the row.
+    """
+    named = {"key": key, "time": time, "x": x} | ({"y": y} if y else {})
+    data = df.select(*[F.col(c).cast("double").alias(n) if n in "xy" else F.col(c).alias(n) for n, c in named.items()])
+    schema = T.StructType([*data.schema.fields, *(T.StructField(c, T.DoubleType()) for c in COLUMNS)])
+    out = list(dict.fromkeys(named.values()))
+    back = [F.col(next(n for n, c in named.items() if c == o)).cast(df.schema[o].dataType).alias(o) for o in out]
 
     if not df.isStreaming:
-        return data.groupBy(key).applyInPandas(lambda pdf: fold(pdf.sort_values(time, kind="stable"), fresh(), x, y, window, span), schema)
+        got = data.groupBy("key").applyInPandas(lambda pdf: fold(pdf.sort_values("time", kind="stable"), fresh(), bool(y), window, span), schema)
+        return got.select(*back, *COLUMNS)
 
     def step(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = fresh()
         if state.exists:
             held = dict(zip(fresh(), state.get, strict=True))
             held["xs"], held["ys"] = list(held["xs"]), list(held["ys"])
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        out = fold(rows, held, x, y, window, span)
+        rows = pd.concat(list(batches)).sort_values("time", kind="stable")
+        out = fold(rows, held, bool(y), window, span)
         state.update(tuple(held.values()))
         yield out
 
-    return data.groupBy(key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    got = data.groupBy("key").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return got.select(*back, *COLUMNS)
 
 
 def windowed(df: DataFrame, time: str, by: str, value: str, size: str = "1 day", slide: str | None = None, late: str | None = "1 hour") -> DataFrame:
