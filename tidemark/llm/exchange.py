@@ -13,16 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import U
+from .text import U, mix
 
 #: Keys that a mapper gathers before it sends them on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Keys that a bucket should hold.
 BUCKET = 1_000_000
 PACKED = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), ("base", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("settled", pa.binary())])
 PACKED_DDL = "bucket int, direct boolean, base long, keys binary, owners binary, places binary, settled binary"
-ROWS = pa.schema([("key", pa.int64()), ("owner", pa.int64()), ("place", pa.int32())])
-ROWS_DDL = "key long, owner long, place int"
+ROWS = pa.schema([("key", pa.int64()), ("owner", pa.int64()), ("place", pa.int64())])
+ROWS_DDL = "key long, owner long, place long"
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -40,19 +40,18 @@ def bits_for(keys: float) -> int:
     return int(max(4, min(24, np.ceil(np.log2(max(1.0, keys / BUCKET))))))
 
 
-def _pack(key, owner, place, bits: int, width: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((owner, key))
+def _pack(key, owner, place, bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(key)
     key, owner, place = key[order], owner[order], place[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    end = np.concatenate([begin[1:], [len(key)]])
-    several = np.repeat(owner[begin] != owner[end - 1], end - begin)
+    several = np.repeat(np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin), np.diff(np.append(begin, len(key))))
     lead = np.zeros(len(key), bool)
     lead[begin] = True
     rows = []
     if several.any():  # known to be shared: these go out as they are, to any bucket
         for part in np.array_split(np.flatnonzero(several), max(1, several.sum() // 50_000)):
             base = int(owner[part].min())
-            rows.append(((chunk * 2654435761 + len(rows)) % (1 << bits), True, base, b"\x08" + key[part].tobytes(), narrow(owner[part] - base), narrow(place[part]), b""))
+            rows.append((int(mix((key[part[:1]] + owner[part[:1]].astype(U)))[0] >> U(64 - bits)), True, base, b"\x08" + key[part].tobytes(), narrow(owner[part] - base), narrow(place[part]), b""))
     keep = np.flatnonzero(~several | lead)
     key, owner, place, settled = key[keep], owner[keep], place[keep], several[keep]
     bucket = (key >> U(64 - bits)).astype(np.int64)
@@ -70,7 +69,7 @@ def _settle(rows: list[dict], bits: int, width: int) -> Iterator[pa.RecordBatch]
     direct, rows = [r for r in rows if r["direct"]], [r for r in rows if not r["direct"]]
     for r in direct:
         key = np.frombuffer(r["keys"], np.int64, offset=1)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(wide(r["owners"]) + r["base"]), pa.array(wide(r["places"]).astype(np.int32))], schema=ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(wide(r["owners"]) + r["base"]), pa.array(wide(r["places"]))], schema=ROWS)
     if len(rows) < 2:
         return
     short = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, width) for r in rows])
@@ -80,7 +79,7 @@ def _settle(rows: list[dict], bits: int, width: int) -> Iterator[pa.RecordBatch]
     owner = np.concatenate([wide(r["owners"]) + r["base"] for r in rows])
     place = np.concatenate([wide(r["places"]) for r in rows])
     settled = np.concatenate([np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=len(r["keys"]) // width) for r in rows]).astype(bool)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, owner, place, settled = key[order], owner[order], place[order], settled[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
@@ -89,13 +88,13 @@ def _settle(rows: list[dict], bits: int, width: int) -> Iterator[pa.RecordBatch]
         out = key[several]
         if width == 5:
             out = (out << U(24)) >> U(bits) | U(rows[0]["bucket"]) << U(64 - bits)
-        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(owner[several]), pa.array(place[several].astype(np.int32))], schema=ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(owner[several]), pa.array(place[several])], schema=ROWS)
 
 
 def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keys: float, exact: bool = False) -> DataFrame:
     """(key, owner, place) of every key that two owners or more have.
 
-    ``emit`` gives keys (uint64, well mixed), owners (int64) and places (int64, under 2**31) of a batch. ``keys`` is
+    ``emit`` gives keys (uint64, well mixed), owners (int64) and places (int64, not negative) of a batch. ``keys`` is
     about how many there are; it sets the number of buckets. Keys are told apart by 40 bits and the bucket's number,
     so a few that are not shared may come too: callers compare what they stand for. With ``exact`` all 64 bits go along.
     """
@@ -104,17 +103,17 @@ def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[n
     low = U(2**64 - 1) if exact else ~U((1 << max(0, 24 - bits)) - 1)
 
     def send(batches):
-        held, n, chunk = [], 0, 0
+        held, n = [], 0
         for batch in batches:
             for key, owner, place in emit(batch):
                 if len(key):
                     held.append((key & low, owner.astype(np.int64), place.astype(np.int64)))
                     n += len(key)
                 if n >= CHUNK:
-                    yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width, chunk)
-                    held, n, chunk = [], 0, chunk + 1
+                    yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width)
+                    held, n = [], 0
         if n:
-            yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width, chunk)
+            yield from _pack(*map(np.concatenate, zip(*held, strict=True)), bits, width)
 
     def settle(batches):
         bucket, rows = None, []

@@ -7,15 +7,18 @@ a local master: on a cluster executors could not read it, so that is an error.
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +37,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within: the shuffle files of a query go when it ends. Nothing reads them again, as its rows have been written."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
 class Scratch:
     """Tables of one run of an operator. ``save`` writes one and reads it back, which also cuts the lineage.
 
@@ -51,27 +65,28 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        with shuffles_end(self.spark):
+            df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: float, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    @contextlib.contextmanager
+    def bucketed(self, df: DataFrame, key: str, buckets: float, then: Callable[[DataFrame], DataFrame]) -> Iterator[DataFrame]:
         """As ``save``, one file for each bucket of ``key``: joins on it then leave these rows where they are.
 
-        ``then`` is applied to the rows dealt out by ``key``.
+        ``then`` is applied to the rows dealt out by ``key``. The table leaves the catalog, and its files go, at the end
+        of the block.
         """
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(buckets) + 1))
-        name = "tidemark_" + uuid.uuid4().hex[:12]
-        then(df.repartition(n, key)).write.option("compression", "zstd").option("path", self.path("bucketed")).bucketBy(n, key).sortBy(key).saveAsTable(name)
-        return self.spark.table(name)
-
-    def sweep(self) -> None:
-        """Let Spark drop the shuffle files that no DataFrame needs any more; it looks when the driver collects garbage."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+        name, path = "tidemark_" + uuid.uuid4().hex[:12], self.path("bucketed")
+        try:
+            with shuffles_end(self.spark):
+                then(df.repartition(n, key)).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+            yield self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, path)
 
     def free(self, *saved: DataFrame) -> None:
         for df in saved:

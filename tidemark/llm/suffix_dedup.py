@@ -1,8 +1,7 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
 Suffixes fall into buckets by their first q bytes. A bucket is refined by the identifiers of the buckets that its suffixes
-are in at a later offset, and the new identifiers serve the next refinement, so the length they tell apart doubles with
-each. An identifier is a fingerprint of the two that it is made of, so it is the same in every task and needs no global
+are in at later offsets. An identifier is a fingerprint of those that it is made of, so it is the same in every task and needs no global
 order. A bucket of one document is done and drops out, as no string of it can stand in another.
 
 A match of ``length`` bytes holds the same local minimum of the identifiers of its q-byte strings in either document. So
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .exchange import shared_keys
 from .scratch import Scratch
-from .text import BYTE, U, mix, pieces, texts
+from .text import BYTE, INVERSE, SPAN, U, mix, pieces, powers, texts
 
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 Q = 24
@@ -38,23 +37,16 @@ Q = 24
 BUCKET_BYTES = 32 << 20
 
 
-class Buckets:
-    """Identifiers of the strings that begin at each place of a piece of text."""
-
-    def __init__(self, buf: np.ndarray):
-        self.n, self.by = len(buf), {1: BYTE[buf]}
-
-    def of(self, length: int) -> np.ndarray:
-        """At each place where so many bytes follow."""
-        if length not in self.by:
-            half = 1 << (length.bit_length() - 1)
-            if half == length:
-                half //= 2
-            near = self.of(half)
-            far = near[length - half :] if 2 * half >= length else self.of(length - half)[half:]
-            n = max(0, self.n - length + 1)
-            self.by[length] = mix(near[:n] * A + far[:n])
-        return self.by[length]
+def identifiers(buf: np.ndarray, q: int = Q) -> np.ndarray:
+    """The bucket of the q bytes that begin at each place, by running sums over so much text as a processor's cache holds."""
+    n = max(0, len(buf) - q + 1)
+    out = np.empty(n, U)
+    for a in range(0, n, SPAN):
+        b = min(n, a + SPAN)
+        total = np.zeros(b - a + q, U)
+        np.cumsum(BYTE[buf[a : b + q - 1]] * powers(b - a + q)[: b - a + q - 1], out=total[1:])
+        out[a:b] = mix((total[q:] - total[:-q]) * powers(b - a, INVERSE)[: b - a])
+    return out
 
 
 def slide(x: np.ndarray, w: int, take) -> np.ndarray:
@@ -71,10 +63,16 @@ class Piece:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, length: int):
         self.off, self.length, self.w = off, length, length - Q + 1
-        self.buckets = Buckets(buf)
-        self.h = self.buckets.of(Q)
+        self.h = identifiers(buf)
         self.least = slide(self.h, self.w, np.minimum) if len(self.h) >= self.w else np.zeros(0, U)
 
+    def refined(self, at: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+        """Identifiers of the strings from ``at`` to ``end``, of at most ``most`` bytes: of the q-byte buckets at each q-th later offset, and at the last."""
+        key = mix(self.h[at] + (end - at).astype(U) * C)
+        for step in range(Q, most, Q):
+            key = mix(key * A + self.h[np.minimum(at + step, end - Q)] * B)
+        return key
+
     def minima(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and documents of the minima of all windows that lie in one document."""
         if not len(self.least):
@@ -105,13 +103,6 @@ class Piece:
         return at[ok], doc[ok], lo[ok], hi[ok]
 
 
-def removed_spans(text: bytes, marked: np.ndarray) -> tuple[int, int, str]:
-    """Removed bytes, maximal runs of them and the hash of the others."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.view(np.int8), [0]])))
-    kept = np.frombuffer(text, np.uint8)[~marked].tobytes()
-    return int(marked.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest()
-
-
 def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of each document.
 
@@ -126,8 +117,14 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     density = 2.0 / (length - Q + 2)
     # the texts move once, into buckets by id; each step then joins its places to them where they are
-    docs = scratch.bucketed(rows, "id", n_bytes / BUCKET_BYTES, lambda df: df.groupBy("id").agg(F.min("text").alias("text")))
-    scratch.sweep()
+    by_id = lambda df: df.groupBy("id").agg(F.min("text").alias("text"))
+    with scratch.bucketed(rows, "id", n_bytes / BUCKET_BYTES, by_id) as docs:
+        done = scratch.save(_cut(scratch, docs, length, n_bytes, with_text), "done")
+    return done
+
+
+def _cut(scratch: Scratch, docs: DataFrame, length: int, n_bytes: int, with_text: bool) -> DataFrame:
+    shift = (length - Q + 1).bit_length()  # of how far a minimum's windows begin before it
 
     def at_minima(batch):
         for ids, own, begin in _placed(batch):
@@ -136,91 +133,90 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             yield mix(p.h[at]), ids[doc], at - begin[doc]
 
     def places(df: DataFrame, name: str) -> DataFrame:
-        out = scratch.save(df.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias(name)), name)
-        scratch.sweep()
-        return out
+        return scratch.save(df.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias(name)), name)
+
+    def later(met: DataFrame) -> DataFrame:
+        """Those that a smaller owner has too. The least owners are a table, so Spark may split a key with many owners."""
+        first = scratch.save(met.groupBy("key").agg(F.min("owner").alias("first")), "first")
+        return met.join(first, "key").where("owner > first").select("owner", "place")
 
-    cands = places(shared_keys(docs, at_minima, n_bytes * density).select("owner", "place"), "places")
+    cands = places(shared_keys(docs, at_minima, n_bytes * 2.0 / (length - Q + 2)).select("owner", "place"), "places")
     n_cand = cands.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
 
     def around(batch):
         for ids, own, begin, (place, doc) in _placed(batch):
             p = Piece(own, begin, length)
             at, doc, lo, hi = p.inside(place + begin[doc], doc)
-            end = hi + length
             if len(at):
-                near = p.buckets.of(32)
-                key = near[lo] * A + near[np.minimum(lo + 32, end - 32)] * B + near[end - 32] * C + ((end - lo) * 256 + at - lo).astype(U)
-                for step in range(64, 2 * length - 24 - 32, 32):  # what these three leave out of ranges of over 96 bytes
-                    key = mix(key) * A + near[np.minimum(lo + step, end - 32)] * B
-                yield mix(key), ids[doc], at - begin[doc]
+                key = mix(p.refined(lo, hi + length, 2 * length - Q) + (at - lo).astype(U) * B)
+                yield key, ids[doc], ((at - begin[doc] << shift) + at - lo << shift) + at - hi
 
     met = scratch.save(shared_keys(docs.join(cands, "id"), around, n_cand, exact=True), "met")
-    scratch.sweep()
-    first = met.groupBy("key").agg(F.min("owner").alias("first"))
-    settled = places(met.join(first, "key").where("owner > first").select("owner", "place"), "settled")
+    settled = places(later(met), "settled")
 
     def either_side(batch):
         for ids, own, begin, (place, doc), (done, of) in _placed(batch):
+            left = ~np.isin(place + begin[doc], (done >> 2 * shift) + begin[of])
+            place, doc = place[left], doc[left]
+            if not len(place):
+                continue
             p = Piece(own, begin, length)
             at, doc, lo, hi = p.inside(place + begin[doc], doc)
-            left = ~np.isin(at, done + begin[of])
-            at, doc, lo, hi = at[left], doc[left], lo[left], hi[left]
-            longer, place = p.buckets.of(Q + 13), (at - begin[doc]) * 2
+            place = (((at - begin[doc] << shift) + at - lo << shift) + at - hi) * 2
             ok = at - 13 >= begin[doc]
-            yield mix(longer[at[ok] - 13] + A), ids[doc[ok]], place[ok]
+            yield mix(p.refined(at[ok] - 13, at[ok] + Q, Q + 13) + A), ids[doc[ok]], place[ok]
             ok = at + Q + 13 <= begin[doc + 1]
-            yield mix(longer[at[ok]] + B), ids[doc[ok]], place[ok] + 1
+            yield mix(p.refined(at[ok], at[ok] + Q + 13, Q + 13) + B), ids[doc[ok]], place[ok] + 1
 
     open_ = places(shared_keys(docs.join(cands, "id").join(settled, "id", "left"), either_side, 1.5 * n_cand).select("owner", "place"), "open")
     n_open = open_.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
 
     def windows(batch):
         for ids, own, begin, (place, doc) in _placed(batch):
+            if not len(place):
+                continue
             p = Piece(own, begin, length)
-            at, side = place // 2 + begin[doc], place % 2
-            lo, hi = p.ranges(at, doc)
+            side, place = place % 2, place // 2
+            at = (place >> 2 * shift) + begin[doc]
+            lo, hi = at - (place >> shift & (1 << shift) - 1), at - (place & (1 << shift) - 1)
             lo, hi = np.where(side == 1, np.maximum(lo, at - 13), lo), np.where(side == 0, np.minimum(hi, at - 13), hi)
             n = np.maximum(0, hi - lo + 1)
             s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             s, where = np.unique(s, return_index=True)
             owner = np.repeat(doc, n)[where]
             if len(s):
-                yield mix(p.buckets.of(length)[s]), ids[owner], s - begin[owner]
+                yield p.refined(s, s + length, length), ids[owner], s - begin[owner]
 
     hits = scratch.save(shared_keys(docs.join(open_, "id"), windows, 5.0 * n_open, exact=True), "hits")
-    first = hits.groupBy("key").agg(F.min("owner").alias("first"))
-    again = places(hits.join(first, "key").where("owner > first").select("owner", "place"), "hit")
+    again = places(later(hits), "hit")
 
     def finish(batches):
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                ids, own, begin, (place, doc), (hit, _) = next(_placed(batch.slice(i, 1)))
-                text = own.tobytes()
+            for ids, own, begin, (place, doc), (hit, of) in _placed(batch):
                 cover = np.zeros(len(own) + 1, np.int32)
-                if len(place):
-                    lo, hi = Piece(own, begin, length).ranges(place, doc)
-                    ok = lo <= hi
-                    np.add.at(cover, lo[ok], 1)
-                    np.add.at(cover, hi[ok] + length, -1)
-                np.add.at(cover, hit, 1)
-                np.add.at(cover, hit + length, -1)
-                gone = np.cumsum(cover)[: len(own)] > 0
-                out.append((int(ids[0]), len(own), *removed_spans(text, gone), own[~gone].tobytes() if with_text else None))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    done = docs.join(settled, "id", "left").join(again, "id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done if with_text else done.drop("kept")
+                at = (place >> 2 * shift) + begin[doc]
+                np.add.at(cover, at - (place >> shift & (1 << shift) - 1), 1)
+                np.add.at(cover, at - (place & (1 << shift) - 1) + length, -1)
+                np.add.at(cover, hit + begin[of], 1)
+                np.add.at(cover, hit + begin[of] + length, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                before = np.zeros(len(own), bool)
+                before[1:] = gone[:-1]
+                before[begin[:-1][begin[:-1] < len(own)]] = False  # a run ends with its document
+                removed, spans = (np.concatenate([[0], np.cumsum(x)])[begin] for x in (gone, gone & ~before))
+                kept, cut = own[~gone], begin - removed
+                held = [kept[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                columns = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (np.diff(begin), np.diff(removed), np.diff(spans))), pa.array([hashlib.sha256(x).hexdigest() for x in held], pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(held, pa.binary())] if with_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+
+    return docs.join(settled, "id", "left").join(again, "id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def _placed(batch: pa.RecordBatch):
     """ids, bytes, starts, and for each column of lists the places with their documents, piece by piece."""
     ids = batch.column(0).to_numpy()
     buf, off = texts(batch.column(1))
-    for a, b, own, begin in pieces(buf, off):
+    for a, b, own, begin in pieces(buf, off, 1 << 19):
         lists = []
         for c in range(2, batch.num_columns):
             part = batch.column(c).slice(a, b - a)
