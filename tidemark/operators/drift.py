@@ -72,6 +72,25 @@ def label_drift(ref: DataFrame, cur: DataFrame, label: str, limit: float = 0.2)
     return both.agg(F.avg(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("change")).withColumn("drifted", F.col("change") > limit)
 
 
+def concept_drift(ref: DataFrame, cur: DataFrame, label: str, limit: float = 0.2) -> DataFrame:
+    """One row: mean absolute change of the shares of the labels that both tables have, 1 if they have none in common."""
+    count = lambda df, name: df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias(name))
+    a, b = count(ref, "a"), count(cur, "b")
+    size = a.agg(F.sum("a").alias("n")).join(b.agg(F.sum("b").alias("m")), how="cross")  # one row each
+    both = a.join(b, label).join(F.broadcast(size), how="cross").agg(F.avg(F.abs(F.col("a") / F.col("n") - F.col("b") / F.col("m"))).alias("score"))
+    return both.withColumn("score", F.coalesce("score", F.lit(1.0))).withColumn("drifted", F.col("score") > limit)
+
+
+def score_drop(ref: DataFrame, cur: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", limit: float = 0.1, **how) -> DataFrame:
+    """One row: r2 on both tables of a model that is fitted on the reference, its fall, and whether that is over ``limit``."""
+    from .model import fitted, regression_metrics
+
+    model = fitted(ref, features, kind, target, **how)
+    of = lambda df: float(regression_metrics(model.transform(df.dropna(subset=[*features, target])), target)["r2"])
+    before, after = of(ref), of(cur)
+    return ref.sparkSession.createDataFrame([(before, after, before - after, before - after > limit)], "before double, after double, fall double, drifted boolean")
+
+
 def covariate(ref: DataFrame, cur: DataFrame, columns: Sequence[str], k: int = 3, limit: float = 0.8) -> DataFrame:
     """One row: mean KS score over the reference's first principal components."""
     k = min(k, len(columns))

@@ -78,3 +78,30 @@ def between_ordinals(df: DataFrame, calendar: DataFrame, start: str, end: str, d
     df = by_day(df, end, calendar, day, ["number"]).withColumnRenamed("number", "__to")
     df = by_day(df, "__before", calendar, day, ["number"]).withColumnRenamed("number", "__from")
     return df.withColumn(name, F.coalesce("__to", F.lit(0)) - F.coalesce("__from", F.lit(0))).drop("__before", "__to", "__from")
+
+
+def since(df: DataFrame, events: DataFrame, by: Sequence[str], time: str, event_time: str) -> DataFrame:
+    """``df`` with every event of its key up to its time: one row for each, or one without. An equi-join with a residual condition.
+
+    Rows multiply by the events before them; where the latest is meant, ``asof`` does not.
+    """
+    e = events.withColumnsRenamed({c: f"__e_{c}" for c in by})
+    on = [F.col(c) == F.col(f"__e_{c}") for c in by]
+    return df.join(e, [*on, F.col(time) >= F.col(event_time)], "left").drop(*[f"__e_{c}" for c in by])
+
+
+def either(df: DataFrame, columns: Sequence[str], values: DataFrame, value: str) -> DataFrame:
+    """Rows of which one of ``columns`` is among the values: a semi-join for each column, on what the ones before it left."""
+    v, out, left = values.select(F.col(value).alias("__v")).where("__v IS NOT NULL").distinct(), None, df
+    for c in columns:
+        hit = left.join(v, F.col(c) == F.col("__v"), "left_semi")
+        out, left = hit if out is None else out.unionByName(hit), left.join(v, F.col(c) == F.col("__v"), "left_anti")
+    return out
+
+
+def new_listings(quotes: DataFrame, securities: DataFrame, limits: DataFrame, states: DataFrame, code: str, day: str, listed: str, start: str, end: str) -> DataFrame:
+    """Quotes of securities listed from ``start`` to ``end``, from their listing to ``end``, with limits, state and days since the listing."""
+    s = securities.where(F.col(listed).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    d = quotes.join(s, code).where(F.col(day).between(F.col(listed), F.lit(end).cast("date")))
+    d = d.join(limits, [code, day], "left").join(states, [code, day], "left")
+    return d.withColumn("days_listed", F.datediff(day, listed))

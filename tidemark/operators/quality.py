@@ -134,6 +134,21 @@ def target_lookahead(df: DataFrame, p: Panel, target: str, least: float = 0.001)
     return df.withColumn("__c", p.pct(target)).agg(F.stddev_samp("__c").alias("std")).withColumn("suspicious", F.col("std") < least)
 
 
+def validation_report(df: DataFrame, p: Panel, required: Sequence[str], columns: Sequence[str], target: str | None = None, day: str | None = None, limit: float = 0.5) -> DataFrame:
+    """(check, passed, found) of all checks of a table: required columns, rows, repeats, missing values, dates, jumps, target."""
+    one = validation(df, required, day)
+    rows = [("columns", F.col("missing_columns") == "", F.col("missing_columns")), ("rows", ~F.col("is_empty"), F.col("rows")), ("repeats", F.col("repeated_rows") == 0, F.col("repeated_rows")), ("missing", F.coalesce("missing_share", F.lit(0.0)) == 0, F.round("missing_share", 6))]
+    if day:
+        rows.append(("dates", F.col("dates_too_old") == 0, F.col("dates_too_old")))
+    told = lambda d, of: d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("passed"), x.cast("string").alias("found")) for n, ok, x in of])).alias("r")).select("r.*")
+    out = told(one, rows)
+    jumps = lookahead(df, p, columns, limit).agg(F.count("*").alias("n"))
+    out = out.union(told(jumps, [("jumps", F.col("n") == 0, F.col("n"))]))
+    if target:
+        out = out.union(told(target_lookahead(df, p, target), [("target", ~F.coalesce("suspicious", F.lit(False)), F.round("std", 6))]))
+    return out
+
+
 def consistency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, outliers, negatives, zero_share): beyond 1.5 interquartile ranges, under zero, zero."""
     q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{c}") for c in columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import running_sums
 from ..functions.panel import Panel, div
 
 # information coefficients
@@ -49,27 +51,59 @@ def stability(ics: DataFrame, order: str) -> DataFrame:
     return out.withColumn("stable", (F.col("icir") > 0.5) & (F.col("max_drawdown") > -0.3))
 
 
-def significance(df: DataFrame, feature: str, target: str, replicates: int = 1000, seed: int = 42, least: int = 30, block: int = 100_000) -> DataFrame:
-    """One row: rank IC, bootstrap interval and p. Replicates are drawn by tasks of their own over average ranks.
+def _ranked_all(df: DataFrame, by: Sequence[str], x: str, name: str) -> DataFrame:
+    """As ``_ranked`` where ``by`` has few values and each of them many rows: no task orders all of a group's values."""
+    per = df.groupBy(*by, x).agg(F.count("*").alias("__n"))
+    return running_sums(per, by, x, {name: "__n"}).withColumn(name, F.col(name) - (F.col("__n") - 1) / 2).drop("__n", "__next")
 
-    Above ``block`` rows the interval comes from the ranks' blocks: each replicate draws blocks of rows by hash and
-    combines their moments, so no task ever holds all rows.
-    """
-    d = df.select(F.col(feature).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").withColumn("__g", F.lit(0))
-    ic = rank_ic(d, ["__g"], "x", "y", least)
-    r = d.join(_ranked(d, ["__g"], "x", "rx"), ["__g", "x"]).join(_ranked(d, ["__g"], "y", "ry"), ["__g", "y"])
-    blocks = 200
-    m = r.groupBy(F.pmod(F.xxhash64("x", "y", "rx", "ry", F.monotonically_increasing_id()), F.lit(blocks)).alias("b")).agg(*[F.sum(e).alias(k) for k, e in (("n", F.lit(1.0)), ("sx", F.col("rx")), ("sy", F.col("ry")), ("xx", F.col("rx") * F.col("rx")), ("yy", F.col("ry") * F.col("ry")), ("xy", F.col("rx") * F.col("ry")))])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, v = np.random.default_rng(seed), pdf.sort_values("b")[["n", "sx", "sy", "xx", "yy", "xy"]].to_numpy()
-        t = np.stack([v[rng.integers(0, len(v), len(v))].sum(0) for _ in range(replicates)])
-        n, sx, sy, xx, yy, xy = t.T
-        ic_ = (xy / n - sx * sy / n**2) / np.sqrt(np.maximum((xx / n - (sx / n) ** 2) * (yy / n - (sy / n) ** 2), 1e-300))
-        return pd.DataFrame({"ci_low": [np.percentile(ic_, 2.5)], "ci_high": [np.percentile(ic_, 97.5)], "p_value": [min(1.0, 2 * min((ic_ <= 0).mean(), (ic_ >= 0).mean()))]})
+def significances(df: DataFrame, columns: Sequence[str], target: str, replicates: int = 10_000, seed: int = 42, least: int = 30, confidence: float = 0.99, strong: float = 0.05) -> DataFrame:
+    """(feature, n, ic, ci_low, ci_high, p_value, significant) of each column: rank IC, its bootstrap interval and two-sided p.
 
-    boot = m.groupBy(F.lit(0).alias("g")).applyInPandas(draw, "ci_low double, ci_high double, p_value double")
-    return ic.join(boot, how="cross").drop("__g").withColumn("significant", (F.abs("ic") > 0.05) & (F.col("p_value") < 0.01))  # one row each
+    In each replicate a row counts Poisson(1) times, drawn by a generator that the row's ranks seed, so the result is
+    the same however rows lie. Rows of equal ranks are drawn together. The moments of all replicates are summed by
+    task and then over tasks; replicates keep the ranks of all rows. Columns of fewer than ``least`` known pairs have no row.
+    """
+    d = unpivoted(df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(target).cast("double").alias("__y")), ["__y"], columns).select("feature", F.col("value").alias("__x"), "__y").where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
+    size = d.groupBy("feature").agg(F.count("*").alias("n"))
+    r = d.groupBy("feature", "__x", "__y").agg(F.count("*").alias("c"))
+    r = r.join(_ranked_all(d, ["feature"], "__x", "rx"), ["feature", "__x"]).join(_ranked_all(d, ["feature"], "__y", "ry"), ["feature", "__y"]).join(F.broadcast(size), "feature")
+    r = r.where(F.col("n") >= least).select("feature", "c", *[(F.col(k) - (F.col("n") + 1) / 2).alias(k) for k in ("rx", "ry")])
+    whole = r.groupBy("feature").agg(F.sum("c").alias("n"), div(F.sum(F.col("c") * F.col("rx") * F.col("ry")), F.sqrt(F.sum(F.col("c") * F.col("rx") * F.col("rx")) * F.sum(F.col("c") * F.col("ry") * F.col("ry")))).alias("ic"))
+    names = ("n", "sx", "sy", "xx", "yy", "xy")
+
+    def draw(batches):
+        held: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for feature, c, x, y in pdf.itertuples(index=False):
+                key = int.from_bytes(hashlib.blake2b(repr((seed, feature, x, y)).encode(), digest_size=16).digest(), "little")
+                w = np.random.Generator(np.random.Philox(key=key)).poisson(c, replicates)
+                if feature not in held:
+                    held[feature] = np.zeros((6, replicates))
+                held[feature] += np.array([1.0, x, y, x * x, y * y, x * y])[:, None] * w
+        for feature, sums in held.items():
+            yield pd.DataFrame({"feature": feature, "replicate": np.arange(replicates)} | dict(zip(names, sums, strict=True)))
+
+    boot = r.repartition("feature", "rx", "ry").mapInPandas(draw, "feature string, replicate int, " + ", ".join(f"{k} double" for k in names))
+    boot = boot.groupBy("feature", "replicate").agg(*[F.sum(k).alias(k) for k in names])
+    n, sx, sy, xx, yy, xy = (F.col(k) for k in names)
+    boot = boot.select("feature", div(n * xy - sx * sy, F.sqrt(F.greatest((n * xx - sx * sx) * (n * yy - sy * sy), F.lit(0.0)))).alias("b")).where("b IS NOT NULL")
+    tail = (1 - confidence) / 2
+    drawn = boot.groupBy("feature").agg(F.percentile("b", tail).alias("ci_low"), F.percentile("b", 1 - tail).alias("ci_high"), F.avg((F.col("b") <= 0).cast("double")).alias("__le"), F.avg((F.col("b") >= 0).cast("double")).alias("__ge"))
+    p = F.when(F.col("ic") > 0, F.col("__le")).otherwise(F.col("__ge"))
+    got = whole.join(F.broadcast(drawn), "feature").withColumn("p_value", 2 * F.least(p, 1 - p)).drop("__le", "__ge")
+    return got.withColumn("significant", (F.abs("ic") > strong) & (F.col("p_value") < 0.01))
+
+
+def significance(df: DataFrame, feature: str, target: str, **how) -> DataFrame:
+    """As ``significances``, of one feature."""
+    return significances(df, [feature], target, **how).drop("feature")
+
+
+def significant_features(df: DataFrame, columns: Sequence[str], target: str, **how) -> list[str]:
+    """The significant ones of ``columns``, in their order."""
+    kept = {r[0] for r in significances(df, columns, target, **how).where("significant").select("feature").collect()}  # of columns, not rows
+    return [c for c in columns if c in kept]
 
 
 def rolling_ic(df: DataFrame, p: Panel, feature: str, target: str, n: int = 60, share: float = 0.8) -> DataFrame:
@@ -129,6 +163,34 @@ def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f(F.col(c)).alias("f")) for c in columns])).alias("r")).select("r.*")
 
 
+def selected(df: DataFrame, columns: Sequence[str], target: str | None = None, correlation: float = 0.95, variance: float = 0.01, missing: float = 0.5, stability: float | None = None, k: int = 100) -> list[str]:
+    """One run of selection: missing values, variance, correlation, stability of a forest's importance (if asked), then the k best.
+
+    The k best have the largest F statistic with the target; without a target, the largest variance.
+    """
+    left = variance_filtered(df, missing_filtered(df, columns, missing), variance)
+    left = correlation_filtered(df, left, target, correlation)
+    if target is None:
+        worth = df.agg(*[F.var_samp(c).alias(c) for c in left]).first().asDict() if left else {}
+    else:
+        if stability is not None and left:
+            from .model import importance_stability
+
+            firm = importance_stability(df.dropna(subset=[*left, target]), left, target)
+            left = [c for c in left if firm[c] >= stability]
+        worth = {r["feature"]: r["f"] for r in f_scores(df, left, target).collect()} if left else {}  # of columns, not rows
+    best = sorted(left, key=lambda c: (-(worth[c] if worth[c] is not None else -math.inf), c))[:k]
+    return [c for c in columns if c in best]
+
+
+def stability_report(ics: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """(by, periods, ic_mean, ic_std, icir, positive_ratio, trend, grade) of each feature: the trend is the slope over its periods."""
+    w = Window.partitionBy(*by).orderBy(order)
+    out = ics.withColumn("__k", F.row_number().over(w)).groupBy(*by).agg(F.count("ic").alias("periods"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), div(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_ratio"), F.regr_slope("ic", "__k").alias("trend"))
+    size = F.abs("icir")
+    return out.withColumn("grade", F.when(size > 1, "strong").when(size > 0.5, "stable").when(size > 0.2, "weak").otherwise("unstable"))
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 16) -> DataFrame:
     """(feature, mi): mutual information of quantile bins, from one table of counts for all columns."""
     q = F.array(*[F.lit(i / bins) for i in range(1, bins)])

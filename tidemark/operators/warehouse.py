@@ -98,3 +98,9 @@ def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def ranked_features(summary: DataFrame, least: float = 0.1) -> DataFrame:
     """Features by the size of their ratio, those over ``least``."""
     return summary.where(F.abs("icir") > least).withColumn("importance_rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("icir")))))
+
+
+def financials(filings: DataFrame, industries: DataFrame, multiples: DataFrame, forecasts: DataFrame, code: str, industry: str, published: str, period: str, as_of: str) -> DataFrame:
+    """Filings of one period with their industry, its multiples on the day of publication and the forecast of the period."""
+    f = filings.where((F.col(period) == F.lit(as_of).cast("date")) & F.col(published).isNotNull()).join(industries, code)
+    return f.join(multiples, [industry, published], "left").join(forecasts, [code, period], "left")

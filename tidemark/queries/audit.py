@@ -112,6 +112,21 @@ def label_drift(spark, sf):
     return rounded(drift.label_drift(*weeks(spark, sf), "event_type").select("change"))
 
 
+@query("WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'only' ELSE event_type END AS t FROM events WHERE day(ts) <= 15), c AS (SELECT event_type AS t FROM events WHERE day(ts) > 15), p AS (SELECT t, count(*) / (SELECT count(*) FROM r) AS p FROM r GROUP BY t), q AS (SELECT t, count(*) / (SELECT count(*) FROM c) AS q FROM c GROUP BY t) SELECT round(avg(abs(p - q)), 6) + 0.0 AS score, avg(abs(p - q)) > 0.2 AS drifted FROM p JOIN q USING (t)")
+def concept_drift(spark, sf):
+    ref, cur = weeks(spark, sf)
+    return rounded(drift.concept_drift(ref.withColumn("event_type", F.when(F.col("event_id") % 7 == 0, "only").otherwise(F.col("event_type"))), cur, "event_type"))
+
+
+@query()
+def score_drop(spark, sf):
+    """A model's fall from the first years to the later ones."""
+    from .models import FEATURES, frame
+
+    d = frame(spark, sf)
+    return rounded(drift.score_drop(d.where("year(d) < 1998"), d.where("year(d) >= 1998"), FEATURES, "target"), 4)
+
+
 @query()
 def covariate_drift(spark, sf):
     b = bars(spark, sf)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from ..functions.panel import ema_sql
 from ..operators import price, technical, volume
 from .base import B, BARS, FLAG_BARS, MONTH_BARS, P, R, W, bars, corr, flag_bars, lag, log, month_bars, pct, query, roll, rounded, steps
@@ -229,8 +231,9 @@ def feature_pipeline(spark, sf):
     return rounded(df, 4)
 
 
-@query(f"WITH {BARS} SELECT count(*) AS rows, count(DISTINCT secu) AS series, min(d) AS first, max(d) AS last, CAST(0.0 AS DOUBLE) AS missing_share FROM b")
+@query(f"WITH {BARS} SELECT count(*) AS rows, count(DISTINCT secu) AS series, min(d) AS first, max(d) AS last, round((count(*) - count(CASE WHEN day(d) > 3 THEN o END)) / (count(*) * 9), 6) + 0.0 AS missing_share FROM b")
 def table_report(spark, sf):
+    """One of nine columns misses the first days of each month."""
     from ..plans.pipeline import report
 
-    return rounded(report(bars(spark, sf), P))
+    return rounded(report(bars(spark, sf).withColumn("o", F.when(F.dayofmonth("d") > 3, F.col("o"))), P))

@@ -41,8 +41,8 @@ def ic_decay(spark, sf):
 
 @query()
 def ic_significance(spark, sf):
-    """Bootstrap draws are seeded, but not SQL."""
-    return rounded(research.significance(xy(spark, sf), "x", "y").drop("ci_low", "ci_high", "p_value"))
+    """All columns, of two features; draws are seeded, but not SQL."""
+    return rounded(research.significances(xy(spark, sf).withColumn("z", F.col("x") * F.col("x")), ["x", "z"], "y"))
 
 
 @query(f"WITH {MONTH_BARS}, n AS (SELECT *, row_number() OVER {W} AS rn FROM b), p AS (SELECT a.secu, a.d, z.v AS x, z.c AS y FROM n a JOIN n z ON z.secu = a.secu AND z.rn BETWEEN a.rn - 12 AND a.rn - 1), k AS (SELECT secu || '|' || d AS g, secu, d, x, y FROM p), {RANKED}, i AS (SELECT secu, d, count(*) AS m, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) AS ic FROM r GROUP BY secu, d) SELECT b.secu, b.d, round(CASE WHEN m >= 9.6 THEN ic END, 6) + 0.0 AS rolling_ic FROM b LEFT JOIN i ON i.secu = b.secu AND i.d = b.d")
@@ -55,11 +55,31 @@ def f_regression(spark, sf):
     return rounded(research.f_scores(bars(spark, sf).withColumn("y", P.lead("c")), ["o", "v"], "y"), 2)
 
 
-@query(f"WITH {BARS}, m AS (SELECT 'o' AS f UNION ALL SELECT 'v') SELECT f AS feature FROM m")
+FILTERS = f"""{BARS}, x AS (SELECT o, o * 0.5 + 1 AS o2, v, CASE WHEN day(d) > 12 THEN NULL ELSE v END AS w, 0.0 * v AS z, lead(c) OVER {W} AS y FROM b),
+s AS (SELECT count(o) / count(*) AS no, count(w) / count(*) AS nw, var_samp(o) AS a, var_samp(o2) AS b, var_samp(v) AS c, var_samp(z) AS vz, corr(o, o2) AS ab, corr(o, v) AS ac, corr(o2, v) AS bc FROM x),
+g1 AS (SELECT *, CASE WHEN abs(ab) > 0.95 THEN CASE WHEN a < b THEN 'o' ELSE 'o2' END ELSE '' END AS g1 FROM s),
+g2 AS (SELECT *, CASE WHEN abs(ac) > 0.95 AND g1 <> 'o' THEN CASE WHEN a < c THEN 'o' ELSE 'v' END ELSE '' END AS g2 FROM g1),
+g3 AS (SELECT *, CASE WHEN abs(bc) > 0.95 AND g1 <> 'o2' AND g2 <> 'v' THEN CASE WHEN b < c THEN 'o2' ELSE 'v' END ELSE '' END AS g3 FROM g2),
+kept AS (SELECT f AS feature FROM g3, (VALUES ('o'), ('o2'), ('v'), ('w'), ('z')) t(f) WHERE f NOT IN (g1, g2, g3) AND CASE f WHEN 'w' THEN nw ELSE no END >= 0.5 AND CASE f WHEN 'z' THEN vz ELSE a END >= 0.01)"""
+
+
+def _filters(spark, sf):
+    b = bars(spark, sf).withColumn("y", P.lead("c"))
+    return b.withColumns({"o2": F.col("o") * 0.5 + 1, "w": F.when(F.dayofmonth("d") <= 12, F.col("v")), "z": F.col("v") * 0.0})
+
+
+@query(f"WITH {FILTERS} SELECT feature FROM kept")
 def feature_filters(spark, sf):
-    """High moves with open and has the smaller variance of the pair; nothing is missing."""
-    b = bars(spark, sf).withColumn("o2", F.col("o") * 0.5 + 1)
-    kept = research.correlation_filtered(b, research.variance_filtered(b, research.missing_filtered(b, ["o", "o2", "v"])))
+    """w is mostly missing, z constant, and o moves with o2."""
+    b, names = _filters(spark, sf), ["o", "o2", "v", "w", "z"]
+    kept = research.correlation_filtered(b, research.variance_filtered(b, research.missing_filtered(b, names)))
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@query(f"WITH {FILTERS}, r AS (SELECT feature, CASE feature WHEN 'o' THEN var_samp(o) WHEN 'o2' THEN var_samp(o2) ELSE var_samp(v) END AS worth FROM kept, x GROUP BY feature) SELECT feature FROM r QUALIFY row_number() OVER (ORDER BY worth DESC, feature) <= 1")
+def selection_run(spark, sf):
+    """Without a target: the filters, then the largest variance."""
+    kept = research.selected(_filters(spark, sf), ["o", "o2", "v", "w", "z"], k=1)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 

@@ -15,7 +15,7 @@ FORMATS = ("parquet", "csv", "json", "orc")
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """A file or a folder, partitioned or not. The format is the path's ending, parquet for a folder; feather is read as Arrow on the driver."""
+    """A file or a folder, partitioned or not. The format is the path's ending, parquet for a folder; spreadsheet, HDF5 and feather files are refused."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         raise FileNotFoundError(path)
@@ -100,8 +100,8 @@ class Store:
     def save(self, df: DataFrame, kind: str, name: str | None = None) -> str:
         s, path = self.strategy(kind), self.path(kind, name)
         by = [c for c in s.by if c in df.columns]
-        if by:  # the files of a partition are written by the tasks that hold its rows
-            df = df.repartition(*by)
+        if by:  # rows of a partition come together, but in as many tasks as their size asks for
+            df = df.hint("rebalance", *by)
         if s.sort:
             df = df.sortWithinPartitions(*by, *s.sort)
         write(df, path, s.fmt, s.compression, by, rows_a_file=s.rows_a_file)
