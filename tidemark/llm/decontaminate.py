@@ -22,10 +22,14 @@ from .text import PUNCT, U, mix, pieces, texts, words
 
 MASKS = ("11110111", "1110100111", "1111111", "11101111")
 WINDOW, EQUAL = 13, 11
-#: Items of fewer words say too little to be looked for.
+#: Of items shorter than the window: from SHORT words on one may be substituted, and a run of these four is left then.
+SHORT, RUN = 8, "1111"
+#: Items of fewer words say too little to be looked for, unless asked.
 LEAST = 5
 #: Benchmark words of a slice: its seeds take about 24 bytes for each word and mask.
 SLICE_WORDS = 250_000
+#: Pairs of equal seeds that are compared at a time.
+PAIRS = 50_000
 HITS = "doc_id long, item_id long, doc_at int, item_at int, n_words int, n_equal int"
 
 
@@ -42,66 +46,93 @@ def hash_of(mask: str) -> int:
     return int(mask, 2) * 2 + 1
 
 
+def needed(size: int) -> tuple[int, int]:
+    """Words of an item's window, and how many of them must be equal."""
+    return (WINDOW, EQUAL) if size >= WINDOW else (size, size - 1 if size >= SHORT else size)
+
+
+def masks_of(size: int) -> tuple[str, ...]:
+    return MASKS if size >= WINDOW else (RUN,) if size >= SHORT else ("1" * size,)
+
+
 class Slice:
     """Benchmark items of a slice with their seeds in sorted order."""
 
-    def __init__(self, ids: list[int], contents: list[str]):
+    def __init__(self, ids: list[int], contents: list[str], least: int = LEAST):
         column = pa.array(contents, pa.string())
         buf, off = texts(column)
         self.words, first = words(buf, off, PUNCT)
         self.ids, self.first = np.array(ids, np.int64), first
-        seeds, items, places = [], [], []
-        for i in range(len(ids)):
-            h = self.words[first[i] : first[i + 1]]
-            if len(h) < LEAST:
-                continue
-            # an item shorter than the window may have no place for a mask with two substitutions: then all of it is one seed
-            for mask in MASKS if len(h) >= WINDOW else ("1" * len(h),):
-                s = _seeds(h, mask)
-                seeds.append(s)
-                items.append(np.full(len(s), i))
-                places.append(np.arange(len(s)))
-        cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-        seeds, items, places = cat(seeds, U), cat(items, np.int64), cat(places, np.int64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.items, self.places = seeds[order], items[order], places[order]
-        self.masks = [m for m in MASKS] + ["1" * n for n in sorted({int(n) for n in np.diff(first) if LEAST <= n < WINDOW})]
+        self.size, self.equal = np.array([needed(int(n)) for n in np.diff(first)], np.int64).reshape(-1, 2).T
+        by_mask: dict[str, list[int]] = {}
+        for i, n in enumerate(np.diff(first)):
+            for mask in masks_of(int(n)) if n >= max(1, least) else ():
+                by_mask.setdefault(mask, []).append(i)
+        self.masks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.seeds >> U(42)).astype(np.int64)] = True
+        for mask, items in by_mask.items():
+            seeds = [_seeds(self.words[first[i] : first[i + 1]], mask) for i in items]
+            item = np.repeat(items, [len(x) for x in seeds])
+            place = np.concatenate([np.arange(len(x)) for x in seeds]) + first[item]
+            seeds = np.concatenate(seeds)
+            order = np.argsort(seeds, kind="stable")
+            self.masks[mask] = seeds[order], item[order], place[order]
+            self.maybe[(seeds >> U(42)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(document, item, place in either, words, equal words) of the best window of each pair, for documents one after another."""
-        docs, items, diagonals = [], [], []
-        for mask in self.masks:
+        """(document, item, place in either, words, equal words) of the best window of each pair, for documents one after another.
+
+        Pairs of equal seeds are taken in the order of the documents' words, so many at a time, and only the windows
+        around a hit are compared; an item that a document holds word by word is not looked for again in it.
+        """
+        best: dict[tuple[int, int], tuple] = {}
+        for mask, (seeds, item_of, place_of) in self.masks.items():
             s = _seeds(h, mask)
             at = np.flatnonzero(self.maybe[(s >> U(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.seeds, s[at]), np.searchsorted(self.seeds, s[at], "right")
+            lo, hi = np.searchsorted(seeds, s[at]), np.searchsorted(seeds, s[at], "right")
             doc = np.searchsorted(first, at, "right") - 1
             ok = (hi > lo) & (at + len(mask) <= first[doc + 1])
             at, lo, hi, doc = at[ok], lo[ok], hi[ok], doc[ok]
-            n = hi - lo
-            each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            docs.append(np.repeat(doc, n))
-            items.append(self.items[each])
-            diagonals.append(np.repeat(at - first[doc], n) - self.places[each])
-        found = np.unique(np.stack([np.concatenate(docs), np.concatenate(items), np.concatenate(diagonals)]), axis=1)
-        best: dict[tuple[int, int], tuple] = {}
-        for d, i, shift in found.T:
-            doc, item = h[first[d] : first[d + 1]], self.words[self.first[i] : self.first[i + 1]]
-            a, b = max(0, -shift), min(len(item), len(doc) - shift)
-            equal = np.concatenate([[0], np.cumsum(item[a:b] == doc[a + shift : b + shift])])
-            size = min(WINDOW, len(item))
-            if b - a < size:
-                continue
-            n = equal[size:] - equal[:-size]
-            k = int(np.argmax(n))
-            if n[k] >= (EQUAL if size == WINDOW else size) and (-n[k], shift) < best.get((d, i), ((1,),))[0]:
-                best[d, i] = ((-n[k], shift), a + k + shift, a + k, size, n[k])
-        for (d, i), (_, *rest) in sorted(best.items()):
-            yield int(d), int(self.ids[i]), *map(int, rest)
-
-
-def _slices(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Slice]:
+            upto = np.cumsum(hi - lo)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+                n = hi[a:b] - lo[a:b]
+                each = np.repeat(lo[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                self._around(h, first, np.repeat(at[a:b], n), np.repeat(doc[a:b], n), item_of[each], place_of[each], len(mask), best)
+                a = b
+                whole = np.array([d * len(self.ids) + i for (d, i), found in best.items() if -found[0] == self.size[i]], np.int64)
+                if len(whole) and a < len(at):  # what is left of each place's items
+                    same = np.array([np.isin(doc[a:] * len(self.ids) + item_of[np.minimum(lo[a:] + j, len(item_of) - 1)], whole) | (lo[a:] + j >= hi[a:]) for j in range(int(min(64, (hi[a:] - lo[a:]).max())))]).all(0)
+                    keep = ~(same & (hi[a:] - lo[a:] <= 64))
+                    at, lo, hi, doc = at[a:][keep], lo[a:][keep], hi[a:][keep], doc[a:][keep]
+                    upto, a = np.cumsum(hi - lo), 0
+        for (d, i), (equal, at, place) in sorted(best.items()):
+            yield int(d), int(self.ids[i]), int(at - first[d]), int(place - self.first[i]), int(self.size[i]), int(-equal)
+
+    def _around(self, h, first, at, doc, item, place, length: int, best: dict) -> None:
+        """Compare the windows that hold a seed of ``length`` words at these places of documents and items."""
+        for size in np.unique(self.size[item]):
+            own = self.size[item] == size
+            a, d, i, q = at[own], doc[own], item[own], place[own]
+            span = np.arange(length - size, size)
+            x, y = a[:, None] + span, q[:, None] + span
+            inside = (x >= first[d][:, None]) & (x < first[d + 1][:, None]) & (y >= self.first[i][:, None]) & (y < self.first[i + 1][:, None])
+            same = np.zeros((len(a), len(span) + 1), np.int64)
+            np.cumsum(inside & (h[np.clip(x, 0, len(h) - 1)] == self.words[np.clip(y, 0, len(self.words) - 1)]), axis=1, out=same[:, 1:])
+            whole = np.zeros((len(a), len(span) + 1), np.int64)
+            np.cumsum(inside, axis=1, out=whole[:, 1:])
+            count = np.where(whole[:, size:] - whole[:, :-size] == size, same[:, size:] - same[:, :-size], -1)
+            k = np.argmax(count, axis=1)
+            found = count[np.arange(len(a)), k]
+            for j in np.flatnonzero(found >= self.equal[i]):
+                got = (-int(found[j]), int(a[j] + span[k[j]]), int(q[j] + span[k[j]]))
+                key = (int(d[j]), int(i[j]))
+                if got < best.get(key, (1,)):
+                    best[key] = got
+
+
+def _slices(bench: DataFrame, id_col: str, text_col: str, least: int) -> Iterator[Slice]:
     """Bounded parts of the benchmark, one after another; an item is never cut."""
     rows = bench.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.length("t") / 4), F.lit(0))).first()[0]
@@ -109,7 +140,7 @@ def _slices(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Slice]:
     for k in range(n):
         got = sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect())
         if got:
-            yield Slice([r[0] for r in got], [r[1] for r in got])
+            yield Slice([r[0] for r in got], [r[1] for r in got], least)
 
 
 def _in_batch(batch_text: pa.Array, part: Slice) -> Iterator[tuple[int, ...]]:
@@ -119,17 +150,19 @@ def _in_batch(batch_text: pa.Array, part: Slice) -> Iterator[tuple[int, ...]]:
             yield a + d, *rest
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, doc_at, item_at, n_words, n_equal): each document with each item that it holds, and the best window.
 
-    Words are runs of ASCII letters and digits and of all other characters, A-Z in lower case. Null or empty texts on
-    either side, items of under five words and rows with a null id on either side give no hit; an item of 5 to 12 words
-    must stand in the document whole. Ties go to the earliest diagonal. Repeated rows each give theirs. An empty table
-    gives none.
+    Words are runs of ASCII letters and digits and of all other characters, A-Z in lower case. Of an item of 8 to 12
+    words all but one must stand in the document in their places, of a shorter one all. Null or empty texts on either
+    side, items of fewer than ``least`` words (``least=1`` looks for all) and rows with a null id on either side give no
+    hit. The best window has the most equal words; ties go to the earliest in the document, then in the item. Documents
+    and items repeated under one id each give theirs. Texts of any length are read whole, in bounded memory besides the
+    text. An empty table gives none.
     """
     spark, out = docs.sparkSession, None
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    for part in _slices(bench, item_col, item_text):
+    for part in _slices(bench, item_col, item_text, least):
         held = spark.sparkContext.broadcast(part)
 
         def find(batches, held=held):
@@ -144,11 +177,15 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated rows; rows and columns are else as they were. No shuffle."""
+def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` without the contaminated rows; rows and columns are else as they were. No shuffle.
+
+    Null and empty texts, and rows without an id, stay unless a text of theirs holds an item; ids are not read. An
+    empty table, or an empty benchmark, gives ``docs`` back.
+    """
     spark, schema = docs.sparkSession, T.StructType(docs.schema.fields)
     place = docs.columns.index(text_col)
-    for part in _slices(bench, item_col, item_text):
+    for part in _slices(bench, item_col, item_text, least):
         held = spark.sparkContext.broadcast(part)
 
         def keep(batches, held=held):
