@@ -83,3 +83,90 @@ def test_notices_in_long_lines_and_wrapped_headers(spark):
     for i, *_ in rows:
         assert got[i][0] == want.get(i), (i, got[i], want.get(i))
     assert got[2000][2:] == ("own", 0) and got[2][3] == 1
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version {}
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+
+
+def test_whole_licence_files_and_what_they_cover(spark):
+    files = {"mit": (MIT, "MIT"), "bsd3": (BSD + THIRD + WARRANTY, "BSD-3-Clause"), "bsd2": (BSD + WARRANTY, "BSD-2-Clause"), "apache": (APACHE, "Apache-2.0"), "gpl3": (GPL.format("3, 29 June 2007"), "GPL-3.0"), "gpl2": (GPL.format("2, June 1991"), "GPL-2.0")}
+    rows, want = [], {}
+    for k, (name, (text, license_)) in enumerate(files.items()):
+        for n, (path, body) in enumerate(((f"{name}/LICENSE", text), (f"{name}/src/deep/a.py", "print(1)"), (f"{name}/b.py", None))):
+            rows.append((10 * k + n, path, body))
+            want[10 * k + n] = (license_, "own" if n == 0 else "inherited")
+    rows += [(900, "other/a.py", "x " * 50_000), (900, "other/a.py", "x " * 50_000), (None, "mit/c.py", "y")]
+    want[900] = (None, None)
+    got = licensed(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(got) == len(rows) - 1 and {x.doc_id: (x.license, x.origin) for x in got} == want
+    assert all(x.unit == -1 for x in got if x.origin == "own")

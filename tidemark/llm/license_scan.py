@@ -1,7 +1,7 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Units are the lines of a text (headers, notices) and, for licence files, the whole text; and
-windows of words, in long lines and across lines: around each heavy word, windows of a template's length with the word where
+windows of words, in long lines and across lines, of licence files too: around each heavy word, windows of a template's length with the word where
 the template has it, so that a complete notice is a window of its own whatever stands around it or breaks it, and overlapping
 windows of twice the longest template for longer wordings. Where a line has the licence that is found, the line is the unit. The weight of a word is its count
 times ln((1 + N) / (1 + df)) + 1 over all N texts; words that no template holds weigh 1. A unit has the licence of the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Short forms and first lines of well-known licences, by SPDX identifier.
+#: Short forms, titles and tell-tale sentences of well-known licences, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -33,7 +33,16 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -100,7 +109,7 @@ def licensed(files: DataFrame, path_col: str = "path", text_col: str = "text", i
     """(doc_id, license, score, origin, unit, licensed_by) of every row of ``files``.
 
     ``origin`` is "own" (a line, a window of words or, in a licence file, the whole text), "inherited" (``licensed_by`` is the licence file's
-    path) or null without any. ``unit`` is the line's number from 0 (of a window, that of its first word), -1 for a whole file. Ties go to the larger score, the
+    path) or null without any. ``unit`` is the line's number from 0 (of a window, that of its first word), -1 for a licence file. Ties go to the larger score, the
     first unit, the first template. A null or empty text has no licence of its own; a null path inherits nothing; rows
     repeated each get a row, those of one id the same one (the best of them). Rows with a null id take no part. An empty
     table gives an empty result. Other columns are not read.
@@ -134,14 +143,14 @@ def licensed(files: DataFrame, path_col: str = "path", text_col: str = "text", i
         dot = terms.join(by_word, "w").groupBy("id", key, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
         return dot.join(length, ["id", key]).join(about, "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("of")), 9)).where(F.col("score") >= threshold)
 
-    prose = rows.where(~is_file & F.arrays_overlap(tokens(F.col("text")), heavy)).select("id", "text").distinct()
+    prose = rows.where(F.arrays_overlap(tokens(F.col("text")), heavy)).select("id", is_file.alias("whole"), "text").distinct()
     of_line = lambda line, i: F.transform(tokens(line), lambda w: F.struct(w.alias("w"), i.alias("line")))
-    spread = prose.select("id", F.xxhash64("text").alias("text"), F.flatten(F.transform(F.split("text", "\n"), of_line)).alias("words"))
+    spread = prose.select("id", F.struct("whole", F.xxhash64("text").alias("hash")).alias("text"), F.flatten(F.transform(F.split("text", "\n"), of_line)).alias("words"))
     longest = max(len(_words(t)) for _, t in templates)
     windows = spread.select("id", "text", F.explode(_windows(F.col("words"), _places(templates, heavies), longest)).alias("v"))
     windows = windows.select("id", F.struct("text", "v.key").alias("key"), F.col("v.words")[0]["line"].alias("line"), F.transform("v.words", lambda s: s["w"]).alias("words"))
     windows = scratch.save(windows, "windows")
-    within = scores(windows, "key", "window_terms").join(windows.select("id", "key", "line"), ["id", "key"]).select("id", F.col("line").alias("unit"), "template", "license", "score")
+    within = scores(windows, "key", "window_terms").join(windows.select("id", "key", "line"), ["id", "key"]).select("id", F.when(F.col("key.text.whole"), -1).otherwise(F.col("line")).alias("unit"), "template", "license", "score")
     # the licence by the best of lines and windows; where a line has that licence too, the line stands for it
     found = F.struct("score", (-F.col("unit")).alias("u"), (-F.col("template")).alias("t"))
     both = scores(units, "unit", "terms").select("id", "license", found.alias("line"), F.lit(None).cast("struct<score:double,u:int,t:int>").alias("part")).union(within.select("id", "license", F.lit(None).cast("struct<score:double,u:int,t:int>"), found))
