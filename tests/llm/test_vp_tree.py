@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidemark.llm import vp_tree
 from tidemark.llm.vp_tree import neighbours
 
 DDL = "vec_id long, embedding array<float>, label int, score double"
@@ -57,3 +58,19 @@ def test_recall_in_few_dimensions_over_several_regions(spark):
         # 6000 // (4 * 300) regions, and about 20 shards
         hit = sum(w.vec_id in {i for _, i in want[w.query_id]} for w in neighbours(df, df.where("vec_id % 60 = 0"), 10, shard=300).collect())
         assert hit >= 0.97 * sum(map(len, want.values())), (dim, hit)
+
+
+def test_queries_in_parts_repeated_ids_and_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vp_tree, "QUERIES", 7)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 5)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)] + [(3, (x[3] + 50).tolist(), 1, 0.0)]  # the lesser vector of id 3 counts
+    df = spark.createDataFrame(rows, DDL).repartition(3)
+    asked = list(range(0, 400, 4)) + [3]
+    got = {}
+    for w in neighbours(df, df.where("vec_id % 4 = 0 or vec_id = 3"), 5, factor=1.0, shard=60).collect():
+        got.setdefault(w.query_id, []).append((w.rank, w.vec_id))
+    want = brute(list(range(400)), x.astype(float), asked, 5)
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    long = spark.createDataFrame([(i, r.normal(size=20_000).tolist(), 1, 0.0) for i in range(6)], "vec_id long, embedding array<double>, label int, score double")
+    assert neighbours(long, long, 10).count() == 30

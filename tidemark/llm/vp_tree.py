@@ -22,6 +22,8 @@ from .scratch import Scratch
 
 #: Vectors of a shard and of a leaf of its tree; most vectors of the sample and regions of the coarse tree.
 SHARD, LEAF, SAMPLE, REGIONS = 8192, 128, 20_000, 1024
+#: Queries that search a shard together; where more do, its vectors go out once for each so many.
+QUERIES = 20_000
 #: Chosen by recall over several regions and shards, on data of few and of many dimensions; the figures are in the README.
 FACTOR = 1.5
 
@@ -149,7 +151,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     """(query_id, rank, vec_id, score): the k nearest vectors that each query finds, other than those of its own id.
 
     Vectors of a length other than the commonest take no part (on a tie, the shorter counts), nor do vectors null, zero
-    or with a null or non-finite component; nor do rows with a null id. Rows repeated under one id count once. Ties go to
+    or with a null or non-finite component; nor do rows with a null id. Of rows repeated under one id the least vector counts. Ties go to
     the smaller id. Fewer candidates give fewer rows, an empty table none. Other columns are not read.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vp")
@@ -159,11 +161,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     if not sizes:
         return spark.createDataFrame([], schema)
     total, dim = -sizes[0][0], sizes[0][1]
-    rows = scratch.save(rows.where(F.size("v") == dim).dropDuplicates(["id"]), "rows")
-    asked = scratch.save(usable(queries, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id"]), "asked")
+    one = lambda df: df.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    rows = scratch.save(one(rows), "rows")
+    asked = scratch.save(one(usable(queries, id_col, vector_col)), "asked")
     regions = int(min(REGIONS, max(1, total // (4 * shard))))
-    order = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= (1 << 30) * min(1.0, 1.2 * SAMPLE / total)).select("v")
-    held = spark.sparkContext.broadcast(Regions(np.array([r[0] for r in order.limit(SAMPLE).collect()] or [[0.0] * dim]), regions))
+    order = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= (1 << 30) * min(1.0, 1.2 * SAMPLE / total)).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE)
+    held = spark.sparkContext.broadcast(Regions(np.array([r["v"] for r in order.collect()] or [[0.0] * dim]), regions))
 
     def place(batches):
         for b in batches:
@@ -175,7 +178,6 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     first = dict(zip(sorted(shards), np.cumsum([0, *(shards[r] for r in sorted(shards))]).tolist(), strict=False))
     plan = spark.createDataFrame([(r, shards[r], first[r]) for r in shards], "region int, parts int, first int")
     dealt = placed.join(F.broadcast(plan), "region").select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(3)), "parts")).cast("int").alias("shard"), "id", "v")
-    n_shards = sum(shards.values())
 
     def ask(own: bool):
         def run(batches):
@@ -207,8 +209,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: floa
         return pa.Table.from_arrays([pa.array(np.repeat(own, ok.sum(1))), pa.array(best.i[ok]), pa.array(best.d[ok])], schema=FOUND)
 
     def searched(bounds: DataFrame, own: bool) -> DataFrame:
-        sent = bounds.select("id", "v", "bound").mapInArrow(ask(own), "shard int, id long, v array<double>, bound double")
-        return sent.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(find, "query_id long, vec_id long, score double")
+        sent = scratch.save(bounds.select("id", "v", "bound").mapInArrow(ask(own), "shard int, id long, v array<double>, bound double"), "sent")
+        load = sent.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+        asked = sent.join(load, "shard").select("shard", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "v", "bound")
+        full = dealt.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+        return asked.groupBy("shard", "part").cogroup(full.groupBy("shard", "part")).applyInArrow(find, "query_id long, vec_id long, score double")
 
     top = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
     near = scratch.save(searched(asked.withColumn("bound", F.lit(float("inf"))), True), "near")
