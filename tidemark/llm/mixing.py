@@ -131,10 +131,14 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, share: float = 1.0,
 
 
 def mixture(docs: DataFrame, shards: int = 16, seed: int = 17, **how) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken, dealt to ``shards`` and shuffled in each."""
+    """The mix itself: ``docs`` with each row as often as it is taken, dealt to ``shards`` and shuffled in each.
+
+    A shard is as many tasks as its size asks for. Null texts, null ids, repeated rows, clashing names and an empty
+    table are as in ``mixed``; a document without words is not taken.
+    """
     own = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*own)
     names = {k: own[docs.columns.index(how.pop(k, v))] for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))}
     got = mixed(plain, shards, seed, keep_columns=True, **names, **how)
     got = got.select(*own, F.posexplode("shards").alias("__copy", "__shard"))
-    return got.repartition(shards, "__shard").sortWithinPartitions("__shard", F.xxhash64(names["id_col"], "__copy", F.lit(seed + 3))).select(*own).toDF(*docs.columns)
+    return got.hint("rebalance", "__shard").sortWithinPartitions("__shard", F.xxhash64(names["id_col"], "__copy", F.lit(seed + 3))).select(*own).toDF(*docs.columns)

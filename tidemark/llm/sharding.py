@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 LAW = "bytes"
-#: Ranges for each shard, and sampled records for each range.
-RANGES, SAMPLE = 32, 40
+#: Least ranges of a shard, bytes that a range should hold beyond these, most ranges in all; sampled records for each range.
+RANGES, RANGE_BYTES, MOST, SAMPLE = 32, 64 << 20, 16_384, 40
 LOWEST = -(2**63)
 
 
@@ -64,7 +64,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 5, id_col: str = "doc_
     keys = [F.col(f"`{id_col}`").cast("long").alias("__id"), (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(text).alias("__crc"), F.xxhash64(text).alias("__h")]
     rows = scratch.save(docs.select(*keys), "keys")
     total = rows.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
-    step = max(1.0, total / (shards * RANGES))
+    step = max(1.0, total / (shards * min(max(RANGES, total // (shards * RANGE_BYTES)), max(RANGES, MOST // shards))))
     chance = lambda salt: F.pmod(F.xxhash64("__h", "__id", F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
     order_id = F.coalesce("__id", F.lit(LOWEST))
     cuts: list[tuple[int, int]] = []
@@ -82,7 +82,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 5, id_col: str = "doc_
     part = rows
     for turn in range(rounds):
         sample = part.where(chance(seed + turn) < F.col("__size") * dense).select("__h", order_id.alias("i"), F.greatest(F.col("__size").cast("double"), F.lit(1 / dense)).alias("w"))
-        sample = [tuple(r) for r in sample.collect()]  # about SAMPLE * RANGES * shards, by the chance's sum
+        sample = [tuple(r) for r in sample.collect()]  # about SAMPLE for each range, by the chance's sum
         known = set(cuts)
         cuts = sorted(known | set(cuts_of(sample, step)))
         sums = {r["__range"]: r["b"] for r in ranged(rows).groupBy("__range").agg(F.sum("__size").alias("b"), F.count("*").alias("n")).where("n > 1").select("__range", "b").collect()}
