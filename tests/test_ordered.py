@@ -3,10 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import by_day, running_sums
+from tidemark.functions.panel import Panel, ema
 from tidemark.operators import drift, joins, opening, research
 
 
@@ -66,3 +68,24 @@ def test_fall_of_a_models_score(spark):
     make = lambda sign: spark.createDataFrame([(float(a), float(sign * 2 * a)) for a in x], "x double, target double")
     assert drift.score_drop(make(1), make(1), ["x"], "target").first().drifted is False
     assert drift.score_drop(make(1), make(-1), ["x"], "target").first().drifted is True
+
+
+@pytest.mark.parametrize("adjust", [False, True])
+def test_exponential_means_over_batches_equal_pandas(spark, adjust):
+    rng = np.random.default_rng(7)
+    rows = [(k, t, None if rng.random() < 0.3 else float(rng.normal())) for k, n in (("a", 40), (None, 25), ("b", 1), ("c", 11)) for t in range(n)]
+    rows += [("d", t, None) for t in range(9)] + [("d", 20, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.k, r.t): r for r in ema(df, Panel(("k",), ("t",)), {"f": ("x", 3), "s": ("x", 9), "m": (("f", "s"), 4)}, adjust).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for k in {r[0] for r in rows}:
+        own = pd.Series([x for key, _, x in rows if key == k], dtype=float)
+        mean = lambda x, n: x.ewm(span=n, adjust=adjust).mean()
+        f, s = mean(own, 3), mean(own, 9)
+        for name, want in (("f", f), ("s", s), ("m", mean(f - s, 4))):
+            have = pd.Series([getattr(got[k, t], name) for key, t, _ in rows if key == k], dtype=float)
+            pd.testing.assert_series_equal(have, want, check_names=False, rtol=1e-9)

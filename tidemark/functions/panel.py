@@ -6,8 +6,11 @@ plans one exchange and one sort for any number of them. Missing is NULL; a divis
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -126,21 +129,70 @@ class Panel:
         return F.exp(F.sum(F.ln(1 + col(r))).over(self.so_far))
 
 
-def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str, float]], adjust: bool = False) -> DataFrame:
+class _Decayed:
+    """An exponential mean that is fed a series piece by piece."""
+
+    def __init__(self, span: float, adjust: bool):
+        self.alpha, self.adjust = 2 / (span + 1), adjust
+        self.mean, self.gap, self.sums = None, 0, (0.0, 0.0)
+
+    def _run(self, seed: list[float], x: np.ndarray) -> np.ndarray:
+        import pandas as pd
+
+        return pd.Series(np.concatenate([seed, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(seed) :]
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """The means at each of x; a gap repeats the last one, and what came before it weighs less after it."""
+        known = ~np.isnan(x)
+        if self.adjust:  # decayed sums of values and of ones
+            up, down = (self._run([s], v / self.alpha) for s, v in zip(self.sums, (np.where(known, x, 0.0), known.astype(float)), strict=True))
+            self.sums = float(up[-1]), float(down[-1])
+            return np.divide(up, down, out=np.full(len(x), np.nan), where=down > 0)
+        most = 1 if self.alpha >= 1 else int(-750 / math.log1p(-self.alpha)) + 1  # beyond it nothing is left of the weight
+        out = self._run([] if self.mean is None else [self.mean, *[np.nan] * min(self.gap, most)], x)
+        if known.any():
+            self.mean, self.gap = float(out[-1]), int(np.argmax(known[::-1]))
+        else:
+            self.gap += len(x)
+        return out
+
+
+def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str | tuple[str, str], float]], adjust: bool = False) -> DataFrame:
     """Adds exponential means: {output: (input, span)}, seeded by the first value, weights decaying over gaps too.
 
-    Recursive, so each series is folded by one task, in Arrow batches; all outputs in one pass.
+    An input is a column, an earlier output, or the difference of two of these. Recursive, so each series is folded by one
+    task, all outputs in one pass: rows come in order in Arrow batches, of which only the inputs are looked at, and only
+    the means are carried from one to the next.
     """
-    import pandas as pd
     from pyspark.sql import types as T
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in spans]])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(panel.time), kind="stable")
-        return pdf.assign(**{n: pdf[x].astype(float).ewm(span=s, adjust=adjust).mean() for n, (x, s) in spans.items()})
-
-    return df.groupBy(*panel.by).applyInPandas(fold, schema)
+    by, names = list(panel.by), list(spans)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def fold(batches):
+        last, means = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            series = [batch.column(batch.schema.get_field_index(c)) for c in by]
+            edge = np.zeros(batch.num_rows, bool)
+            for c in series:
+                code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                edge[1:] |= code[1:] != code[:-1]
+            first = tuple(c[0].as_py() for c in series)
+            edge[0] = last is None or first != last
+            last = tuple(c[-1].as_py() for c in series)
+            held = {c: batch.column(batch.schema.get_field_index(c)).cast("double").to_numpy(zero_copy_only=False) for c in {c for x, _ in spans.values() for c in ([x] if isinstance(x, str) else x)} - set(names)}
+            held |= {n: np.empty(batch.num_rows) for n in names}
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(edge), [batch.num_rows]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if edge[a]:
+                    means = {n: _Decayed(span, adjust) for n, (_, span) in spans.items()}
+                for n, (x, _) in spans.items():
+                    held[n][a:b] = means[n].add(held[x][a:b] if isinstance(x, str) else held[x[0]][a:b] - held[x[1]][a:b])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(held[n], from_pandas=True) for n in names)], names=[*batch.schema.names, *names])
+
+    return df.repartition(*by).sortWithinPartitions(*by, *panel.time).mapInArrow(fold, schema)
 
 
 def ema_sql(panel: Panel, x, span: float, n: int) -> Column:

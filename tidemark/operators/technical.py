@@ -20,8 +20,8 @@ def rsi(df: DataFrame, p: Panel, b: Bar = Bar(), n: int = 14) -> DataFrame:
 
 def macd(df: DataFrame, p: Panel, b: Bar = Bar(), fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False) -> DataFrame:
     """MACD, its signal line and histogram. ``adjust`` corrects the bias of the first values."""
-    out = ema(df, p, {"__f": (b.c, fast), "__s": (b.c, slow)}, adjust).withColumn("MACD", F.col("__f") - F.col("__s")).drop("__f", "__s")
-    out = ema(out, p, {"MACD_Signal": ("MACD", signal)}, adjust)
+    out = ema(df, p, {"__f": (b.c, fast), "__s": (b.c, slow), "MACD_Signal": (("__f", "__s"), signal)}, adjust)
+    out = out.withColumn("MACD", F.col("__f") - F.col("__s")).drop("__f", "__s")
     return out.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
 
 
