@@ -195,6 +195,20 @@ def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str | tuple[str, str
     return df.repartition(*by).sortWithinPartitions(*by, *panel.time).mapInArrow(fold, schema)
 
 
+def rolling_apply(panel: Panel, x, n: int, fn) -> Column:
+    """A function of the last n values, given as a pandas series, once there are n: for what no built-in aggregate says.
+
+    Windows go to Python as Arrow batches; built-in aggregates (``Panel.roll``) are faster.
+    """
+    import pandas as pd
+
+    def run(values: pd.Series) -> float:
+        return float(fn(values))
+
+    run.__annotations__ = {"values": pd.Series, "return": float}
+    return F.when(F.count(col(x)).over(panel.last_n(n)) >= n, F.pandas_udf(run, "double")(col(x)).over(panel.last_n(n)))
+
+
 def ema_sql(panel: Panel, x, span: float, n: int) -> Column:
     """As ``ema`` in plain Spark, by a fold over the last n values; for short series or where the weight beyond n is nothing."""
     a = 2.0 / (span + 1)

@@ -50,3 +50,19 @@ def quality(df: DataFrame, p: Panel, price: str = "ClosePrice", volume: str = "T
     parts = [F.col(c) for c in ("Data_Quality_Score", "Price_Continuity", "Price_Reasonable", "Volume_Reasonable")]
     known = sum((x.isNotNull().cast("int") for x in parts[1:]), parts[0].isNotNull().cast("int"))
     return df.withColumn("Overall_Quality", sum((F.coalesce(x, F.lit(0.0)) for x in parts[1:]), F.coalesce(parts[0], F.lit(0.0))) / known)
+
+
+def fundamental_features(df: DataFrame, p: Panel, ratios: Sequence[str] = (), figures: Sequence[str] = (), industry: Sequence[str] = ()) -> DataFrame:
+    """All groups that the columns allow: valuation of ratios and their score, growth of figures, the first ratio against its industry."""
+    for c in ratios:
+        df = valuation(df, p, c)
+    if ratios:
+        df = valuation_score(df, p, ratios)
+    for c in figures:
+        df = growth(df, p, c)
+    return industry_relative(df, industry, ratios[0], ratios[0]) if industry and ratios else df
+
+
+def feature_names(df: DataFrame, made: DataFrame) -> list[str]:
+    """The columns that ``made`` has besides those of ``df``."""
+    return [c for c in made.columns if c not in df.columns]

@@ -98,3 +98,21 @@ def importance_stability(df: DataFrame, features: Sequence[str], target: str = "
     rows = [list(importance(fitted(df.where(F.pmod(F.xxhash64(*features, F.lit(seed + i)), F.lit(2)) == 0), features, "forest", target, trees=trees, seed=seed), features).values()) for i in range(splits)]
     x = np.array(rows)
     return dict(zip(features, map(float, x.mean(0) / (x.std(0) + 1e-12)), strict=True))
+
+
+def saved(model: PipelineModel, path: str) -> str:
+    """Write a model to any file system that Spark can write to."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def loaded(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def summary(spark, model: PipelineModel, features: Sequence[str]):
+    """(feature, importance, share) of a fitted model, the largest first in ``rank``."""
+    worth = importance(model, features)
+    total = sum(worth.values()) or 1.0
+    order = sorted(worth, key=lambda c: (-worth[c], c))
+    return spark.createDataFrame([(c, worth[c], worth[c] / total, order.index(c) + 1) for c in features], "feature string, importance double, share double, rank int")

@@ -76,3 +76,18 @@ def shares(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
     n = df.groupBy(by).agg(F.count("*").alias("n"))
     out = n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), how="cross").select(by, "n", (F.col("n") / F.col("all")).alias("share"))  # one row
     return out if top is None else out.orderBy(F.desc("n"), by).limit(top)
+
+
+#: A suspension's fields, in order.
+SUSPENSION = "InnerCode long, SecuCode string, SuspendDate date, ResumptionDate date, InfoSource int, SuspendReason string"
+
+
+def suspension_documents(df: DataFrame, sources: dict[int, str]) -> DataFrame:
+    """(InnerCode, document) as JSON text, with the source's name."""
+    names = [f.split()[0] for f in SUSPENSION.split(", ")]
+    return df.select("InnerCode", F.to_json(F.struct(*names, decoded("InfoSource", sources).alias("InfoSourceName"))).alias("document"))
+
+
+def suspensions_from_documents(df: DataFrame, column: str = "document") -> DataFrame:
+    """The suspensions that JSON texts hold; dates are parsed, texts that don't parse give NULLs, unknown fields are left out."""
+    return df.select(F.from_json(column, SUSPENSION).alias("r")).select("r.*")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, model, opening, quality, research, technical, volume
+from ..functions.panel import rolling_apply
+from ..operators import fundamental, joins, model, opening, quality, relational, research, technical, volume
 from ..operators import warehouse as wh
-from .base import B, BARS, FLAG_BARS, MONTH_BARS, P, W, bars, flag_bars, month_bars, query, read, rounded
+from ..sources import tables
+from .base import B, BARS, FLAG_BARS, MONTH_BARS, P, R, W, bars, flag_bars, month_bars, query, read, rounded
 from .models import FEATURES, frame
+from .tables import SOURCES, SUSPEND, suspensions_of
 
 NOISE = "(CAST('0x' || substr(md5(secu || '|' || strftime(d, '%Y-%m-%d') || '|42'), 1, 8) AS BIGINT) / 2147483648.0 - 1)"
 OPENING = {
@@ -61,7 +64,7 @@ def filings_on_either_day(spark, sf):
 
 
 @query(f"WITH {MONTH_BARS}, f AS (SELECT secu, CAST(d + INTERVAL 1 MONTH AS DATE) AS published, d AS period, c AS eps FROM b), i AS (SELECT s_suppkey AS secu, s_nationkey AS industry FROM supplier), m AS (SELECT industry, d AS published, avg(c) AS multiple FROM b JOIN i USING (secu) WHERE secu % 2 = 0 GROUP BY 1, 2), p AS (SELECT secu, d AS period, h AS forecast FROM b WHERE secu % 3 = 0) SELECT f.secu, industry, f.published, f.period, round(eps, 4) + 0.0 AS eps, round(multiple, 4) + 0.0 AS multiple, round(forecast, 4) + 0.0 AS forecast FROM f JOIN i USING (secu) LEFT JOIN m USING (industry, published) LEFT JOIN p USING (secu, period) WHERE f.period = DATE '1995-06-01'")
-def financials(spark, sf):
+def filing_financials(spark, sf):
     b = month_bars(spark, sf)
     industries = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("secu"), F.col("s_nationkey").alias("industry"))
     filings = b.select("secu", F.add_months("d", 1).alias("published"), F.col("d").alias("period"), F.col("c").alias("eps"))
@@ -124,3 +127,32 @@ def volume_group(spark, sf):
 def elimination(spark, sf):
     """The two features that recursive elimination keeps."""
     return spark.createDataFrame([(c,) for c in model.eliminated(frame(spark, sf), FEATURES, 2)], "feature string")
+
+
+@query("WITH m AS (SELECT CAST(g AS DATE) AS m FROM generate_series(DATE '2023-11-01', DATE '2024-03-01', INTERVAL 1 MONTH) t(g)) SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, greatest(m, DATE '2023-11-15') AS start, least(last_day(m), DATE '2024-03-10') AS \"end\" FROM m")
+def month_ranges(spark, sf):
+    return tables.month_ranges(spark, "2023-11-15", "2024-03-10")
+
+
+@query(f"WITH {FLAG_BARS} SELECT secu, d, round(CASE WHEN count(c) OVER {R(5)} = 5 THEN (max(c) OVER {R(5)} - min(c) OVER {R(5)}) / avg(c) OVER {R(5)} END, 6) + 0.0 AS spread FROM b")
+def user_function(spark, sf):
+    """A user's function over rolling windows."""
+    df = flag_bars(spark, sf)
+    return rounded(df.select("secu", "d", rolling_apply(P, "c", 5, lambda v: (v.max() - v.min()) / v.mean()).alias("spread")))
+
+
+@query(SUSPEND + ' SELECT "InnerCode", "SecuCode", "SuspendDate", "ResumptionDate", "InfoSource", "SuspendReason" FROM susp')
+def suspension_round_trip(spark, sf):
+    """Written as JSON texts and read back."""
+    return relational.suspensions_from_documents(relational.suspension_documents(suspensions_of(spark, sf), SOURCES))
+
+
+@query()
+def fundamental_group(spark, sf):
+    df = month_bars(spark, sf).select("secu", "d", F.col("c").alias("PE"), F.col("o").alias("PB"), F.col("amt").cast("double").alias("Revenue"))
+    return rounded(fundamental.fundamental_features(df, P, ["PE", "PB"], ["Revenue"], ["d"]), 4)
+
+
+@query()
+def model_summary(spark, sf):
+    return rounded(model.summary(spark, model.fitted(frame(spark, sf), FEATURES, "ridge"), FEATURES), 4)

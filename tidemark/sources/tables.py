@@ -121,12 +121,33 @@ class Store:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What each format is for.
+ABOUT_FORMATS = {
+    "parquet": "columns with statistics: scans of few columns and filters read little",
+    "orc": "as parquet, with indexes in the file",
+    "csv": "text for exchange; no types, no statistics",
+    "json": "text with nested fields; no statistics",
+}
+
+
+def format_info(spark: SparkSession) -> DataFrame:
+    """(format, about, columnar) of the formats that can be read and written."""
+    return spark.createDataFrame([(f, ABOUT_FORMATS[f], f in ("parquet", "orc")) for f in FORMATS], "format string, about string, columnar boolean")
+
+
+def month_ranges(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """(year, month, start, end) of each month from ``start`` to ``end``, the first and last clipped to these."""
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    first = spark.range(1).select(F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month"))).alias("m")).where(lo <= hi)
+    return first.select(F.year("m").alias("year"), F.month("m").alias("month"), F.greatest("m", lo).alias("start"), F.least(F.last_day("m"), hi).alias("end"))
+
+
 def monthly(df: DataFrame, day: str) -> DataFrame:
     """``year`` and ``month`` for partitioned output."""
     return df.withColumns({"year": F.year(day), "month": F.month(day)})
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """(name, columns) of the session's tables and views."""
-    rows = [(t.name, [c.name for c in spark.catalog.listColumns(t.name)]) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "name string, columns array<string>")
+    """(name, columns, types) of the session's tables and views."""
+    rows = [(t.name, [c.name for c in cols], [c.dataType for c in cols]) for t in spark.catalog.listTables() for cols in [spark.catalog.listColumns(t.name)]]
+    return spark.createDataFrame(rows, "name string, columns array<string>, types array<string>")
