@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import jaccard_join
-from tidemark.llm.jaccard_join import bands, jaccard_components, near_duplicates_dropped, signatures
+from tidemark.llm.jaccard_join import apart, bands, jaccard_components, near_duplicates_dropped, shape, signed, sketches
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.text import mix
 
@@ -81,23 +81,32 @@ def test_large_loose_groups_in_blocks(spark, monkeypatch):
 
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(0)
-    ends = bands(8, 10, 5000)
     for n in (1, 2, 4, 9, 10, 37, 90, 130, 400):
         for _ in range(30):
-            a = mix(rng.integers(1, 2**62, n).astype(np.uint64))
-            drop = int(rng.integers(0, n // 5 + 1))
-            b = a[drop:]
+            a = np.sort(mix(rng.integers(1, 2**62, n).astype(np.uint64)))
+            b = a[np.sort(rng.permutation(n)[int(rng.integers(0, n // 5 + 1)) :])]
             if 10 * len(b) >= 8 * n and len(b):
-                assert set(signatures(np.sort(a), ends, 8, 10)) & set(signatures(np.sort(b), ends, 8, 10))
+                key, owner, _, room = signed(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 8, 10)
+                assert set(key[owner == 0]) & set(key[owner == 1])
+                assert room.max() <= shape(int(bands(8, 10, n)[-1]), 8, 10)[3]
+
+
+def test_sketches_never_tell_more_than_the_sets_differ():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 1), (30, 31), (255, 256), (300, 240), (5000, 4100)):
+        a = np.unique(mix(rng.integers(0, 2**62, n).astype(np.uint64)))
+        b = np.unique(np.concatenate([a[: m // 2], mix(rng.integers(0, 2**62, m - m // 2).astype(np.uint64))]))
+        x, y = sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert apart(x, x) == 0 < apart(x, y) + (n == 1) and apart(x, y) <= len(np.setxor1d(a, b))
 
 
 def test_empty_repeated_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert jaccard_components(spark.createDataFrame([], schema)).collect() == []
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g")], schema)
-    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (1, 1), (3, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (3, 1)]
     kept = near_duplicates_dropped(df)
-    assert kept.columns == ["doc_id", "text"] and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+    assert kept.columns == ["doc_id", "text"] and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
 def test_links_of_ids_join_their_labels(spark):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PUNCT, U, mix, pieces, texts, words
+from .text import PUNCT, U, mix, pieces, texts, tidy, words
 
 MASKS = ("11110111", "1110100111", "1111111", "11101111")
 WINDOW, EQUAL = 13, 11
@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["doc_id", "item_id", "doc_at", "item_at", "n_words", "n_equal"])
 
-        more = rows.mapInArrow(find, HITS)
+        more = rows.mapInArrow(tidy(find), HITS)
         out = more if out is None else out.union(more)
     return spark.createDataFrame([], HITS) if out is None else out
 
@@ -194,5 +194,5 @@ def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
                 ok[[d for d, *_ in _in_batch(batch.column(place), held.value)]] = False
                 yield batch.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = docs.mapInArrow(tidy(keep), schema)
     return docs

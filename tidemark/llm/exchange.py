@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import U, mix
+from .text import U, mix, tidy
 
 #: Keys that a mapper gathers before it sends them on.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Keys that a bucket should hold.
 BUCKET = 1_000_000
 PACKED = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), ("base", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("settled", pa.binary())])
@@ -128,4 +128,4 @@ def shared_keys(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[n
             yield from _settle(rows, bits, width)
 
     parts = max(1 << bits, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.mapInArrow(send, PACKED_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, ROWS_DDL)
+    return df.mapInArrow(tidy(send), PACKED_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(settle), ROWS_DDL)

@@ -19,13 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import shared_keys
 from .graph import components
 from .scratch import Scratch
-from .text import U, grams, mix, pieces, texts, words
+from .text import U, mix, pieces, shingles, texts, tidy
 
 #: Ids whose broadcast is surely small (8 bytes each).
 SMALL = 500_000
@@ -51,50 +51,87 @@ def shape(end: int, num: int, den: int) -> tuple[int, int, int, int]:
     n2 = 2
     while n2 < 4 and (n2 - 1) * end < 6 * n1 * n2:  # pieces kept in a signature: six elements or so
         n2 += 1
-    spare = min(2, n1 // 8)
+    spare = -(-n1 // 8) if n1 > 1 else 0
     return n1 + spare, n2, differ // n1, spare
 
 
-def signatures(s: np.ndarray, ends: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of one set of distinct hashes.
+def signed(s: np.ndarray, first: np.ndarray, num: int, den: int):
+    """Signatures of sets of distinct hashes that lie one after another: keys, their sets, and what each key is of.
+
+    The third is the part's number * 2, and 1 more in the next band. The fourth gives each set's room in its own band
+    and the next: how many parts it could leave out besides those it does; -1 where it leaves out none.
 
     Pieces may be empty, and a signature of nothing says nothing. With ``spare`` more parts than needed, spare + 1 parts
-    of similar sets agree; so a set in which no more than ``spare`` parts have such a signature can leave them out.
+    of similar sets agree; so a set in which no more than ``spare`` parts have such a signature leaves them out.
     """
-    out, own = [], int(np.searchsorted(ends, len(s)))
-    for band in (own, own + 1):
-        n1, n2, k2, spare = shape(int(ends[band]), num, den)
-        at = (mix(s ^ U(band * 0x9E3779B9 + 1)) >> U(32)) * U(n1 * n2) >> U(32)
-        held = np.zeros(n1 * n2, U)
-        np.add.at(held, at.astype(np.int64), mix(s + U(band)))
-        held = held.reshape(n1, n2)
-        full = np.bincount(at.astype(np.int64), minlength=n1 * n2).reshape(n1, n2) > 0
-        choices = list(combinations(range(n2), n2 - k2))
-        told = np.stack([full[:, c].any(1) for c in map(list, choices)])
-        if (~told.all(0)).sum() > spare:
-            told[:] = True
-        for j, chosen in enumerate(choices):
-            got = np.zeros(n1, U)
-            for c in chosen:
-                got += mix(held[:, c] + U(c + 1))
-            out.append(mix(got + U(band << 40) + U(j << 32) + np.arange(n1, dtype=U))[told[j]])
-    return np.concatenate(out)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """How many hashes fall into each of 2**b equal ranges, four to a range at most on average, so that sets of any size are told apart."""
-    bits = max(6, (len(s) // 4).bit_length())
-    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
+    size = np.diff(first)
+    ends = bands(num, den, int(size.max(initial=1)))
+    own = np.searchsorted(ends, size)
+    room = np.full((2, len(size)), -1, np.int64)
+    keys, owners, places = [], [], []
+    for up in (0, 1):
+        for b in np.unique(own[size > 0]):
+            every, band = np.flatnonzero((own == b) & (size > 0)), int(b) + up
+            n1, n2, k2, spare = shape(int(ends[band]), num, den)
+            step = max(1, MOST // (n1 * n2))
+            for docs in (every[i : i + step] for i in range(0, len(every), step)):
+                n = size[docs]
+                h = s[np.repeat(first[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                at = ((mix(h ^ U(band * 0x9E3779B9 + 1)) >> U(32)) * U(n1 * n2) >> U(32)).astype(np.int64) + np.repeat(np.arange(len(docs)), n) * (n1 * n2)
+                h, cells = mix(h + U(band)), len(docs) * n1 * n2
+                low, high = (np.bincount(at, x.astype(np.float64), cells).astype(U) for x in (h & U(0xFFFFFFFF), h >> U(32)))  # sums under 2**53
+                held = (low + (high << U(32))).reshape(-1, n1, n2)
+                full = np.bincount(at, minlength=cells).reshape(-1, n1, n2) > 0
+                choices = list(combinations(range(n2), n2 - k2))
+                told = np.stack([full[:, :, list(c)].any(2) for c in choices])
+                left = (~told.all(0)).sum(1)
+                told[:, left > spare] = True
+                room[up, docs] = np.where(left > spare, -1, spare - left)
+                held = [mix(held[:, :, c] + U(c + 1)) for c in range(n2)]
+                for j, chosen in enumerate(choices):
+                    got = mix(sum(held[c] for c in chosen) + U((band << 40) + (j << 32)) + np.arange(n1, dtype=U))
+                    doc, part = np.nonzero(told[j])
+                    keys.append(got[doc, part])
+                    owners.append(docs[doc])
+                    places.append(part * 2 + up)
+    if not keys:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), room
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places), room
+
+
+#: Cells of parts that are held at a time.
+MOST = 1 << 18
+
+
+def sketches(s: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set: how many hashes fall into each of 2**b equal ranges, four to a range at most on average."""
+    size = np.diff(first)
+    out = [b""] * len(size)
+    for i in range(len(size)):
+        bits = min(16, max(6, (int(size[i]) // 4).bit_length()))
+        if size[i]:
+            out[i] = np.minimum(np.bincount((s[first[i] : first[i + 1]] >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """By how many elements two sets differ at least: by the sum of what their sketches differ."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    n = min(len(a), len(b))
+    return int(np.abs(a.reshape(n, -1).sum(1) - b.reshape(n, -1).sum(1)).sum()) if n else 0
 
 
 def _sets(batch: pa.RecordBatch, k: int):
-    """id and distinct shingle hashes of each document of (id, text)."""
+    """ids, and their sets of shingle hashes one after another with the start of each, of (id, text), piece by piece."""
     ids = np.asarray(batch.column(0))
     buf, off = texts(batch.column(1))
-    for a, b, part, begin in pieces(buf, off):
-        got, first = grams(*words(part, begin), k)
-        for i in range(b - a):
-            yield ids[a + i], np.unique(got[first[i] : first[i + 1]])
+    for a, b, part, begin in pieces(buf, off, 1 << 19):
+        yield ids[a:b], *shingles(part, begin, k)
+
+
+def _digests(s: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(s + U(salt)), dtype=U)])
+    return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,8 +143,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
     A null text, or one without words, has no shingles and links with nothing: its class and component are itself. A
     text of fewer words than ``words`` has its whole sequence as one shingle. Rows with a null id take no part. Rows
-    repeated under one id are one document, its set the first one's (all give a row). Other columns, whatever their
-    names, are not read. An empty table gives an empty result. class_id and component_id are the smallest ids.
+    repeated under one id are one document and give one row; if their texts differ, its set is the least of theirs (by
+    size, then digest). Other columns, whatever their names, are not read. An empty table gives an empty result.
+    class_id and component_id are the smallest ids. Sets are told apart by 128 bits and compared by 64 bits of each
+    shingle.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -115,101 +154,131 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
     def digest(batches):
         for batch in batches:
-            got = [(int(i), len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s + U(7)).sum(dtype=U).view(np.int64)), sketch(s)) for i, s in _sets(batch, words)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [pa.int64()] * 4 + [pa.list_(pa.int8())], strict=True)], names=["id", "n", "a", "b", "counts"])
-
-    sets = scratch.save(rows.mapInArrow(digest, "id long, n long, a long, b long, counts array<tinyint>"), "sets")
-    classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"))
-    member = scratch.save(sets.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "member")
-    counts = scratch.save(sets.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("counts").alias("counts")), "counts")
-    total, largest = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    scratch.free(sets)
-    labels = _link(spark, scratch, rows, member, counts, words, num, den, total, largest)
+            for ids, s, first in _sets(batch, words):
+                columns = [ids, np.diff(first), _digests(s, first, 0), _digests(s, first, 7)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sketches(s, first), pa.binary())], names=["id", "n", "a", "b", "counts"])
+
+    sets = rows.mapInArrow(tidy(digest), "id long, n long, a long, b long, counts binary")
+    sets = scratch.save(sets.groupBy("id").agg(F.min(F.struct("n", "a", "b", "counts")).alias("of")).select("id", "of.*"), "sets")
+    classes = scratch.save(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1"), "classes")
+    total, largest, every = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    member = scratch.save(_classed(sets.select("id", "n", "a", "b"), classes, every), "member")
+    labels = _link(scratch, rows, sets, member, words, num, den, total)
     return member.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id")
     )
 
 
-def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFrame, counts: DataFrame, k: int, num: int, den: int, total: int, largest: int) -> DataFrame:
-    """(id, label) of the classes that have links."""
-    ends = bands(num, den, largest)
+#: A class of more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT of these.
+HOT = 1000
 
-    def emit(batch):
-        seen, key, owner, n = set(), [], [], 0
-        for i, s in _sets(batch, k):
-            if len(s) and (what := (len(s), int(mix(s).sum(dtype=U)))) not in seen:  # a copy in the same batch has the same class
-                seen.add(what)
-                key.append(signatures(s, ends, num, den))
-                owner.append(np.full(len(key[-1]), i, np.int64))
-                n += len(key[-1])
-                if n > 500_000:
-                    yield np.concatenate(key), np.concatenate(owner), np.zeros(n, np.int64)
-                    key, owner, n = [], [], 0
-        if n:
-            yield np.concatenate(key), np.concatenate(owner), np.zeros(n, np.int64)
-
-    found = shared_keys(rows, emit, total * 4.0 * (den - num) / (den + num) * 1.3)
-    one = member.groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("n").alias("n"))
-    found = found.join(one, found.owner == one.id).groupBy("key", F.col("class_id").alias("id")).agg(F.min("n").alias("n"))
-    found = scratch.save(found, "found")
-    several = found.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-    groups = scratch.save(found.join(several, "key"), "groups")
-    scratch.free(found)
-    who = scratch.save(groups.groupBy("id").agg(F.min("n").alias("n")), "who")
-    n_who = who.count()
-    texts_of = rows.join(F.broadcast(who.select("id")) if n_who <= SMALL else who.select("id"), "id", "left_semi")
-
-    def shingles(batches):
+
+def _classed(sets: DataFrame, classes: DataFrame, every: int) -> DataFrame:
+    """(id, n, class_id) of (id, n, a, b); the few classes that hold many rows are not dealt out by their key."""
+    large = max(HOT, every // HOT)
+    on = ["a", "b", "n"]
+    hot = F.broadcast(classes.where(F.col("c") > large).select(*on, F.col("class_id").alias("hot")))
+    found = sets.join(hot, on, "left")
+    rest = found.where("hot is null").join(classes.where(F.col("c") <= large).select(*on, "class_id"), on, "left")
+    return found.where("hot is not null").select("id", "n", F.col("hot").alias("class_id")).union(rest.select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
+
+
+def _only(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """The rows of ``ids`` (or without them): by broadcast if these are surely small, else by their key."""
+    return rows.join(F.broadcast(ids) if n <= SMALL else ids, "id", how)
+
+
+def _shingled(rows: DataFrame, who: DataFrame, k: int) -> DataFrame:
+    """(id, s: the hashes of its set, 8 bytes each) of (id, a: the set's digest)."""
+
+    def run(batches):
         for batch in batches:
-            for i, s in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["id", "s"])
+            for ids, s, first in _sets(batch, k):
+                held = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(s)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_digests(s, first, 0), pa.int64()), held], names=["id", "a", "s"])
+
+    n = who.count()
+    s = _only(rows, who.select("id"), n).mapInArrow(tidy(run), "id long, a long, s binary")
+    return s.join(F.broadcast(who) if n <= SMALL else who, ["id", "a"], "left_semi").select("id", "s")
+
+
+def _hashes(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.int64)
 
-    sets = scratch.save(texts_of.mapInArrow(shingles, "id long, s array<long>").dropDuplicates(["id"]), "shingles")
-    labels = scratch.save(who.select("id", F.col("id").alias("label")), "labels")
-    scratch.sweep()
 
-    def halved(c: str, other: str):
-        """Of two sketches the finer one takes the ranges of the other; sizes near each other are one step apart at most."""
-        wide = F.col(c).cast("array<int>")
-        return F.when(F.size(c) > F.size(other), F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / 2).cast("int") - 1), lambda i: F.get(wide, 2 * i) + F.get(wide, 2 * i + 1))).otherwise(wide)
+def _link(scratch: Scratch, rows: DataFrame, sets: DataFrame, member: DataFrame, k: int, num: int, den: int, total: int) -> DataFrame:
+    """(id, label) of the classes that have links."""
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Of (x, y): those that may be similar. Sets differ at least by the sum of what their sketches differ."""
-        side = lambda c: counts.join(who, "id").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
-        apart = F.aggregate(F.zip_with(halved("cx", "cy"), halved("cy", "cx"), lambda a, b: F.abs(a - b)), F.lit(0), lambda t, d: t + F.coalesce(d, F.lit(0)))
-        return scratch.save(pairs.join(side("x"), "x").join(side("y"), "y").where(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)).select("x", "y"), "close")
+    def emit(batch):
+        for ids, s, first in _sets(batch, k):
+            key, owner, _, _ = signed(s, first, num, den)
+            yield key, ids[owner], np.zeros(len(key), np.int64)
+
+    copies = scratch.save(member.where("id <> class_id or n = 0").select("id"), "copies")
+    found = shared_keys(_only(rows, copies, copies.count(), "left_anti"), emit, total * 4.0 * (den - num) / (den + num) * 1.5)
+    found = scratch.save(found.select("key", F.col("owner").alias("id")), "found")
+    heads = found.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("c")).where("pivot < last")
+    groups = scratch.save(found.join(heads.select("key", "pivot", "c"), "key"), "groups")
+    scratch.free(found, copies)
+    labels = scratch.save(groups.select("id").distinct().select("id", F.col("id").alias("label")), "labels")
+
+    def close(batches):
+        for batch in batches:
+            x, y, nx, ny, cx, cy = (batch.column(i) for i in range(6))
+            most = (np.asarray(nx) + np.asarray(ny)) * (den - num)
+            ok = [apart(a.as_py(), b.as_py()) * (den + num) <= m for a, b, m in zip(cx, cy, most, strict=True)]
+            yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of (x, y): those that are similar."""
-        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-        common = F.size(F.array_intersect("sx", "sy"))
-        return both.where(den * common >= num * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        who = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(sets.select("id", "a"), "id"), "who")
+        s = scratch.save(_shingled(rows, who, k), "shingles", "none")  # hashes don't compress
+        both = pairs.join(s.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(s.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy")
+
+        def similar(batches):
+            for batch in batches:
+                ok = []
+                for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                    a, b = _hashes(a), _hashes(b)
+                    both_, all_ = len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)
+                    ok.append(den * both_ >= num * (all_ - both_))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        out = scratch.save(both.mapInArrow(tidy(similar), "a long, b long").distinct(), "linked")
+        scratch.free(s, who)
+        return out
 
     def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """``labels`` after comparing (x, y): each y with its first x, then with the others that this leaves in another component."""
-        pairs = close(pairs)
-        first = scratch.save(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+        pairs = scratch.save(pairs, "pairs")
+        of = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+        sized = pairs.join(of("x"), "x").join(of("y"), "y").where(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)").select("x", "y", "nx", "ny", "cx", "cy")
+        near = scratch.save(sized.mapInArrow(tidy(close), "x long, y long"), "close")
+        scratch.free(pairs)
+        first = scratch.save(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
         labels = _joined(labels, linked(first), scratch)
-        scratch.sweep()
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-        rest = pairs.join(first, ["x", "y"], "left_anti").join(of("x"), "x").join(of("y"), "y").where("lx <> ly").select("x", "y")
-        labels = _joined(labels, linked(scratch.save(rest, "rest")), scratch)
-        scratch.sweep()
-        return labels
+        rest = scratch.save(near.join(first, ["x", "y"], "left_anti").join(of("x"), "x").join(of("y"), "y").where("lx <> ly").select("x", "y"), "rest")
+        scratch.free(near, first)
+        return _joined(labels, linked(rest), scratch) if rest.limit(1).count() else labels
 
-    near = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     # each against the first of its group, which joins nearly all of a group that hangs together
-    pivot = groups.groupBy("key").agg(F.min(F.struct(F.col("id").alias("y"), F.col("n").alias("m"))).alias("p")).select("key", "p.y", "p.m")
-    labels = joined(labels, groups.join(pivot, "key").where("id <> y").where(near).select(F.col("y").alias("x"), F.col("id").alias("y")).distinct())
-    # groups of three or more in which some are not yet together: small ones pair by pair, but for the pivot's pairs
-    at = groups.join(labels, "id")
-    left = at.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).where("c > 2 and lo < hi")
-    left = scratch.save(left.select("key", "first", "c"), "left")
-    few = at.join(left.where(f"c <= {FEW}").select("key", "first"), "key").where("id <> first").select("key", "id", "n", "label")
-    pairs = few.join(few.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("to")), "key").where("id < y and label <> to").where(near)
-    labels = joined(labels, pairs.select(F.col("id").alias("x"), "y").distinct())
-    loose = scratch.save(groups.join(left.where(f"c > {FEW}"), "key").select("id", "first").distinct(), "loose")
+    labels = joined(labels, groups.where("id <> pivot").select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct())
+    # groups of three or more in which some are not yet together
+    at = groups.where("c > 2").join(labels, "id")
+    left = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    at = scratch.save(at.join(left, "key").select("key", "id", "label", "c"), "left")
+    if not at.limit(1).count():
+        return labels
+    stuck = _stuck(scratch, rows, sets, at.where(f"c > {FEW}"), k, num, den)
+    at = at.where(f"c <= {FEW}").select("key", "id", "label").union(at.where(f"c > {FEW}").join(stuck, ["key", "id"], "left_semi").select("key", "id", "label"))
+    heads = at.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("key", "c", "first")
+    at = scratch.save(at.join(heads, "key"), "left")
+    # small ones pair by pair
+    few = at.where(f"c <= {FEW}")
+    pairs = few.select("key", F.col("id").alias("x"), "label").join(few.select("key", F.col("id").alias("y"), F.col("label").alias("to")), "key").where("x < y and label <> to")
+    labels = joined(labels, pairs.select("x", "y").distinct())
+    loose = scratch.save(at.where(f"c > {FEW}").select("id", "first").distinct(), "loose")
     if not loose.limit(1).count():
         return labels
     # firsts that share a member are tied to the least of them, so a member brings one edge and not one for each group
@@ -217,7 +286,34 @@ def _link(spark: SparkSession, scratch: Scratch, rows: DataFrame, member: DataFr
     ties = loose.join(least, "id").select("first", "least").where("first <> least").distinct().union(least.select("id", "least"))
     cluster = components(ties.toDF("a", "b"), scratch)
     clustered = scratch.save(cluster.select("id", F.col("label").alias("cluster")).join(labels, "id"), "clusters")
-    return _joined(labels, _compared(clustered, sets, num, den, scratch), scratch)
+    who = scratch.save(clustered.select("id").join(sets.select("id", "a"), "id"), "who")
+    s = _shingled(rows, who, k).dropDuplicates(["id"])
+    return _joined(labels, _compared(clustered, s, num, den, scratch), scratch)
+
+
+def _stuck(scratch: Scratch, rows: DataFrame, sets: DataFrame, heavy: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, id) of large groups, without the sets that can leave them out.
+
+    Similar sets agree in spare + 1 parts. A set that leaves out no more parts than ``spare``, by empty signatures and by
+    large groups together, shares another signature with each similar set, and that one's group is seen to elsewhere.
+    """
+    who = scratch.save(heavy.select("id").distinct(), "heavy")
+
+    def parts(batches):
+        for batch in batches:
+            for ids, s, first in _sets(batch, k):
+                key, owner, place, room = signed(s, first, num, den)
+                columns = [(key & low).view(np.int64), ids[owner], place, room[place % 2, owner]]
+                for a in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000], pa.int64()) for c in columns], names=["key", "id", "place", "room"])
+
+    low = ~U((1 << 24) - 1)  # what any exchange keeps of a key
+    short = lambda c: F.col(c).bitwiseAND(F.lit(int(low.view(np.int64))))
+    told = _only(rows, who, who.count()).mapInArrow(tidy(parts), "key long, id long, place long, room long")
+    told = scratch.save(told.join(heavy.select(short("key").alias("key"), "id").distinct(), ["key", "id"]), "told")
+    band = told.groupBy("id", (F.col("place") % 2).alias("up")).agg(F.countDistinct("place").alias("parts"), F.min("room").alias("room")).where("parts > room")
+    left = told.withColumn("up", F.col("place") % 2).join(band.select("id", "up"), ["id", "up"], "left_semi").select(F.col("key").alias("short"), "id").distinct()
+    return heavy.select("key", "id", short("key").alias("short")).join(left, ["short", "id"], "left_semi").select("key", "id").distinct()
 
 
 def _joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -252,11 +348,11 @@ def _compared(member: DataFrame, sets: DataFrame, num: int, den: int, scratch: S
                 if row[:3] != now:
                     yield from _edges(held, num, den)
                     now, held = row[:3], []
-                held.append((*row[3:6], np.asarray(row[6].values)))
+                held.append((*row[3:6], _hashes(row[6])))
         yield from _edges(held, num, den)
 
     keys = ["cluster", "r", "c"]
-    return scratch.save(down.union(across).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(compare, "a long, b long").distinct(), "edges")
+    return scratch.save(down.union(across).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(tidy(compare), "a long, b long").distinct(), "edges")
 
 
 def _edges(held: list[tuple], num: int, den: int):
@@ -298,7 +394,17 @@ def _edges(held: list[tuple], num: int, den: int):
 
 
 def near_duplicates_dropped(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id. Rows without a doc_id stay."""
+    """``docs`` with one document of each component: that of the smallest doc_id.
+
+    Rows without a doc_id stay. Of rows repeated under one doc_id the one of the least text stays (nulls first).
+    An empty table gives an empty one; columns are those of ``docs``, whatever else they hold.
+    """
     part = jaccard_components(docs, words, num, den)
     gone = part.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *(F.xxhash64(c) for c in docs.columns if c not in ("doc_id", "text")))
+    one = kept.join(again, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one.drop("__row")).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
-from .text import U, pieces, texts, words
+from .text import U, pieces, texts, tidy, words
 
 WORDS = 1 << 18
 META = 1 << 12
@@ -32,7 +32,7 @@ SHAPE = 8
 def text_view(column: pa.Array):
     """For each piece: first document, the word features of each (concatenated, with starts), the shape figures."""
     buf, off = texts(column)
-    for a, b, own, begin in pieces(buf, off):
+    for a, b, own, begin in pieces(buf, off, 1 << 19):
         h, first = words(own, begin)
         n, size = np.diff(first), np.diff(begin)
         doc = np.repeat(np.arange(b - a), n)
@@ -171,7 +171,7 @@ def _features(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, na
             cols = [get("id"), get("y"), get("held"), get("pseudo"), pa.array(w, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64())), pa.array(list(m.astype(np.int32)), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "y", "held", "pseudo", "words", "shape", "meta"])
 
-    return rows.mapInArrow(make, FEATURES)
+    return rows.mapInArrow(tidy(make), FEATURES)
 
 
 def _fit(rows: DataFrame, l2: float) -> Model:
@@ -185,7 +185,7 @@ def _fit(rows: DataFrame, l2: float) -> Model:
                 got[k] += [np.asarray(x.values) for x in column] if k in ("words", "shape", "meta") else column.to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(got, l2))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(fit, "model binary").first()[0])
+    return pickle.loads(rows.coalesce(1).mapInArrow(tidy(fit), "model binary").first()[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, meta_cols: Sequence[str] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, fit_rows: int = 20_000, exchange: int = 1_000, sure: float = 0.98, l2: float = 1e-6) -> Model | None:
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, names: Sequence[str], id_col: str = "do
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, held.value.apply(batch, "__text", tags))], names=["doc_id", "p_text", "p_meta", "score"])
 
-    return mine.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double")
+    return mine.mapInArrow(tidy(run), "doc_id long, p_text double, p_meta double, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, meta_cols: Sequence[str] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
@@ -247,7 +247,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, meta_cols: Sequence[str]
 
 
 def accepted(docs: DataFrame, labels: DataFrame, meta_cols: Sequence[str] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; rows and columns are else as they were."""
+    """``docs`` without the rows that the classifier rejects; rows and columns are else as they were.
+
+    Nulls, repeated rows, very long texts and clashing names are as in ``quality_scores``. Without usable labels all rows
+    stay; an empty table gives an empty one.
+    """
     names = [c for c in meta_cols if c in docs.columns and c not in (id_col, text_col)]
     model = train(docs, labels, meta_cols, id_col, text_col, **fit)
     if model is None:
@@ -258,4 +262,4 @@ def accepted(docs: DataFrame, labels: DataFrame, meta_cols: Sequence[str] = ("la
         for batch in batches:
             yield batch.filter(pa.array(held.value.apply(batch, text_col, names)[2] >= threshold))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(tidy(run), T.StructType(docs.schema.fields))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that removes a query's shuffle files at its end.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: And the one that bounds an Arrow batch's bytes; rows here are whole texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +40,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def shuffles_end(spark: SparkSession):
-    """Within: the shuffle files of a query go when it ends. Nothing reads them again, as its rows have been written."""
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+def writing(spark: SparkSession):
+    """Within: the shuffle files of a query go when it ends, as its rows have been written; Python gets small batches."""
+    held = {CLEAN: "true", BATCH: "4m"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -65,7 +70,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
-        with shuffles_end(self.spark):
+        with writing(self.spark):
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
@@ -81,7 +86,7 @@ class Scratch:
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(buckets) + 1))
         name, path = "tidemark_" + uuid.uuid4().hex[:12], self.path("bucketed")
         try:
-            with shuffles_end(self.spark):
+            with writing(self.spark):
                 then(df.repartition(n, key)).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
             yield self.spark.table(name)
         finally:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .exchange import shared_keys
 from .scratch import Scratch
-from .text import BYTE, INVERSE, SPAN, U, mix, pieces, powers, texts
+from .text import BYTE, INVERSE, SPAN, U, mix, pieces, powers, texts, tidy
 
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 Q = 24
@@ -209,7 +209,7 @@ def _cut(scratch: Scratch, docs: DataFrame, length: int, n_bytes: int, with_text
                 columns = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (np.diff(begin), np.diff(removed), np.diff(spans))), pa.array([hashlib.sha256(x).hexdigest() for x in held], pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(held, pa.binary())] if with_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    return docs.join(settled, "id", "left").join(again, "id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return docs.join(settled, "id", "left").join(again, "id", "left").mapInArrow(tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def _placed(batch: pa.RecordBatch):

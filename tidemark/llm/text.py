@@ -5,7 +5,9 @@ All hashes are 64 bits wide and the same in every process. Words are ``[^\\x20\\
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that hands the memory it has freed back to the system, as Python workers stay for the next task."""
+
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none, and need none
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread each value over all 64 bits, one to one (the finalizer of splitmix64)."""
     with np.errstate(over="ignore"):
