@@ -184,9 +184,9 @@ def selected(df: DataFrame, columns: Sequence[str], target: str | None = None, c
 
 
 def stability_report(ics: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """(by, periods, ic_mean, ic_std, icir, positive_ratio, trend, grade) of each feature: the trend is the slope over its periods."""
+    """(by, periods, ic_mean, ic_std, icir, positive_ratio, trend, grade) of each feature: the trend is the slope over its periods. A coefficient that is zero to twelve places isn't positive."""
     w = Window.partitionBy(*by).orderBy(order)
-    out = ics.withColumn("__k", F.row_number().over(w)).groupBy(*by).agg(F.count("ic").alias("periods"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), div(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_ratio"), F.regr_slope("ic", "__k").alias("trend"))
+    out = ics.withColumn("__k", F.row_number().over(w)).groupBy(*by).agg(F.count("ic").alias("periods"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), div(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("positive_ratio"), F.regr_slope("ic", "__k").alias("trend"))
     size = F.abs("icir")
     return out.withColumn("grade", F.when(size > 1, "strong").when(size > 0.5, "stable").when(size > 0.2, "weak").otherwise("unstable"))
 

@@ -105,7 +105,7 @@ def validation_report(spark, sf):
 IC_YEARS = f"{MONTH_BARS}, x AS (SELECT secu, d, v AS a, amt AS z, lead(c) OVER {W} / c - 1 AS y FROM b), k AS (SELECT 'a' AS f, secu, d, a AS x, y FROM x UNION ALL SELECT 'z', secu, d, z, y FROM x), m AS (SELECT *, f || '|' || d AS g FROM k WHERE y IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2 AS ry FROM m), i AS (SELECT f AS feature, d, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ic, count(*) AS n FROM r GROUP BY 1, 2)"
 
 
-@query(f"WITH {IC_YEARS}, t AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY d) AS k FROM i WHERE n >= 3), s AS (SELECT feature, count(ic) AS periods, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_ratio, regr_slope(ic, k) AS trend FROM t GROUP BY feature) SELECT feature, periods, round(ic_mean, 6) + 0.0 AS ic_mean, round(ic_std, 6) + 0.0 AS ic_std, round(icir, 6) + 0.0 AS icir, round(positive_ratio, 6) + 0.0 AS positive_ratio, round(trend, 6) + 0.0 AS trend, CASE WHEN abs(icir) > 1 THEN 'strong' WHEN abs(icir) > 0.5 THEN 'stable' WHEN abs(icir) > 0.2 THEN 'weak' ELSE 'unstable' END AS grade FROM s")
+@query(f"WITH {IC_YEARS}, t AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY d) AS k FROM i WHERE n >= 3), s AS (SELECT feature, count(ic) AS periods, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS icir, avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_ratio, regr_slope(ic, k) AS trend FROM t GROUP BY feature) SELECT feature, periods, round(ic_mean, 6) + 0.0 AS ic_mean, round(ic_std, 6) + 0.0 AS ic_std, round(icir, 6) + 0.0 AS icir, round(positive_ratio, 6) + 0.0 AS positive_ratio, round(trend, 6) + 0.0 AS trend, CASE WHEN abs(icir) > 1 THEN 'strong' WHEN abs(icir) > 0.5 THEN 'stable' WHEN abs(icir) > 0.2 THEN 'weak' ELSE 'unstable' END AS grade FROM s")
 def stability_report(spark, sf):
     m = month_bars(spark, sf).withColumns({"a": F.col("v").cast("double"), "z": F.col("amt").cast("double"), "y": F.try_divide(P.lead("c"), "c") - 1})
     long = research.unpivoted(m.select("secu", "d", "a", "z", "y"), ["secu", "d", "y"], ["a", "z"])
