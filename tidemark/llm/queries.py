@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from . import chat_format, fill_middle
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
+from .language import languages
 from .license_scan import licensed
 from .mixing import mixed
 from .quality import quality_scores
@@ -81,5 +82,13 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op9_suffix_dedup, op10_sampled_splitters)}
-ORACLE: dict[str, str] = {"op3_chat_format": chat_format.ORACLE}
+def op11_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op9_suffix_dedup, op10_sampled_splitters, op11_language_profiles, op12_fill_in_middle)}
+ORACLE: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
