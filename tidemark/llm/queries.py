@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fill_middle
+from . import chat_format, fill_middle, hard_negatives
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
 from .language import languages
@@ -90,5 +90,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op9_suffix_dedup, op10_sampled_splitters, op11_language_profiles, op12_fill_in_middle)}
-ORACLE: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vp_tree_neighbours, op2_ngram_jaccard_join, op3_chat_format, op4_token_store, op5_source_mix, op6_decontamination, op7_quality, op8_license_scan, op9_suffix_dedup, op10_sampled_splitters, op11_language_profiles, op12_fill_in_middle, op13_hard_negatives)}
+ORACLE: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
