@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .slices import below
+
 #: Days of a calendar that is surely small enough to broadcast (two thousand years).
 DAYS = 750_000
 
@@ -21,7 +23,7 @@ def running_sums(df: DataFrame, by: Sequence[str], x: str, sums: dict[str, Colum
     """
     buckets = buckets or min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.groupBy(*by).agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("__bounds"))
-    at = F.aggregate("__bounds", F.lit(0), lambda n, b: n + (b < F.col(x)).cast("int"))
+    at = below(F.col("__bounds"), F.col(x), buckets)
     df = df.join(F.broadcast(bounds), list(by)).withColumn("__bucket", at).drop("__bounds")
     own = {f"__s{i}": F.sum(c) for i, c in enumerate(sums.values())}
     per = df.groupBy(*by, "__bucket").agg(F.min(x).alias("__first"), *[c.alias(n) for n, c in own.items()])

@@ -7,6 +7,7 @@ plans one exchange and one sort for any number of them. Missing is NULL; a divis
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,12 +130,14 @@ class Panel:
         return F.exp(F.sum(F.ln(1 + col(r))).over(self.so_far))
 
 
-class _Decayed:
-    """An exponential mean that is fed a series piece by piece."""
+class Decayed:
+    """An exponential mean that is fed a series piece by piece, from the start or from a state: the mean and the rows since its last value, or both decayed sums."""
 
-    def __init__(self, span: float, adjust: bool):
+    def __init__(self, span: float, adjust: bool, state: tuple | None = None):
         self.alpha, self.adjust = 2 / (span + 1), adjust
         self.mean, self.gap, self.sums = None, 0, (0.0, 0.0)
+        if state is not None:
+            self.mean, self.gap, self.sums = (None, 0, state) if adjust else (*state, self.sums)
 
     def _run(self, seed: list[float], x: np.ndarray) -> np.ndarray:
         import pandas as pd
@@ -157,12 +160,31 @@ class _Decayed:
         return out
 
 
-def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str | tuple[str, str], float]], adjust: bool = False) -> DataFrame:
+def series_edges(batches, by: Sequence[str]):
+    """Of ordered Arrow batches: each one, where its runs of one series are cut, which of these begin a series, and their keys."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        series = [batch.column(batch.schema.get_field_index(c)) for c in by]
+        edge = np.zeros(batch.num_rows, bool)
+        for c in series:
+            code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            edge[1:] |= code[1:] != code[:-1]
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(edge), [batch.num_rows]]))
+        keys = [tuple(c[int(a)].as_py() for c in series) for a in cuts[:-1]]
+        begins = [last is None or keys[0] != last, *[True] * (len(keys) - 1)]
+        last = keys[-1]
+        yield batch, cuts, begins, keys
+
+
+def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str | tuple[str, str], float]], adjust: bool = False, states: dict[tuple, dict[str, tuple | None]] | None = None) -> DataFrame:
     """Adds exponential means: {output: (input, span)}, seeded by the first value, weights decaying over gaps too.
 
     An input is a column, an earlier output, or the difference of two of these. Recursive, so each series is folded by one
     task, all outputs in one pass: rows come in order in Arrow batches, of which only the inputs are looked at, and only
-    the means are carried from one to the next.
+    the means are carried from one to the next (``slices.ema_in_slices`` runs a long series in several tasks). ``states``:
+    for some series, what their outputs' means start from.
     """
     from pyspark.sql import types as T
 
@@ -170,24 +192,14 @@ def ema(df: DataFrame, panel: Panel, spans: dict[str, tuple[str | tuple[str, str
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def fold(batches):
-        last, means = None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            series = [batch.column(batch.schema.get_field_index(c)) for c in by]
-            edge = np.zeros(batch.num_rows, bool)
-            for c in series:
-                code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
-                edge[1:] |= code[1:] != code[:-1]
-            first = tuple(c[0].as_py() for c in series)
-            edge[0] = last is None or first != last
-            last = tuple(c[-1].as_py() for c in series)
+        means = {}
+        for batch, cuts, begins, keys in series_edges(batches, by):
             held = {c: batch.column(batch.schema.get_field_index(c)).cast("double").to_numpy(zero_copy_only=False) for c in {c for x, _ in spans.values() for c in ([x] if isinstance(x, str) else x)} - set(names)}
             held |= {n: np.empty(batch.num_rows) for n in names}
-            cuts = np.unique(np.concatenate([[0], np.flatnonzero(edge), [batch.num_rows]]))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if edge[a]:
-                    means = {n: _Decayed(span, adjust) for n, (_, span) in spans.items()}
+            for a, b, new, key in zip(cuts[:-1], cuts[1:], begins, keys, strict=True):
+                if new:
+                    start = (states or {}).get(key, {})
+                    means = {n: Decayed(span, adjust, start.get(n)) for n, (_, span) in spans.items()}
                 for n, (x, _) in spans.items():
                     held[n][a:b] = means[n].add(held[x][a:b] if isinstance(x, str) else held[x[0]][a:b] - held[x[1]][a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(held[n], from_pandas=True) for n in names)], names=[*batch.schema.names, *names])
