@@ -118,13 +118,6 @@ class Panel:
     def zscore(self, x, n: int) -> Column:
         return div(col(x) - self.mean(x, n), self.std(x, n))
 
-    def rank_pct(self, x, n: int) -> Column:
-        """The value's rank in the last n rows, ties averaged, over n."""
-        x = col(x)
-        held = F.collect_list(x).over(self.last_n(n))
-        under, same = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-        return F.when(F.size(held) == n, (under + (same + 1) / 2) / n)
-
     def growth(self, r) -> Column:
         """Running product of 1 + r, for r above -1."""
         return F.exp(F.sum(F.ln(1 + col(r))).over(self.so_far))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.panel import Panel, div, flag
+from ..functions.rolling import rank_pct
 
 
 def valuation(df: DataFrame, p: Panel, column: str, windows: Sequence[int] = (20, 60), year: int = 252) -> DataFrame:
     """Means of a valuation ratio, its ratio to the first, and its rank within a year."""
     new = {f"{column}_MA{n}": p.mean(column, n) for n in windows}
-    return df.withColumns(new | {f"{column}_Relative": div(column, p.mean(column, windows[0])), f"{column}_Percentile": p.rank_pct(column, year)})
+    return rank_pct(df.withColumns(new | {f"{column}_Relative": div(column, p.mean(column, windows[0]))}), p, {f"{column}_Percentile": column}, year)
 
 
 def valuation_score(df: DataFrame, p: Panel, columns: Sequence[str], n: int = 20) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ordered import running_sums
 from ..functions.panel import Panel, div
+from ..functions.rolling import rank_corr, rank_pct, rolling_drawdown
 
 # information coefficients
 
@@ -108,18 +109,7 @@ def significant_features(df: DataFrame, columns: Sequence[str], target: str, **h
 
 def rolling_ic(df: DataFrame, p: Panel, feature: str, target: str, n: int = 60, share: float = 0.8) -> DataFrame:
     """Rank IC over the n rows before each, if enough of them are known."""
-    w = p.w.rowsBetween(-n, -1)
-    both = F.when(F.col(feature).isNotNull() & F.col(target).isNotNull(), F.struct(F.col(feature).cast("double").alias("x"), F.col(target).cast("double").alias("y")))
-    held = F.collect_list(both).over(w)
-    rank = lambda a, k: F.transform(a, lambda e: F.size(F.filter(a, lambda o: o[k] < e[k])) + (F.size(F.filter(a, lambda o: o[k] == e[k])) + 1) / 2)
-    df = df.withColumn("__h", held).withColumns({"__x": rank(F.col("__h"), "x"), "__y": rank(F.col("__h"), "y")})
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e)
-    m = F.size("__h")
-    sx, sy = total(F.col("__x")), total(F.col("__y"))
-    xy = total(F.zip_with("__x", "__y", lambda a, b: a * b))
-    xx, yy = total(F.transform("__x", lambda a: a * a)), total(F.transform("__y", lambda a: a * a))
-    ic = div(m * xy - sx * sy, F.sqrt(F.greatest((m * xx - sx * sx) * (m * yy - sy * sy), F.lit(0.0))))
-    return df.withColumn("rolling_ic", F.when(m >= n * share, ic)).drop("__h", "__x", "__y")
+    return rank_corr(df, p, feature, target, n, n * share, "rolling_ic")
 
 
 # selection
@@ -213,7 +203,7 @@ def threshold_signals(df: DataFrame, p: str, limit: float = 0.6, risk: float = 1
 
 
 def percentile_signals(df: DataFrame, panel: Panel, p: str, n: int = 252, high: float = 0.8, low: float = 0.2) -> DataFrame:
-    df = df.withColumn("rank", panel.rank_pct(p, n))
+    df = rank_pct(df, panel, {"rank": p}, n)
     return df.withColumns({"signal": F.when(F.col("rank") > high, 1).when(F.col("rank") < low, -1).otherwise(0), "confidence": F.abs(F.col("rank") - 0.5) * 2})
 
 
@@ -332,16 +322,8 @@ def rolling_metrics(df: DataFrame, panel: Panel, ret: str = "ret", n: int = 252,
     """Return, volatility, Sharpe and drawdown within the last n rows."""
     df = df.withColumn("__l", F.ln(1 + F.col(ret)))
     df = df.withColumns({"rolling_return": F.exp(panel.total("__l", n)) - 1, "rolling_volatility": panel.std(ret, n) * math.sqrt(252)})
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
-
-    def fold(a, x):
-        c = a["c"] * (1 + x)
-        m = F.greatest(a["m"], c)
-        return F.struct(c.alias("c"), m.alias("m"), F.least(a["d"], c / m - 1).alias("d"))
-
-    held = F.collect_list(F.col(ret).cast("double")).over(panel.last_n(n))
-    dd = F.aggregate(held, start, fold, lambda a: a["d"])
-    return df.withColumns({"rolling_sharpe": div(F.col("rolling_return") - risk_free * n / 252, F.col("rolling_volatility") * math.sqrt(n / 252)), "rolling_drawdown": F.when(F.size(held) == n, dd)}).drop("__l")
+    df = df.withColumn("rolling_sharpe", div(F.col("rolling_return") - risk_free * n / 252, F.col("rolling_volatility") * math.sqrt(n / 252))).drop("__l")
+    return rolling_drawdown(df, panel, ret, n, "rolling_drawdown")
 
 
 def backtest(df: DataFrame, panel: Panel, prediction: str, realised: str, mode: str = "sign") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.panel import Panel, div, flag
+from ..functions.rolling import rank_pct
 from .price import Bar
 
 
@@ -55,7 +56,7 @@ def patterns(df: DataFrame, p: Panel, b: Bar = Bar(), n: int = 20, year: int = 2
     """z-score, spikes (z over 2), sign of the change over five rows, rank within a year."""
     df = df.withColumn("Volume_ZScore", p.zscore(b.v, n))
     trend = F.when(F.count(b.v).over(p.last_n(5)) == 5, F.signum(p.diff(b.v, 4)))
-    return df.withColumns({"Volume_Spike": flag(F.col("Volume_ZScore") > 2), "Volume_Trend": trend, "Volume_Percentile": p.rank_pct(b.v, year)})
+    return rank_pct(df.withColumns({"Volume_Spike": flag(F.col("Volume_ZScore") > 2), "Volume_Trend": trend}), p, {"Volume_Percentile": b.v}, year)
 
 
 def momentum_rate(df: DataFrame, p: Panel, b: Bar = Bar(), windows: Sequence[int] = (5, 10, 20)) -> DataFrame:

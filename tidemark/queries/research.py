@@ -181,7 +181,7 @@ def rolling_metrics(spark, sf):
     return rounded(df.select("secu", "d", "rolling_return", "rolling_volatility", "rolling_sharpe"), rolling_sharpe=4)
 
 
-@query()
+@query(f"WITH {CURVE}, k AS (SELECT secu, d, row_number() OVER {W} AS rn, exp(sum(ln(1 + ret)) OVER (PARTITION BY secu ORDER BY d ROWS UNBOUNDED PRECEDING)) AS p FROM r), j AS (SELECT a.secu, a.d, z.p / max(z.p) OVER (PARTITION BY a.secu, a.d ORDER BY z.rn) - 1 AS dd FROM k a JOIN k z ON z.secu = a.secu AND z.rn BETWEEN a.rn - 59 AND a.rn) SELECT secu, d, round(CASE WHEN count(*) = 60 THEN min(dd) END, 6) + 0.0 AS rolling_drawdown FROM j GROUP BY secu, d")
 def rolling_drawdown(spark, sf):
     return rounded(research.rolling_metrics(ret(spark, sf).where("ret IS NOT NULL"), P, n=60).select("secu", "d", "rolling_drawdown"))
 
