@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.panel import Panel, div
+from ..functions.splines import spline_filled
 from .joins import interpolated
 
 NUMBERS = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
@@ -240,45 +241,28 @@ def knn_imputed(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int
 
 
 def interpolation_imputed(df: DataFrame, p: Panel, columns: Sequence[str], how: str = "linear", order: int = 2) -> DataFrame:
-    """linear (by row), time (by date), polynomial or spline (within the known range); ends filled with the nearest."""
+    """linear (by row), time (by date), polynomial (a spline of degree ``order`` by row) or spline (a cubic one); ends filled with the nearest."""
     if how == "linear":
         out = interpolated(df, p.by, p.time, columns)
         return filled(out, p, columns, "bfill")
+    if how in ("polynomial", "spline"):
+        return spline_filled(df, p, list(columns), order if how == "polynomial" else 3)
     schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in columns else f.dataType) for f in df.schema.fields])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(p.time), kind="stable")
-        t = pd.to_datetime(pdf[p.time[0]]).astype("int64").to_numpy().astype(float) if how == "time" else np.arange(len(pdf), dtype=float)
+        t = pd.to_datetime(pdf[p.time[0]]).astype("int64").to_numpy().astype(float)
         for c in columns:
             x = pdf[c].astype(float).to_numpy()
             ok = ~np.isnan(x)
             if ok.any() and not ok.all():
-                if how in ("polynomial", "spline") and ok.sum() > order:
-                    made = _local_polynomial(t[ok], x[ok], t, order)
-                else:
-                    made = np.interp(t, t[ok], x[ok])
-                inside = (t >= t[ok][0]) & (t <= t[ok][-1])
-                x = np.where(ok, x, np.where(inside, made, np.interp(t, t[ok], x[ok])))
+                x = np.where(ok, x, np.interp(t, t[ok], x[ok]))
             pdf = pdf.assign(**{c: x})
         return pdf[schema.names]
 
     return df.groupBy(*p.by).applyInPandas(one, schema)
 
 
-def _local_polynomial(t: np.ndarray, x: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Through the order + 1 known points around each place."""
-    first = np.clip(np.searchsorted(t, at) - (order + 1) // 2, 0, len(t) - order - 1)
-    near = first[:, None] + np.arange(order + 1)[None, :]
-    out = np.zeros(len(at))
-    for j in range(order + 1):
-        w = np.ones(len(at))
-        for m in range(order + 1):
-            if m != j:
-                w *= (at - t[near[:, m]]) / (t[near[:, j]] - t[near[:, m]])
-        out += w * x[near[:, j]]
-    return out
-
-
 def forest_imputed(df: DataFrame, column: str, features: Sequence[str], trees: int = 20, seed: int = 42) -> DataFrame:
     """Missing values of one column predicted by a random forest over the others (their gaps filled by the median)."""
     from pyspark.ml.feature import VectorAssembler
