@@ -46,6 +46,8 @@ class Slices:
     starts: dict[tuple, list[int]]
     #: Adds ``__slice`` to other rows of the same series, by a time of theirs.
     cut: Callable[[DataFrame, str], DataFrame]
+    #: For each long series, what its slices but the last reach up to.
+    bounds: dict[tuple, list]
 
     @property
     def inner(self) -> Panel:
@@ -86,12 +88,13 @@ def sliced(df: DataFrame, panel: Panel, rows: int = ROWS) -> Slices:
     size = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
     rows = max(rows, (size["all"] or 0) // SLICES)
     if (size["n"] or 0) <= rows:
-        return Slices(df.withColumn("__slice", F.lit(0)), panel, {}, lambda d, _: d.withColumn("__slice", F.lit(0)))
+        return Slices(df.withColumn("__slice", F.lit(0)), panel, {}, lambda d, _: d.withColumn("__slice", F.lit(0)), {})
     pieces = -(-size["n"] // rows)
     step = F.greatest(F.lit(1), F.floor(pieces / F.ceil(F.col("n") / rows)))
     told = df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(t, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("b")).where(F.col("n") > rows)
     held = told.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.array_distinct(F.filter("b", lambda x, i: (i + 1) % step == 0)).alias("__bounds"))
-    local = df.sparkSession.createDataFrame(held.collect(), held.schema)
+    rows_of = held.collect()
+    local = df.sparkSession.createDataFrame(rows_of, held.schema)
 
     def placed(d: DataFrame, time: str) -> DataFrame:
         at = F.when(F.col("__bounds").isNotNull(), below(F.col("__bounds"), F.col(time), pieces)).otherwise(0)
@@ -102,7 +105,7 @@ def sliced(df: DataFrame, panel: Panel, rows: int = ROWS) -> Slices:
     for r in both.where("__bounds is not null").groupBy(*by, "__slice", F.size("__bounds").alias("__b")).agg(F.count("*").alias("n")).collect():
         count.setdefault(tuple(r[c] for c in by), dict.fromkeys(range(r["__b"] + 1), 0))[r["__slice"]] = r["n"]
     starts = {k: [0, *np.cumsum(list(n.values())).tolist()] for k, n in count.items()}
-    return Slices(both.drop("__bounds"), panel, starts, lambda d, time: placed(d, time).drop("__bounds"))
+    return Slices(both.drop("__bounds"), panel, starts, lambda d, time: placed(d, time).drop("__bounds"), {tuple(r[:-1]): r[-1] for r in rows_of})
 
 
 def in_slices(df: DataFrame, panel: Panel, then: Callable[[DataFrame, Panel], DataFrame], before: int, after: int = 0, rows: int = ROWS) -> DataFrame:
