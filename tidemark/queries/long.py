@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling, slices
 from ..operators import information, price, technical
+from ..streaming import state
 from .audit import holes
-from .base import BARS, B, P, R, W, bars, lag, pct, query, roll, rounded, steps
+from .base import BARS, B, P, R, W, bars, lag, pct, query, read, roll, rounded, steps
 from .features import _ema_sql
 
 #: The regions' daily series have some 2,400 rows each; slices of so many make several of each.
@@ -83,3 +84,39 @@ def neighbour_information(spark, sf):
     """Of the regions' monthly opening price and volume with the closing price, by three neighbours."""
     months = bars(spark, sf).groupBy("secu", F.trunc("d", "month").alias("month")).agg(F.avg("o").alias("o"), F.sum("v").alias("v"), F.avg("c").alias("c"))
     return rounded(information.neighbour_information(months, ["o", "v"], "c"))
+
+
+#: Where the events are cut in two.
+HALF = "2024-01-15 12:00:00"
+RUNS = "WINDOW r AS (PARTITION BY user_id, k ORDER BY ts ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY user_id, k ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+FIGURES = "min(value) OVER r AS low, max(value) OVER r AS high, sum(value) OVER r AS total, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std, count(*) OVER w AS window_n"
+SHOWN = ", ".join(f"round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}" for c in ("low", "high", "total", "mean", "std", "window_n"))
+
+
+def _events(spark, sf):
+    return read(spark, sf, "events").select("user_id", "ts", "value", (F.col("event_type") == "error").alias("again"))
+
+
+def _shown(df):
+    return rounded(df.select("user_id", F.col("ts"), "low", "high", "total", "mean", "std", "window_n"), 4)
+
+
+@query(f"SELECT user_id, ts, {SHOWN} FROM (SELECT user_id, ts, {FIGURES} FROM (SELECT *, 0 AS k FROM events) {RUNS}) WHERE ts >= TIMESTAMP '{HALF}'")
+def continued_stats(spark, sf):
+    """The second half's running values, from a table of the states that the first half leaves."""
+    e = _events(spark, sf)
+    held = state.states_of(e.where(F.col("ts") < F.lit(HALF).cast(e.schema["ts"].dataType)), "user_id", "ts", "value")
+    return _shown(state.continued(e.where(F.col("ts") >= F.lit(HALF).cast(e.schema["ts"].dataType)), "user_id", "ts", "value", before=held))
+
+
+@query(f"SELECT user_id, ts, {SHOWN} FROM (SELECT user_id, ts, {FIGURES} FROM (SELECT *, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM events) {RUNS})")
+def reset_stats(spark, sf):
+    """Running values that begin anew at each error."""
+    return _shown(state.continued(_events(spark, sf), "user_id", "ts", "value", reset="again"))
+
+
+@query("WITH s AS (SELECT user_id, CAST(count(value) AS DOUBLE) AS n, min(value) AS low, max(value) AS high, sum(value) AS total, CAST(least(count(value), 20) AS INTEGER) AS xs FROM events GROUP BY user_id) SELECT user_id, name, 'numeric' AS kind, CAST(NULL AS INTEGER) AS length, round(value, 4) + 0.0 AS value FROM (SELECT user_id, unnest(['n', 'low', 'high', 'total']) AS name, unnest([n, low, high, total]) AS value FROM s) UNION ALL SELECT user_id, 'xs', 'rolling_window', xs, CAST(NULL AS DOUBLE) FROM s")
+def state_summary(spark, sf):
+    """What each key's state holds after all events."""
+    told = state.described(state.states_of(_events(spark, sf), "user_id", "ts", "value"))
+    return rounded(told.where(F.col("name").isin("n", "low", "high", "total", "xs")), 4)
