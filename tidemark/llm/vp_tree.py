@@ -24,8 +24,8 @@ from .scratch import Scratch
 SHARD, LEAF, SAMPLE, REGIONS = 8192, 128, 20_000, 1024
 #: Queries that search a shard together; where more do, its vectors go out once for each so many.
 QUERIES = 20_000
-#: Chosen by recall over several regions and shards, on data of few and of many dimensions; the figures are in the README.
-FACTOR = 1.5
+#: One leaves nothing out. Larger ones skip more, and on data of mixed density too much: the figures are in the README.
+FACTOR = 1.0
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
