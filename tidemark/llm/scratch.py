@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,9 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return own_dir()
+
+
+@functools.cache
+def own_dir() -> str:
+    """A folder of this process, which a local master's tasks share; the session's settings stay as they are."""
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
 def delete(spark: SparkSession, path: str) -> None:
