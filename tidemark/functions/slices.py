@@ -9,7 +9,6 @@ SLICES of them over all series, so that every use of them cuts alike. Series tha
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -64,6 +63,8 @@ class Slices:
 
     def numbered(self) -> DataFrame:
         """With ``__row``, the row's place in its series, from 0."""
+        if not self.starts:
+            return self.df.withColumn("__row", F.row_number().over(self.inner.w).cast("long") - 1)
         at = [T.StructField("__at", T.IntegerType()), T.StructField("__start", T.LongType())]
         df = self._told(self.df, at, lambda _, s: [(i, n) for i, n in enumerate(s[:-1])], True)
         return df.withColumn("__row", F.coalesce("__start", F.lit(0)) + F.row_number().over(self.inner.w) - 1).drop("__start")
@@ -119,6 +120,11 @@ def in_slices(df: DataFrame, panel: Panel, then: Callable[[DataFrame, Panel], Da
     return then(s.with_halo(before, after), s.inner).where("__own").drop("__own", "__slice", "__row")
 
 
+def numbered(df: DataFrame, panel: Panel, rows: int = ROWS) -> DataFrame:
+    """With ``__row``, the row's place in its series, from 0; no task orders more than a slice."""
+    return sliced(df, panel, rows).numbered().drop("__slice")
+
+
 RUNNING = {
     "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "count": (F.count, lambda a, b: a + F.coalesce(b, F.lit(0))),

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.panel import Panel, div, flag
+from ..functions.slices import ROWS, in_slices, numbered
 
 #: Ordered rules of event types; the last that matches counts.
 EVENTS = (("earnings", "earnings|profit|revenue"), ("merger", "merger|acquisition|takeover"), ("policy", "policy|regulation|government"), ("product", "launch|product|release"))
@@ -141,20 +144,38 @@ def daubechies(order: int = 4) -> np.ndarray:
     return h * (math.sqrt(2) / h.sum())
 
 
-def wavelet(df: DataFrame, by: Sequence[str], time: str, column: str, level: int = 3, order: int = 4) -> DataFrame:
-    """One row a series: mean of each band's coefficients of a periodic discrete wavelet transform."""
-    bands = [f"{column}_A{level}", *[f"{column}_D{k}" for k in range(level, 0, -1)]]
-    schema = T.StructType([*[f for f in df.schema.fields if f.name in by], *[T.StructField(b, T.DoubleType()) for b in bands]])
-    low = daubechies(order)
-    high = low[::-1] * (-1.0) ** np.arange(len(low))
+def _reflected(df: DataFrame, by: Sequence[str], taps: int) -> DataFrame:
+    """(by, i, x) of series numbered from 0, with rows before the first and after the last that mirror them, end rows repeated."""
+    n, i = F.count("*").over(Window.partitionBy(*by)).cast("int"), F.col("i")
+    df = df.withColumn("__n", n)
+    n = F.col("__n")
+    source = lambda e: F.when(F.pmod(e, 2 * n) < n, F.pmod(e, 2 * n)).otherwise(2 * n - 1 - F.pmod(e, 2 * n))
+    beyond = F.concat(F.sequence(F.lit(2 - taps), F.lit(-1)), F.sequence(n, n + taps - 2))
+    more = F.when((i < taps) | (i >= n - taps), F.filter(beyond, lambda e: source(e) == i)).otherwise(F.array().cast("array<int>"))
+    return df.select(*by, F.explode(F.concat(F.array(i), more)).alias("i"), "x")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, details = pdf.sort_values(time)[column].astype(float).fillna(0.0).to_numpy(), []
-        for _ in range(level):
-            x = np.append(x, x[-1]) if len(x) % 2 else x
-            at = (np.arange(0, len(x), 2)[:, None] + np.arange(len(low))[None, :]) % max(1, len(x))
-            details.append((x[at] @ high).mean() if len(x) else np.nan)
-            x = x[at] @ low if len(x) else x
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), x.mean() if len(x) else np.nan, *details[::-1]]], columns=schema.names)
 
-    return df.select(*by, time, column).groupBy(*by).applyInPandas(one, schema)
+def wavelet_bands(df: DataFrame, by: Sequence[str], time: str, column: str, level: int = 3, order: int = 4, rows: int = ROWS) -> list[tuple[str, DataFrame]]:
+    """The bands of a discrete wavelet transform with mirrored ends: (name, (by, i, x)) of the details from the finest on, and of the approximation.
+
+    A band of n values gives two of (n + taps - 1) // 2. A coefficient needs the values of one window, so series of more
+    than ``rows`` rows are filtered in overlapping slices.
+    """
+    low = daubechies(order)
+    taps, out = len(low), []
+    filters = {"a": low[::-1], "d": low * (-1.0) ** (np.arange(len(low)) + 1)}
+    now = numbered(df, Panel(tuple(by), (time,)), rows).select(*by, F.col("__row").cast("int").alias("i"), F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("x"))
+    for k in range(1, level + 1):
+        ends = _reflected(now, by, taps)
+        add = lambda d, p: d.withColumns({n: sum((float(c) * p.lag("x", j) if j else float(c) * F.col("x") for j, c in enumerate(f)), F.lit(0.0)) for n, f in filters.items()})
+        both = in_slices(ends, Panel(tuple(by), ("i",)), add, taps - 1, rows=rows).where("i >= 1 AND i % 2 = 1").select(*by, F.expr("CAST((i - 1) DIV 2 AS INT)").alias("i"), "a", "d")
+        out.append((f"{column}_D{k}", both.select(*by, "i", F.col("d").alias("x"))))
+        now = both.select(*by, "i", F.col("a").alias("x"))
+    return [*out, (f"{column}_A{level}", now)]
+
+
+def wavelet(df: DataFrame, by: Sequence[str], time: str, column: str, level: int = 3, order: int = 4, rows: int = ROWS) -> DataFrame:
+    """One row a series: the mean of each band's coefficients, the approximation's first; a missing value counts as zero."""
+    bands = wavelet_bands(df, by, time, column, level, order, rows)
+    every = reduce(DataFrame.unionByName, [b.groupBy(*by).agg(F.avg("x").alias("m")).withColumn("band", F.lit(n)) for n, b in bands])
+    return every.groupBy(*by).agg(*[F.max(F.when(F.col("band") == n, F.col("m"))).alias(n) for n, _ in reversed(bands)])

@@ -173,8 +173,3 @@ def principal_components(spark, sf):
 @query()
 def fourier(spark, sf):
     return rounded(alternative.fourier(bars(spark, sf), ["secu"], "d", "c"))
-
-
-@query()
-def wavelet(spark, sf):
-    return rounded(alternative.wavelet(bars(spark, sf), ["secu"], "d", "c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rolling, slices
-from ..operators import information, price, technical
+from ..operators import alternative, information, lexicon, price, technical
 from ..streaming import state
 from .audit import holes
 from .base import BARS, B, P, R, W, bars, lag, pct, query, read, roll, rounded, steps
@@ -120,3 +120,57 @@ def state_summary(spark, sf):
     """What each key's state holds after all events."""
     told = state.described(state.states_of(_events(spark, sf), "user_id", "ts", "value"))
     return rounded(told.where(F.col("name").isin("n", "low", "high", "total", "xs")), 4)
+
+
+def _parted(k: int) -> str:
+    """The bands of x{k}: mirrored values, then one sum of eight products for every other place."""
+    place = f"((e.e % (2 * e.n)) + 2 * e.n) % (2 * e.n)"
+    return f"""e{k} AS (SELECT secu, n, unnest(range(-6, n + 7)) AS e FROM (SELECT secu, max(n) AS n FROM x{k} GROUP BY secu)),
+m{k} AS (SELECT e.secu, e.e, x.x FROM e{k} e JOIN x{k} x ON x.secu = e.secu AND x.i = CASE WHEN {place} < e.n THEN {place} ELSE 2 * e.n - 1 - {place} END),
+c{k} AS (SELECT a.secu, (a.e - 1) // 2 AS i, sum(f.a * b.x) AS a, sum(f.d * b.x) AS d FROM m{k} a CROSS JOIN f JOIN m{k} b ON b.secu = a.secu AND b.e = a.e - f.j WHERE a.e >= 1 AND a.e % 2 = 1 GROUP BY a.secu, a.e),
+x{k + 1} AS (SELECT secu, i, a AS x, count(*) OVER (PARTITION BY secu) AS n FROM c{k})"""
+
+
+def _waves() -> str:
+    low = alternative.daubechies(4)
+    filters = ", ".join(f"({j}, {float(low[7 - j])!r}, {float(low[j] * (-1) ** (j + 1))!r})" for j in range(8))
+    return f"""WITH {BARS}, f AS (SELECT * FROM (VALUES {filters}) AS t(j, a, d)), x1 AS (SELECT secu, row_number() OVER {W} - 1 AS i, c AS x, count(*) OVER (PARTITION BY secu) AS n FROM b),
+{_parted(1)}, {_parted(2)}, {_parted(3)},
+g AS (SELECT secu, 'D1' AS band, avg(d) AS m FROM c1 GROUP BY secu UNION ALL SELECT secu, 'D2', avg(d) FROM c2 GROUP BY secu UNION ALL SELECT secu, 'D3', avg(d) FROM c3 GROUP BY secu UNION ALL SELECT secu, 'A3', avg(a) FROM c3 GROUP BY secu)
+SELECT secu, {", ".join(f"round(max(CASE WHEN band = '{b}' THEN m END), 6) + 0.0 AS c_{b}" for b in ("A3", "D3", "D2", "D1"))} FROM g GROUP BY secu"""
+
+
+@query(_waves())
+def wavelet(spark, sf):
+    """Bands with mirrored ends."""
+    return rounded(alternative.wavelet(bars(spark, sf), ["secu"], "d", "c"))
+
+
+#: The fold of a text: texts of fold 0 are not learned from.
+FOLD = "doc_id % 5"
+TOLD = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+'), lambda w: w <> '')"
+LEARNED = f"""t AS (SELECT documents.doc_id, CAST(quality AS INTEGER) AS y, {TOLD} AS w FROM documents JOIN labels ON labels.doc_id = documents.doc_id WHERE documents.{FOLD} <> 0 AND quality IN (0, 1)),
+z AS (SELECT sum(y) AS p, sum(1 - y) AS q FROM t),
+u AS (SELECT doc_id, y, unnest(list_distinct(w)) AS word FROM t),
+l AS (SELECT word, count(*) AS n, greatest(-1.0, least(1.0, (log2((sum(y) + 0.5) / (max(p) + 1.0)) - log2((sum(1 - y) + 0.5) / (max(q) + 1.0))) / 4.0)) AS weight FROM u, z GROUP BY word HAVING count(*) >= 5)"""
+NEG, MORE, LESS = (", ".join(f"'{w}'" for w in words) for words in (lexicon.NEGATORS, lexicon.INTENSIFIERS, lexicon.DOWNTONERS))
+
+
+def _lexicon(spark, sf):
+    both = read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return lexicon.learned(both.where(FOLD + " <> 0"), "text", "quality")
+
+
+@query(f"WITH {LEARNED} SELECT word, n, round(weight, 6) + 0.0 AS weight FROM l")
+def learned_lexicon(spark, sf):
+    """Words by how they go with texts labelled good or bad."""
+    return rounded(_lexicon(spark, sf))
+
+
+@query(f"""WITH {LEARNED}, k AS (SELECT doc_id, {TOLD} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM k),
+f AS (SELECT doc_id, w[i] AS word, (CASE WHEN len(list_filter(w[greatest(i - 3, 1):i - 1], lambda x: x IN ({NEG}))) > 0 THEN -0.5 ELSE 1.0 END) * (CASE WHEN i > 1 AND w[i - 1] IN ({MORE}) THEN 1.5 WHEN i > 1 AND w[i - 1] IN ({LESS}) THEN 0.5 ELSE 1.0 END) AS f FROM p),
+s AS (SELECT doc_id, count(*) AS words, sum(f * weight) AS a, sum(abs(f * weight)) AS b FROM f JOIN l ON l.word = f.word GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(words, 0) AS words, round(coalesce(a / nullif(b, 0), 0.0), 6) + 0.0 AS sentiment FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id""")
+def lexicon_sentiment(spark, sf):
+    """Every document's score by the learned lexicon."""
+    return rounded(lexicon.scored(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _lexicon(spark, sf)))
