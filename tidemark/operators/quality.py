@@ -55,6 +55,33 @@ def limit_rules(df: DataFrame, p: Panel, close: str, before: str, days_listed: s
     return df.withColumn("LimitIssue", F.when((n > free) & (n <= new) & (ratio > limit + tolerance), "beyond limit").when((n > free) & (n <= new) & ratio.isNull(), "no previous close"))
 
 
+#: What a price may be on each board (fixed values); others as in ``audited``.
+BOARDS = {1: (0.1, 5000.0), 6: (0.01, 10_000.0), 7: (0.01, 10_000.0)}
+
+
+def board_bounds(sector: str) -> tuple[Column, Column]:
+    """The least and largest price of the row's board, for ``audited``."""
+    pick = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, b in BOARDS.items() for v in (k, b[i])]), F.col(sector).cast("int")), F.lit((0.01, 10_000.0)[i]))
+    return pick(0), pick(1)
+
+
+def listing_rules(df: DataFrame, listed: str, days: str, ceiling: str, floor: str, before: str, state: str, category: str, sector: str, wide: Sequence[int] = (6, 7), tolerance: float = 0.001, free: int = 5, new: int = 30) -> DataFrame:
+    """``ListingIssues`` (joined by '; ') of a quote with the day it was listed on and the trading days since.
+
+    Without a listing day nothing else is looked at. In the first ``free`` days limits may be missing; after them both
+    are needed, and up to ``new`` days the ceiling must be the board's share over the previous close, to ``tolerance``. The
+    state is to be 1, 2 or 3, the category 1.
+    """
+    n, missing = F.col(days), lambda c: F.col(c).isNull() | (F.col(c) == 0)
+    share = div(F.col(ceiling) - F.col(before), before)
+    expected = F.when(F.col(sector).isin(*wide), 0.2).otherwise(0.1)
+    rules = [F.when((n > free) & missing(c), F.concat(F.lit(f"limit: no {w} "), F.when(n <= new, "of a new share").otherwise("of a share"))) for c, w in ((ceiling, "ceiling"), (floor, "floor"))]
+    rules.append(F.when((n > free) & (n <= new) & (F.col(ceiling) > 0) & (F.col(before) > 0) & (F.abs(share - expected) > tolerance), "limit: not the board's share"))
+    rules += [F.when(F.col(state).isNull(), "state: missing").when(~F.col(state).isin(1, 2, 3), "state: unknown"), F.when(F.col(category).isNull(), "category: missing").when(F.col(category) != 1, "category: no share")]
+    every = F.concat_ws("; ", F.array_compact(F.array(*rules)))
+    return df.withColumn("ListingIssues", F.when(F.col(listed).isNull(), "listing: no day").otherwise(every))
+
+
 def null_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``NullColumns``: names of the columns that are NULL in the row; only rows that have some."""
     names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
@@ -122,9 +149,13 @@ def validation(df: DataFrame, required: Sequence[str], day: str | None = None) -
     return repeated.withColumns({"missing_columns": F.lit(",".join(missing)), "missing_share": div("__m", F.col("rows") * n), "is_empty": F.col("rows") == 0}).drop("__m")
 
 
-def lookahead(df: DataFrame, p: Panel, columns: Sequence[str], limit: float = 0.5) -> DataFrame:
-    """(keys, column_name, change): jumps beyond ``limit``, which may come from later knowledge."""
+def lookahead(df: DataFrame, p: Panel, columns: Sequence[str], limit: float = 0.5, target: str | None = None) -> DataFrame:
+    """(keys, column_name, change): jumps beyond ``limit``, which may come from later knowledge; with a target, those in the direction of its next move."""
     d = df.withColumns({f"__{c}": p.pct(c) for c in columns})
+    if target:
+        d = d.withColumn("__next", F.signum(p.lead(target) - F.col(target)))
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__{c}").alias("change")) for c in columns]))
+        return d.select(*p.by, *p.time, "__next", rows.alias("r")).select(*p.by, *p.time, "__next", "r.*").where((F.abs("change") > limit) & (F.signum("change") == F.col("__next"))).drop("__next")
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__{c}").alias("change")) for c in columns]))
     return d.select(*p.by, *p.time, rows.alias("r")).select(*p.by, *p.time, "r.*").where(F.abs("change") > limit)
 

@@ -199,6 +199,32 @@ def stability_report(ics: DataFrame, by: Sequence[str], order: str) -> DataFrame
     return out.withColumn("grade", F.when(size > 1, "strong").when(size > 0.5, "stable").when(size > 0.2, "weak").otherwise("unstable"))
 
 
+def stability_by(df: DataFrame, columns: Sequence[str], target: str, day: str, windows: Sequence[str] = ("M", "Q", "Y"), icir: float = 0.5, drawdown: float = -0.3, least: int = 3) -> DataFrame:
+    """(feature, window, periods, ic_mean, ic_std, icir, positive_ratio, max_drawdown, is_stable) of rank ICs by month, quarter and year.
+
+    The drawdown is of the product of 1 + IC over the periods; a feature is stable with an ICIR over ``icir`` and a
+    drawdown over ``drawdown``. Figures need two periods of ``least`` known pairs.
+    """
+    unit = {"M": "month", "Q": "quarter", "Y": "year"}
+    d = unpivoted(df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(target).cast("double").alias("__y"), F.col(day).cast("date").alias("__d")), ["__y", "__d"], columns)
+    d = d.select("feature", F.col("value").alias("__x"), "__y", F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.trunc("__d", unit[w]).alias("period")) for w in windows])).alias("p")).select("feature", "p.window", "p.period", "__x", "__y").where("__x IS NOT NULL AND __y IS NOT NULL")
+    by = ["feature", "window", "period"]
+    r = d.join(_ranked_all(d, by, "__x", "rx"), [*by, "__x"]).join(_ranked_all(d, by, "__y", "ry"), [*by, "__y"])
+    ics = r.groupBy(*by).agg(F.count("*").alias("n"), div(F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry")).alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
+    w = Window.partitionBy("feature", "window").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)  # of periods
+    ics = ics.withColumn("__c", F.exp(F.sum(F.ln(F.greatest(1 + F.col("ic"), F.lit(1e-12)))).over(w))).withColumn("__f", F.col("__c") / F.max("__c").over(w) - 1)
+    out = ics.groupBy("feature", "window").agg(F.count("*").alias("periods"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), div(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("positive_ratio"), F.min("__f").alias("max_drawdown"))
+    figures = ("ic_mean", "ic_std", "icir", "positive_ratio", "max_drawdown")
+    out = out.withColumns({c: F.when(F.col("periods") > 1, F.col(c)) for c in figures})
+    return out.withColumn("is_stable", F.coalesce((F.col("icir") > icir) & (F.col("max_drawdown") > drawdown), F.lit(False)))
+
+
+def stable_features(df: DataFrame, columns: Sequence[str], target: str, day: str, window: str = "Q", **how) -> list[str]:
+    """The stable ones of ``columns`` by one window, in their order."""
+    kept = {r["feature"] for r in stability_by(df, columns, target, day, (window,), **how).where("is_stable").collect()}  # of columns, not rows
+    return [c for c in columns if c in kept]
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 16) -> DataFrame:
     """(feature, mi): mutual information of quantile bins, from one table of counts for all columns."""
     q = F.array(*[F.lit(i / bins) for i in range(1, bins)])

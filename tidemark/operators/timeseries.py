@@ -150,6 +150,18 @@ def period_bounds(as_of: Column, period: str) -> Column:
     return {"1d": F.date_sub(as_of, 1), "1w": F.date_sub(as_of, 7), "1m": F.add_months(as_of, -1), "3m": F.add_months(as_of, -3), "6m": F.add_months(as_of, -6), "1y": F.add_months(as_of, -12)}[period]
 
 
+def trading_period(df: DataFrame, start: str, period: str, calendar: DataFrame, day: str = "day") -> DataFrame:
+    """Adds ``period_start`` and ``period_end``: the period (1d, 1w, 1m, 3m, 6m, 1y) that begins at ``start``, either end rolled back to a trading day; NULL before the first."""
+    months = {"1m": 1, "3m": 3, "6m": 6, "1y": 12}
+    if period not in {"1d", "1w", *months}:
+        raise ValueError(f"unknown period {period}")
+    d = F.col(start).cast("date")
+    end = F.add_months(d, months[period]) if period in months else F.date_add(d, 7 if period == "1w" else 0)
+    for name, column in (("period_start", d), ("period_end", end)):
+        df = by_day(df.withColumn("__end", column), "__end", calendar, day, ["at"]).withColumnRenamed("at", name).drop("__end")
+    return df
+
+
 def fiscal(df: DataFrame, time: str, first_month: int = 4) -> DataFrame:
     """Fiscal year and quarter of years that begin in ``first_month``, and whether the day ends a month, quarter or year."""
     d = F.col(time).cast("date")
