@@ -129,9 +129,13 @@ def elimination(spark, sf):
     return spark.createDataFrame([(c,) for c in model.eliminated(frame(spark, sf), FEATURES, 2)], "feature string")
 
 
-@query("WITH m AS (SELECT CAST(g AS DATE) AS m FROM generate_series(DATE '2023-11-01', DATE '2024-03-01', INTERVAL 1 MONTH) t(g)) SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, greatest(m, DATE '2023-11-15') AS start, least(last_day(m), DATE '2024-03-10') AS \"end\" FROM m")
+@query("WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT min(d) AS a, max(d) AS b FROM o), m AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', a) AS DATE), b, INTERVAL 1 MONTH)) AS DATE) AS m FROM s), r AS (SELECT m, greatest(m, a) AS start, least(last_day(m), b) AS \"end\" FROM m, s) SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, start, \"end\", count(o.d) AS orders FROM r LEFT JOIN o ON o.d BETWEEN start AND \"end\" GROUP BY m, start, \"end\"")
 def month_ranges(spark, sf):
-    return tables.month_ranges(spark, "2023-11-15", "2024-03-10")
+    """The months of the orders' time, clipped to it, and the orders in each."""
+    days = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    first, last = days.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    per = days.groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg(F.count("*").alias("orders"))
+    return tables.month_ranges(spark, first, last).join(per, ["year", "month"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
 
 
 @query(f"WITH {FLAG_BARS} SELECT secu, d, round(CASE WHEN count(c) OVER {R(5)} = 5 THEN (max(c) OVER {R(5)} - min(c) OVER {R(5)}) / avg(c) OVER {R(5)} END, 6) + 0.0 AS spread FROM b")

@@ -135,10 +135,12 @@ def trading_days_between(spark, sf):
     return joins.between_ordinals(q, _calendar(spark, sf), "s", "e").select("o_orderkey", "trading_days")
 
 
-@query("SELECT CAST(day AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY) g(day) WHERE isodow(day) < 6 AND CAST(day AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-05-01', DATE '2024-10-01')")
+@query("WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS day FROM o) SELECT day FROM g WHERE isodow(day) < 6 AND day NOT IN (SELECT d FROM o WHERE day(d) = 1 OR day(d) = 15)")
 def trading_calendar(spark, sf):
-    days = spark.sql("SELECT explode(array(DATE'2024-01-01', DATE'2024-05-01', DATE'2024-10-01')) AS day")
-    return timeseries.trading_days(spark, "2024-01-01", "2024-12-31", days)
+    """Working days of the orders' time, but for the first and fifteenth days on which there are orders."""
+    days = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    first, last = days.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    return timeseries.trading_days(spark, first, last, days.where("day(day) IN (1, 15)").distinct())
 
 
 @query(f"WITH {CAL}, n AS (SELECT day AS start, lead(day, 19) OVER (ORDER BY day) AS \"end\", row_number() OVER (ORDER BY day) AS n FROM cal) SELECT start, \"end\" FROM n WHERE \"end\" IS NOT NULL AND (n - 1) % 5 = 0")
