@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Documents fall into blocks of their source by hash. A source whose target is r times its size takes every block
-floor(r) times and, for the rest, blocks of a permutation until the words suffice; of the last block only the documents
-that still fit. The exact numbers of blocks that each source gives are split among the output shards by a tree: a
+floor(r) times and, for the rest, blocks of a permutation until the words suffice; of the last block, and of the few on
+either side of it, only documents whose words come nearest to what is still open. The exact numbers of blocks that each source gives are split among the output shards by a tree: a
 node divides its blocks between two halves of its shards by a multivariate hypergeometric draw, so a shard's mix is
 that of a random deal of all blocks. A shard then draws the next blocks of each source's permutation, so no two shards
 share a draw, and shuffles its rows by hash.
@@ -23,8 +23,8 @@ from .scratch import Scratch
 
 #: Most blocks of a source, and the documents that a block should hold at least.
 BLOCKS, LEAST = 4096, 16
-#: Passes that fill the block that a source takes in part.
-FILLS = 3
+#: Blocks on either side of the one taken in part that are taken by documents, too, and documents that ``nearest`` weighs up.
+BESIDE, WEIGHED = 3, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,6 +55,31 @@ def split(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate([split(given, left, rng), split(blocks - given, shards - left, rng)])
 
 
+def nearest(sizes: np.ndarray, gap: float) -> np.ndarray:
+    """Which of the documents to take, in their order, so that their sizes come near ``gap``: a mask.
+
+    Those before the one that no longer fits are taken but for the last of them. These and the ones behind, 64 together,
+    are chosen as the subset whose sum is nearest (from below, if two are): bit t of ``reach[i]`` says whether the
+    first i of them have a subset of sum t. Beyond 2**20, sums are in units of gap / 2**20.
+    """
+    upto = np.cumsum(sizes)
+    first = max(0, int(np.searchsorted(upto, gap, side="right")) - WEIGHED // 2)
+    taken, open_ = np.arange(len(sizes)) < first, int(round(gap - (upto[first - 1] if first else 0)))
+    unit = max(1, open_ >> 20)
+    goal, weighed = open_ // unit, [max(1, int(s) // unit) for s in sizes[first : first + WEIGHED]]
+    reach, below = [1], (1 << 2 * goal + 1) - 1  # what is over twice the goal is farther off than nothing
+    for s in weighed:
+        reach.append((reach[-1] | reach[-1] << s) & below if s <= 2 * goal else reach[-1])
+    at, over = (reach[-1] & (1 << goal + 1) - 1).bit_length() - 1, reach[-1] >> goal + 1
+    if over and (over & -over).bit_length() < goal - at:
+        at = goal + (over & -over).bit_length()
+    for i in reversed(range(len(weighed))):
+        if not reach[i] >> at & 1:
+            taken[first + i] = True
+            at -= weighed[i]
+    return taken
+
+
 def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with __size (words; null text: 0) and __key (the source's name, null apart)."""
     return docs.withColumn("__size", F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD.replace(chr(92), chr(92) * 2)}')"), F.lit(0)).cast("long")).withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null")))
@@ -86,17 +111,21 @@ def plan(rows: DataFrame, scratch: Scratch, shards: int, seed: int, share: float
     # pass c of the permutation holds the draws c * n_in + place
     draws = F.expr("transform(sequence(0, full + int(extra > 0)), c -> size(filter(ends, e -> e <= c * n_in + place)))")
     made = made.withColumn("shards", F.when(F.col("full") + (F.col("extra") > 0).cast("int") > 0, F.slice(draws, F.lit(1), F.col("full") + (F.col("extra") > 0).cast("int"))).otherwise(F.array().cast("array<int>")))
-    return sources, made.select("__key", "__block", "target", "source_size", "full", "words", "extra", "shards")
+    return sources, made.select("__key", "__block", "target", "source_size", "full", "words", "extra", "shards", "place")
 
 
 def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, share: float = 1.0, most: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """How often the mix takes each document: (doc_id, size, source_size, target, copies, taken, shards).
 
     ``shards`` holds the output shard of each copy. Sources in order of their code points, null last, weigh 1, 2, 3 and so
-    on again. A null text has size 0. Documents with a null id are placed by their text. Rows repeated under one id are
-    taken alike. Sources without words have target 0 and are not taken. An empty table gives an empty result. With
-    ``keep_columns`` the columns of ``docs`` come first, under their names.
+    on again. A null text has size 0. Documents with a null id are placed by their text. Rows repeated under one id of a
+    source are taken alike. Sources without words have target 0 and are not taken. An empty table gives an empty result. With
+    ``keep_columns`` the columns of ``docs`` come first, under their names, also where these are names of the result.
     """
+    names = docs.columns
+    if keep_columns:
+        id_col, source_col, text_col = (f"__c{names.index(c)}" for c in (id_col, source_col, text_col))
+        docs = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     scratch = Scratch(docs.sparkSession, "mix")
     full = sized(docs, source_col, text_col).withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")))
     rows = scratch.save(full.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("__id").alias("id"), "__size", "__key"), "rows")
@@ -104,30 +133,31 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, share: float = 1.0,
     blocks = scratch.save(blocks, "plan")
     hint = F.broadcast if blocks.count() <= 200_000 else (lambda df: df)
     counts = hint(sources.select("__key", "n_blocks"))
-    # in blocks that are taken in part: documents in the order of a hash while they fit, and again those that fit the rest
-    in_part = blocks.where("extra > 0 and extra < words").select("__key", "__block", "extra")
+    # a source's block that is taken in part, and the few beside it: documents whose words come nearest to the open ones
+    in_part = blocks.where("extra > 0 and extra < words").select("__key", F.col("place").alias("__from"), F.element_at("shards", -1).alias("shard"))
+    near = blocks.select("__key", "__block", "place", "extra").join(hint(in_part), "__key").where(F.col("place").between(F.col("__from") - BESIDE, F.col("__from") + BESIDE))
+    near = near.select("__key", "__block", (F.col("place") - F.col("__from")).alias("turn"), F.sum("extra").over(Window.partitionBy("__key")).alias("gap"), "shard")
     place = F.pmod(F.xxhash64("id", F.lit(seed)), "n_blocks").cast("int").alias("__block")
-    left = rows.where("__size > 0").join(counts, "__key").select("id", "__size", "__key", place).join(hint(in_part), ["__key", "__block"])
-    left = scratch.save(left.groupBy("__key", "__block", "id").agg(F.sum("__size").alias("__size"), F.first("extra").alias("gap")), "part")
-    order = Window.partitionBy("__key", "__block").orderBy(F.xxhash64("id", F.lit(seed + 2)), "id")
-    chosen = []
-    for _ in range(FILLS):
-        tried = left.where("__size <= gap").withColumn("up_to", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        fits = scratch.save(tried.where("up_to <= gap").select("__key", "__block", "id", "up_to"), "fits")
-        chosen.append(fits)
-        used = fits.groupBy("__key", "__block").agg(F.max("up_to").alias("used"))
-        left = scratch.save(left.join(fits.select("__key", "__block", "id"), ["__key", "__block", "id"], "left_anti").join(used, ["__key", "__block"], "left").select("__key", "__block", "id", "__size", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "part")
-    own = chosen[0].select("id")
-    for more in chosen[1:]:
-        own = own.union(more.select("id"))
-    own = scratch.save(own.distinct().select(F.col("id").alias("__own")), "own")
+    part = rows.where("__size > 0").join(counts, "__key").select("id", "__size", "__key", place).join(hint(near), ["__key", "__block"])
+    part = part.groupBy("__key", "id").agg(F.sum("__size").alias("__size"), *[F.first(c).alias(c) for c in ("turn", "gap", "shard")]).withColumn("order", F.xxhash64("id", F.lit(seed + 2)))
+
+    def fill(docs):
+        docs = docs.sort_values(["turn", "order", "id"])
+        return docs.loc[nearest(docs["__size"].to_numpy(), float(docs["gap"].iloc[0])), ["__key", "id", "shard"]]
+
+    own = part.groupBy("__key").applyInPandas(fill, "__key string, id long, shard int")
+    own = scratch.save(own.select(F.col("__key").alias("__own_key"), F.col("id").alias("__own"), "shard"), "own")
+    blocks = blocks.join(hint(near.select("__key", "__block", F.lit(True).alias("by_document"))), ["__key", "__block"], "left")
     base = (full.withColumn("id", F.col("__id")) if keep_columns else rows).join(counts, "__key").withColumn("__block", F.pmod(F.xxhash64("id", F.lit(seed)), "n_blocks").cast("int"))
     base = base.join(hint(blocks), ["__key", "__block"])
-    base = base.join(F.broadcast(own) if own.count() <= 100_000 else own, F.col("id") == F.col("__own"), "left")
-    again = F.when(F.col("extra") <= 0, 0).when(F.col("extra") >= F.col("words"), 1).when(F.col("__own").isNotNull(), 1).otherwise(0)
+    base = base.join(F.broadcast(own) if own.count() <= 100_000 else own, (F.col("id") == F.col("__own")) & (F.col("__key") == F.col("__own_key")), "left")
+    again = F.when(F.col("by_document"), F.col("__own").isNotNull()).otherwise(F.col("extra") > 0).cast("int")
+    # documents from behind go where the block in part goes
+    base = base.withColumn("shards", F.when(F.col("__own").isNotNull() & (F.col("extra") <= 0), F.concat("shards", F.array("shard"))).otherwise(F.col("shards")))
     base = base.withColumn("copies", F.when(F.col("source_size") > 0, F.col("full") + again).otherwise(0).cast("int"))
     out = [F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards")]
-    return base.select(*([F.col(f"`{c}`") for c in docs.columns] if keep_columns else ["doc_id"]), *(c if not isinstance(c, str) else F.col(c) for c in out))
+    got = base.select(*(docs.columns if keep_columns else ["doc_id"]), *out)
+    return got.toDF(*names, *got.columns[len(names) :]) if keep_columns else got
 
 
 def mixture(docs: DataFrame, shards: int = 16, seed: int = 17, **how) -> DataFrame:
