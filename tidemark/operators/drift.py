@@ -33,15 +33,55 @@ def ks_p(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))))
 
 
-def ks(ref: DataFrame, cur: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """(feature, statistic, n, m, p_value, score, drifted) of the two-sample Kolmogorov-Smirnov test."""
-    got = _cdf(ref, cur, columns).groupBy("feature").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
+def _with_p(got: DataFrame, alpha: float) -> DataFrame:
+    """Kolmogorov's p of ``statistic`` with n and m rows, the score and whether that is drift."""
     z = F.col("statistic") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * z * z) for k in range(1, 30)), F.lit(0.0)) * 2
     p = F.when(z < 0.3, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     return got.withColumn("p_value", p).withColumns({"score": 1 - F.col("p_value"), "drifted": F.col("p_value") < alpha})
 
 
+def ks(ref: DataFrame, cur: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """(feature, statistic, n, m, p_value, score, drifted) of the two-sample Kolmogorov-Smirnov test."""
+    got = _cdf(ref, cur, columns).groupBy("feature").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
+    return _with_p(got, alpha)
+
+
+def history(df: DataFrame, period: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Each period against the one before it, all in one job: (period, feature, statistic, n, m, p_value, score, drifted) of ``ks``.
+
+    A row counts twice, for its own period and as what the next one is compared with. Only sums by distinct value go on
+    from there. Periods times columns should be some thousands at most. NULL periods, NULL and NaN values take no part; a period
+    without a value of a feature gives no row of it.
+    """
+    d = df.where(F.col(period).isNotNull())
+    later = d.select(F.col(period).alias("__p")).distinct()
+    later = later.withColumn("__next", F.lead("__p").over(Window.partitionBy(F.lit(0)).orderBy("__p")))  # a row for each period
+    d = d.join(F.broadcast(later), F.col(period) == F.col("__p"))
+    sides = F.array(F.struct(F.col("__p").alias("period"), F.lit(1).alias("side")), F.struct(F.col("__next").alias("period"), F.lit(0).alias("side")))
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = d.select(F.explode(values).alias("v"), sides.alias("s")).where("v.x IS NOT NULL AND NOT isnan(v.x)").select("v.*", F.explode("s").alias("s")).select("feature", "x", "s.*").where("period IS NOT NULL")
+    per = long.groupBy("period", "feature", "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    size = per.groupBy("period", "feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m")).where("n > 0 AND m > 0")
+    cdf = running_sums(per, ["period", "feature"], "x", {"__f": "a", "__g": "b"}).join(F.broadcast(size), ["period", "feature"])
+    got = cdf.groupBy("period", "feature").agg(F.max(F.abs(F.col("__f") / F.col("n") - F.col("__g") / F.col("m"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
+    return _with_p(got, alpha)
+
+
+def summary(found: DataFrame, since: object = None, top: int = 5) -> DataFrame:
+    """One row over the detections of a history from ``since`` on: a detection is a period's row of features.
+
+    Number of detections, those with a drifted feature and their share, mean and largest of the detections' mean scores, and the
+    ``top`` features that drifted most often (ties by name). Without detections the counts are 0, the rest NULL or empty.
+    """
+    d = found if since is None else found.where(F.col("period") >= F.lit(since))
+    one = d.groupBy("period").agg(F.avg("score").alias("score"), F.max("drifted").alias("drifted"))
+    one = one.agg(F.count("*").alias("detections"), F.count_if("drifted").alias("with_drift"), F.avg(F.col("drifted").cast("double")).alias("drift_rate"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    often = d.where("drifted").groupBy("feature").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "feature").limit(top)
+    often = often.agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "feature"))).alias("r")).select(F.concat_ws(",", "r.feature").alias("most_drifted"))  # top rows
+    return one.join(often, how="cross")  # one row each
+
+
 def wasserstein(ref: DataFrame, cur: DataFrame, columns: Sequence[str], limit: float = 0.1) -> DataFrame:
     """(feature, distance, relative, score, drifted): area between the distributions; relative to the reference's sample deviation.
 

@@ -43,6 +43,18 @@ def decoded(code: str, names: dict[int, str]) -> Column:
     return F.when(F.col(code).isNotNull(), F.coalesce(F.element_at(table, F.col(code)), F.concat(F.lit("unknown("), F.col(code).cast("string"), F.lit(")"))))
 
 
+def named(df: DataFrame, code: str, constants: DataFrame, kind: int, name: str, kind_col: str = "LB", code_col: str = "DM", name_col: str = "MC") -> DataFrame:
+    """``df`` with the name that a table of constants gives to the code of a kind, unknown(code) if it has none. Of two names of a code the lesser holds."""
+    known = constants.where(F.col(kind_col) == kind).groupBy(F.col(code_col).alias("__code")).agg(F.min(name_col).alias("__name"))
+    unknown = F.concat(F.lit("unknown("), F.col(code).cast("string"), F.lit(")"))
+    return df.join(known, F.col(code) == F.col("__code"), "left").withColumn(name, F.coalesce("__name", unknown)).drop("__code", "__name")
+
+
+def table_facts(df: DataFrame, time: str, key: str) -> DataFrame:
+    """One row: number of records, first and last time, distinct keys."""
+    return df.agg(F.count("*").alias("total_records"), F.min(time).alias("earliest_date"), F.max(time).alias("latest_date"), F.countDistinct(key).alias("unique_securities"))
+
+
 def suspension_fields(df: DataFrame, as_of: Column, start: str = "SuspendDate", end: str = "ResumptionDate") -> DataFrame:
     """Whether it is still suspended, and for how many days it was or has been."""
     return df.withColumns({"is_suspended": (F.col(end).isNull() | (F.col(end) > as_of)).cast("int"), "suspend_days": F.datediff(F.coalesce(F.col(end), as_of), F.col(start))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +121,63 @@ class Store:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def keep_strategies(self, path: str | None = None) -> str:
+        """Writes all strategies as JSON lines, by default beside the tables, and says where."""
+        path = path or f"{self.root}/_strategies"
+        rows = [(json.dumps({"name": n} | asdict(s)),) for n, s in sorted(self.strategies.items())]
+        self.spark.createDataFrame(rows, "line string").coalesce(1).write.mode("overwrite").text(path)
+        return path
+
+    def take_strategies(self, path: str | None = None) -> list[str]:
+        """Adds the strategies that were written, over those of the same names; fields that are absent keep their defaults, unknown ones are an error."""
+        names = []
+        for (line,) in self.spark.read.text(path or f"{self.root}/_strategies").collect():  # a row for each strategy
+            how = json.loads(line)
+            names.append(how.pop("name"))
+            self.strategies[names[-1]] = Strategy(**{k: tuple(v) if isinstance(v, list) else v for k, v in how.items()})
+        return sorted(names)
+
+    def files(self) -> DataFrame:
+        """(kind, name, files, bytes, modified) of the tables, from the file system's listing; no file is opened."""
+        fs, root = _fs(self.spark, self.root)
+        rows = []
+        for kind in _listed(fs, root):
+            for t in _listed(fs, kind.getPath()) if kind.isDirectory() and not kind.getPath().getName().startswith("_") else []:
+                if t.getPath().getName().endswith(".about"):
+                    continue
+                size = fs.getContentSummary(t.getPath())
+                rows.append((kind.getPath().getName(), t.getPath().getName(), size.getFileCount(), size.getLength(), datetime.fromtimestamp(t.getModificationTime() / 1000)))
+        return self.spark.createDataFrame(rows, "kind string, name string, files long, bytes long, modified timestamp")
+
+    def info(self) -> DataFrame:
+        """(kind, tables, files, bytes), and a row over all kinds, whose kind is NULL."""
+        return self.files().rollup("kind").agg(F.count("*").alias("tables"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+    def remove_older(self, kind: str = "temporary_data", days: float = 7.0) -> list[str]:
+        """Removes the tables of a kind that were last written more than ``days`` days ago; their names."""
+        old = self.files().where((F.col("kind") == kind) & (F.col("modified") < F.lit(datetime.now() - timedelta(days=days))))
+        names = sorted(r["name"] for r in old.select("name").collect())
+        for n in names:
+            self.remove(kind, n)
+        return names
+
+    def back_up(self, kinds: Sequence[str] = ("raw_data", "feature_data", "processed_data"), name: str | None = None) -> str:
+        """Tables of these kinds and what is said of them, written again under ``_backup/name`` by Spark; where that is."""
+        to = Store(self.spark, f"{self.root}/_backup/{name or f'{datetime.now():%Y%m%d_%H%M%S}'}", self.strategies)
+        for r in self.files().where(F.col("kind").isin(*kinds)).select("kind", "name").collect():  # a row for each table
+            to.save(self.load(r["kind"], r["name"]), r["kind"], r["name"])
+        return to.root
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _listed(fs, path) -> list:
+    return list(fs.listStatus(path)) if fs.exists(path) else []
+
+
 #: What each format is for.
 ABOUT_FORMATS = {
     "parquet": "columns with statistics: scans of few columns and filters read little",
