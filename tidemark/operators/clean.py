@@ -179,6 +179,21 @@ def imputed(df: DataFrame, columns: Sequence[str], how: str = "mean", constant:
     return _with_row(df, df.agg(*[f(c).alias(f"__{c}") for c in columns])).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
+def auto_imputed(df: DataFrame, p: Panel, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """Gaps filled by what their share of all cells asks for (``strategy``): means, lines within each series, or nearest rows.
+
+    One pass counts the gaps. Without rows or columns nothing is missing, and the means fill nothing.
+    """
+    if not columns:
+        return df
+    gaps = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    share = df.agg(div(F.sum(gaps), F.count("*") * len(columns))).first()[0] or 0.0
+    how = strategy(share)
+    if how == "simple":
+        return imputed(df, columns, "mean")
+    return filled(df, p, columns, "interpolate") if how == "interpolation" else knn_imputed(df, p.by, columns, k)
+
+
 def knn_imputed(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = 5, donors: int = 2_000) -> DataFrame:
     """Mean of the k nearest rows of the same series that know the value, by distance over what both know.
 
@@ -291,3 +306,33 @@ def integral(df: DataFrame) -> list[str]:
     return [c for c in names if row[c]]
 
 
+def column_types(df: DataFrame, few: float = 0.5) -> DataFrame:
+    """(column_name, kind): 'integer' for floating columns of whole numbers without gaps, 'category' for text with fewer distinct values than ``few`` of the rows, else 'as it is'.
+
+    One aggregation for the numbers, one for the texts; an empty table's columns are as they are.
+    """
+    fields = df.schema.fields
+    floats = [f.name for f in fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    whole = lambda c: F.coalesce(F.bool_and(F.nvl(F.col(f"`{c}`") == F.floor(f"`{c}`"), F.lit(False))), F.lit(False))
+    scarce = lambda c: F.coalesce(div(F.count_distinct(F.col(f"`{c}`")), F.count("*")) < few, F.lit(False))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.when(whole(c), "integer").otherwise("as it is").alias("kind")) for c in floats]
+    texts = [F.struct(F.lit(c).alias("column_name"), F.when(scarce(c), "category").otherwise("as it is").alias("kind")) for c in strings]
+    told = [df.agg(F.array(*r).alias("r")).select(F.explode("r").alias("r")).select("r.*") for r in (rows, texts) if r]
+    others = [c for c in df.columns if c not in {*floats, *strings}]
+    if others:
+        told.append(df.sparkSession.createDataFrame([(c, "as it is") for c in others], "column_name string, kind string"))
+    out = told[0]
+    for t in told[1:]:
+        out = out.union(t)
+    return out
+
+
+def integers(df: DataFrame) -> DataFrame:
+    """``df`` with its floating columns of whole numbers as integers; gaps, infinite values and those beyond 64 bits keep a column as it is."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    if not names:
+        return df
+    fits = lambda c: F.nvl((F.col(f"`{c}`") == F.floor(f"`{c}`")) & (F.abs(F.col(f"`{c}`")) < 2.0**63), F.lit(False))
+    row = df.agg(*[F.coalesce(F.bool_and(fits(c)), F.lit(False)).alias(f"__{i}") for i, c in enumerate(names)]).first()
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for i, c in enumerate(names) if row[i]})

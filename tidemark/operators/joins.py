@@ -105,3 +105,15 @@ def new_listings(quotes: DataFrame, securities: DataFrame, limits: DataFrame, st
     d = quotes.join(s, code).where(F.col(day).between(F.col(listed), F.lit(end).cast("date")))
     d = d.join(limits, [code, day], "left").join(states, [code, day], "left")
     return d.withColumn("days_listed", F.datediff(day, listed))
+
+
+def quality_scan(quotes: DataFrame, limits: DataFrame, performance: DataFrame, securities: DataFrame, code: str, day: str, start: str, end: str, markets: Sequence[int] = (83, 90), category: int = 1, state: int = 1) -> DataFrame:
+    """Quotes from ``start`` to ``end`` of listed shares of these markets, with the day's limits and state and the share's listing.
+
+    The dates go to the scan of all three daily tables, the securities' condition to theirs; daily tables meet on (code,
+    day). Quotes without limits or state keep NULLs; those of other securities, or unknown ones, are left out.
+    """
+    span = lambda t: t.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    s = securities.where((F.col("SecuCategory") == category) & (F.col("ListedState") == state) & F.col("SecuMarket").isin(*markets))
+    daily = span(quotes).join(span(limits), [code, day], "left").join(span(performance), [code, day], "left")
+    return daily.join(s, code)

@@ -69,3 +69,38 @@ def suspension_lengths(df: DataFrame, calendar: DataFrame, start: str = "Suspend
 def suspension_length_months(lengths: DataFrame, start: str = "SuspendDate") -> DataFrame:
     """Mean, deviation, least and most trading days, mean and deviation of natural days, by month of the start and over all."""
     return _reviewed(lengths, start, _moments(["trading_days", "natural_days"]) | {"trading_days_min": F.min("trading_days"), "trading_days_max": F.max("trading_days")})
+
+
+def day_marks(df: DataFrame, suspensions: DataFrame, factors: DataFrame, by: str, day: str, start: str = "SuspendDate", end: str = "ResumptionDate", since: str = "ExDiviDate") -> DataFrame:
+    """``df`` with ``suspended_on``, ``resumed_on`` and ``factor_changed``: whether the key's day starts or ends a suspension or has a new adjusting factor.
+
+    The three kinds of events become one row for each key and day before the join, so rows never multiply and the quotes
+    are exchanged once. Events without a day, and quotes without one, match nothing: all three are false.
+    """
+    kinds = ("suspended_on", "resumed_on", "factor_changed")
+    events = [(suspensions, start), (suspensions, end), (factors, since)]
+    rows = [e.select(F.col(by), F.col(c).cast("date").alias(day), *[F.lit(k == i).alias(n) for k, n in enumerate(kinds)]) for i, (e, c) in enumerate(events)]
+    marks = rows[0].unionByName(rows[1]).unionByName(rows[2]).dropna().groupBy(by, day).agg(*[F.bool_or(n).alias(n) for n in kinds])
+    return df.join(marks, [by, day], "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in kinds})
+
+
+def change_review(df: DataFrame, day: str, change: str, resumed: str = "resumed_on") -> DataFrame:
+    """Changes in percent by month and over all (NULL month), of all quotes and of the days of resumption alone (``scope``).
+
+    Moments, quartiles (exact, linear), directions, limits (9.8) and sizes: small up to 1, medium up to 5, large below the
+    limits, ``high`` from 8 up. ``n`` counts all quotes of the scope, ``valid`` those with a change.
+    """
+    x = F.col(change)
+    size = F.abs(x)
+    d = df.withColumn("scope", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col(resumed), "resumed")))))
+    stats = {"valid": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "least": F.min(x), "most": F.max(x)}
+    stats |= {n: F.percentile(x, q) for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))}
+    counted = {"up": x > 0, "down": x < 0, "unchanged": x == 0, "limit_up": x >= 9.8, "limit_down": x <= -9.8, "high": x >= 8, "small": size <= 1, "medium": (size > 1) & (size <= 5), "large": (size > 5) & (size < 9.8)}
+    d = d.where(F.col(day).isNotNull()).withColumn("month", F.trunc(day, "month"))
+    return d.groupingSets([["scope", "month"], ["scope"]], "scope", "month").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in stats.items()], *[F.count_if(c).alias(n) for n, c in counted.items()])
+
+
+def large_moves(df: DataFrame, change: str, least: float = 8.0, marks: Sequence[str] = ("suspended_on", "resumed_on", "factor_changed")) -> DataFrame:
+    """Quotes that rose by ``least`` percent or more, with ``told``: which of the day's marks hold, joined by commas, or 'none'."""
+    names = F.concat_ws(",", *[F.when(F.col(m), F.lit(m)) for m in marks])
+    return df.where(F.col(change) >= least).withColumn("told", F.when(names == "", "none").otherwise(names))

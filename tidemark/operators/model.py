@@ -61,6 +61,33 @@ def classification_metrics(scored: DataFrame, target: str = "target") -> dict[st
     return out | {"auc": BinaryClassificationEvaluator(labelCol=target, rawPredictionCol="prediction").evaluate(scored)}
 
 
+def regression_scores(scored: DataFrame, by: Sequence[str] = (), target: str = "target", prediction: str = "prediction") -> DataFrame:
+    """(by, n, mse, mae, rmse, r2) in one aggregation; rows without target or prediction don't count, r2 is NULL without variance."""
+    y, e = F.col(target), F.col(target) - F.col(prediction)
+    d = scored.where(e.isNotNull())
+    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("__v"))
+    return out.withColumns({"rmse": F.sqrt("mse"), "r2": 1 - div("mse", "__v")}).drop("__v")
+
+
+def class_scores(scored: DataFrame, by: Sequence[str] = (), target: str = "target", prediction: str = "prediction") -> DataFrame:
+    """(by, n, accuracy, weighted_precision, weighted_recall, weighted_f1, auc) of labels 0 and 1, from one count of the four cases.
+
+    Rows without label or prediction don't count. A class that is never predicted has a precision of 0; the area under
+    the curve is that of hard predictions, NULL where a class has no rows.
+    """
+    y, p = F.col(target), F.col(prediction)
+    cell = lambda a, b: F.count_if((y == a) & (p == b))
+    d = scored.where(y.isNotNull() & p.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), cell(1, 1).alias("__tp"), cell(0, 0).alias("__tn"), cell(0, 1).alias("__fp"), cell(1, 0).alias("__fn"))
+    tp, tn, fp, fn = (F.col(f"__{c}").cast("double") for c in ("tp", "tn", "fp", "fn"))
+    part = lambda hit, of: F.coalesce(div(hit, of), F.lit(0.0))
+    pos, neg = part(tp, tp + fp), part(tn, tn + fn)
+    caught, spared = part(tp, tp + fn), part(tn, tn + fp)
+    f = lambda a, b: part(2 * a * b, a + b)
+    weighted = lambda a, b: div(a * (tp + fn) + b * (tn + fp), "n")
+    auc = F.when((tp + fn > 0) & (tn + fp > 0), (caught + spared) / 2)
+    return d.select(*by, "n", div(tp + tn, "n").alias("accuracy"), weighted(pos, neg).alias("weighted_precision"), weighted(caught, spared).alias("weighted_recall"), weighted(f(pos, caught), f(neg, spared)).alias("weighted_f1"), auc.alias("auc"))
+
+
 def time_folds(df: DataFrame, time: str, k: int = 5) -> DataFrame:
     """``df`` with ``fold`` by the distinct dates' order: 0 trains only, fold i is tested on all that comes before it.
 

@@ -47,6 +47,33 @@ def audit_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col("IssueCount") > 0).alias("with_issues"), F.count_if(F.col("IssueCount") > 1).alias("with_several"), F.sum("IssueCount").alias("issues"))
 
 
+def issues_by_age(df: DataFrame, days: str, issues: str = "Issues") -> DataFrame:
+    """(days, rows, issues): rows with issues, and their issues, by the days since the listing."""
+    d = df.where(F.col(issues) != "")
+    return d.groupBy(F.col(days).alias("days")).agg(F.count("*").alias("rows"), F.sum(F.size(F.split(issues, "; "))).cast("long").alias("issues"))
+
+
+def most_issues(df: DataFrame, by: str, k: int = 10, issues: str = "Issues") -> DataFrame:
+    """(by, rows, kinds): the k keys with the most rows that have issues (ties: the lesser key), and how many kinds these have."""
+    kinds = F.transform(F.split(issues, "; "), lambda i: F.substring_index(i, ":", 1))
+    per = df.where(F.col(issues) != "").select(by, F.posexplode(kinds).alias("__i", "__k"))
+    per = per.groupBy(by).agg(F.count_if(F.col("__i") == 0).alias("rows"), F.count_distinct("__k").alias("kinds"))
+    return per.orderBy(F.desc("rows"), by).limit(k)
+
+
+def field_issues(df: DataFrame, prices: Sequence[str], volumes: Sequence[str], suspended: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, field, rows, nulls, zeros, placeholders, negatives, and their shares in percent) of each field, in one pass.
+
+    A volume of zero counts only where the quote isn't suspended; an unknown state is not a suspension.
+    """
+    fields = [*prices, *volumes]
+    zero = lambda c: (F.col(c) == 0) if c in prices else (F.col(c) == 0) & F.nvl(~suspended, F.lit(True))
+    found = {"nulls": lambda c: F.col(c).isNull(), "zeros": zero, "placeholders": lambda c: F.col(c).isin(*PLACEHOLDERS), "negatives": lambda c: F.col(c) < 0}
+    one = df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.struct(F.lit(c).alias("field"), *[F.count_if(f(c)).alias(n) for n, f in found.items()]).alias(f"__{i}") for i, c in enumerate(fields)])
+    out = one.select(*by, "rows", F.explode(F.array(*[F.col(f"__{i}") for i in range(len(fields))])).alias("r")).select(*by, "rows", "r.*")
+    return out.withColumns({f"{n}_pct": div(F.col(n) * 100, "rows") for n in found})
+
+
 def limit_rules(df: DataFrame, p: Panel, close: str, before: str, days_listed: str, sector: str, wide: Sequence[int] = (6, 7), tolerance: float = 0.001, free: int = 5, new: int = 30) -> DataFrame:
     """``LimitIssue`` of new listings: a move beyond the sector's limit after the free days, up to ``new`` days."""
     ratio = F.abs(div(F.col(close) - F.col(before), before))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, books, cases, features, frames, long, models, research, reviews, rules, tables, warehouse  # noqa: F401
+from . import audit, books, cases, checks, features, frames, long, models, research, reviews, rules, tables, warehouse  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
