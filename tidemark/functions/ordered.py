@@ -51,8 +51,8 @@ def by_day(df: DataFrame, time: str, calendar: DataFrame, day: str, columns: Seq
     spark, n = df.sparkSession, (high - low).days + 3
     every = spark.range(n).select(F.date_add(F.lit(low), F.col("id").cast("int") - 1).alias("__date")).join(days, F.col("__date") == F.col("__day"), "left")
     w = Window.orderBy("__date")  # of a calendar's days only
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    told = {"at": F.last("__day", ignorenulls=True).over(back), "before": F.last("__day", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("__day", ignorenulls=True).over(ahead), "number": F.count("__day").over(back).cast("int")}
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("__date")).rowsBetween(Window.unboundedPreceding, -1)
+    told = {"at": F.last("__day", ignorenulls=True).over(back), "before": F.last("__day", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last("__day", ignorenulls=True).over(ahead), "number": F.count("__day").over(back).cast("int")}
     every = every.select("__date", *[told[c].alias(c) for c in columns])
     held = F.greatest(F.date_sub(F.lit(low), 1), F.least(F.date_add(F.lit(high), 1), F.col(time).cast("date")))
     df = df.withColumn("__date", F.when(F.col(time).isNotNull(), held))

@@ -63,6 +63,14 @@ class Panel:
     def so_far(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, 0)
 
+    @property
+    def from_here(self) -> WindowSpec:
+        """The rows from this one on, the last first: Spark would read a frame that ends with the series anew for every row.
+
+        Within equal times the order need not be the opposite of ``w``'s.
+        """
+        return Window.partitionBy(*self.by).orderBy(*[F.col(t).desc_nulls_last() for t in self.time]).rowsBetween(Window.unboundedPreceding, 0)
+
     def lag(self, x, n: int = 1) -> Column:
         return F.lag(col(x), n).over(self.w)
 
@@ -113,7 +121,7 @@ class Panel:
         return F.last(col(x), ignorenulls=True).over(self.so_far)
 
     def bfill(self, x) -> Column:
-        return F.first(col(x), ignorenulls=True).over(self.w.rowsBetween(0, Window.unboundedFollowing))
+        return F.last(col(x), ignorenulls=True).over(self.from_here)
 
     def zscore(self, x, n: int) -> Column:
         return div(col(x) - self.mean(x, n), self.std(x, n))

@@ -95,8 +95,9 @@ def filled(df: DataFrame, p: Panel, columns: Sequence[str], how: str = "ffill",
     if how == "ffill":
         w = p.so_far if limit is None else p.w.rowsBetween(-limit, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    w = p.w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+    if limit is None:
+        return df.withColumns({c: p.bfill(c) for c in columns})
+    return df.withColumns({c: F.first(c, ignorenulls=True).over(p.w.rowsBetween(0, limit)) for c in columns})
 
 
 def missing_handled(df: DataFrame, p: Panel, columns: Sequence[str]) -> DataFrame:

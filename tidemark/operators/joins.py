@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordered import by_day
+from ..functions.panel import Panel
 
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], default: dict | None = None) -> DataFrame:
@@ -48,12 +49,10 @@ def aligned(df: DataFrame, key: str, time: str, columns: Sequence[str], how: str
     keys, times = df.select(key).distinct(), df.select(time).distinct()
     # the grid is the result itself: as many rows as keys times dates
     grid = keys.join(times, how="cross").join(df.select(key, time, *columns), [key, time], "left")
-    w = Window.partitionBy(key).orderBy(time)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    if how == "ffill":
-        return grid.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in columns})
-    if how == "bfill":
-        return grid.withColumns({c: F.first(c, ignorenulls=True).over(on) for c in columns})
+    p = Panel((key,), (time,))
+    if how in ("ffill", "bfill"):
+        fill = p.ffill if how == "ffill" else p.bfill
+        return grid.withColumns({c: fill(c) for c in columns})
     if how == "interpolate":
         return interpolated(grid, [key], [time], columns)
     return grid
@@ -62,12 +61,12 @@ def aligned(df: DataFrame, key: str, time: str, columns: Sequence[str], how: str
 def interpolated(df: DataFrame, by: Sequence[str], time: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Gaps filled along a line by row number; after the last known value that stays, before the first nothing is known."""
     w = Window.partitionBy(*by).orderBy(*time)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     df = df.withColumn("__i", F.row_number().over(w))
+    back, on = Panel(tuple(by), ("__i",)).so_far, Panel(tuple(by), ("__i",)).from_here
     new = {}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col("__i"))
-        p, q, i, j = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(on), F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(on)
+        p, q, i, j = F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(on), F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(on)
         new[c] = F.when(F.col(c).isNotNull() | q.isNull(), p).when(p.isNotNull(), p + (q - p) * F.try_divide((F.col("__i") - i).cast("double"), j - i))
     return df.withColumns(new).drop("__i")
 
