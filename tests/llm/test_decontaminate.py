@@ -98,3 +98,29 @@ def test_very_long_texts_of_equal_words():
         raw = np.frombuffer(text.encode(), np.uint8)
         got = list(part.hits(*decontaminate.words(raw, np.array([0, len(raw)]), decontaminate.PUNCT)))
         assert time.process_time() - began < 30 and len(got) == (text[:10] != "same other")
+
+
+@pytest.mark.parametrize("least", [1, 5])
+def test_join_of_seeds_equals_slices(spark, least):
+    docs, items, _ = case(3)
+    r = random.Random(9)
+    half = [" ".join(items[i][1].split()[:20]) for i in (1, 2, 3)]
+    docs += [(900, None), (901, ""), (None, items[2][1]), (902, items[2][1]), (902, items[2][1]), (903, " ".join(["again"] * 3000)), (904, " ".join(r.choice(half) for _ in range(400))), (905, "one two"), (906, "."), (907, "x " + items[4][1])]
+    items += [(50, items[2][1]), (51, items[2][1] + " and more"), (51, "one two"), (52, " ".join(["again"] * 40)), (53, ""), (54, "one"), (77, None), (None, "x y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(d, t, "u", 0.0) for d, t in docs], "doc_id long, text string, item_id string, n_equal double").repartition(5)
+    slices, joined = (sorted(map(tuple, contaminated(df, bench, least=least, join_above=n).collect())) for n in (10**9, 0))
+    assert slices == joined and len(joined) > 30
+    kept = clean_documents(df, bench, least=least, join_above=0)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, clean_documents(df, bench, least=least).collect()))
+    assert clean_documents(df.limit(0), bench, join_above=0).count() == 0 and contaminated(df.limit(0), bench, join_above=0).count() == 0
+    few = contaminated(df, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), join_above=0)
+    assert few.count() == 0
+
+
+def test_join_with_a_full_filter_finds_the_same(spark):
+    docs, items, want = case(4)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "i long, t string")
+    got = decontaminate._joined(df, "text", bench, 5, bits=64).collect()
+    assert len(got) == len({(r.doc_key, r.item_key) for r in got}) == len(want)

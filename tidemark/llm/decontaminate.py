@@ -6,6 +6,9 @@ them). Hits are hashes that a document and a benchmark item share; around each h
 diagonal, and a document is contaminated by an item if some window of 13 words there has 11 or more equal ones.
 
 The items' seeds are broadcast in slices of bounded size, each slice a pass over the documents, which are never shuffled.
+A benchmark of more than JOIN_WORDS words is joined by hash instead: both sides' seeds, each with the words around it, meet
+by seed, and a broadcast filter of fixed size keeps back most of the documents' seeds that no item has. Both ways give
+the same rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,14 @@ LEAST = 5
 SLICE_WORDS = 250_000
 #: Pairs of equal seeds that are compared at a time.
 PAIRS = 50_000
+#: Estimated benchmark words (a quarter of the characters) beyond which seeds are joined; up to here there are at most 17 slices.
+JOIN_WORDS = 4_000_000
+#: Bits of the filter of benchmark seeds (32 MB), at any number of seeds.
+FILTER_BITS = 1 << 28
+#: Places of a text whose seeds are laid out at a time.
+PLACES = 20_000
+SEEDS = "seed long, mask int, key binary, at int, low int, high int, around binary"
+FOUND = "doc_key binary, item_key binary, doc_at int, item_at int, n_words int, n_equal int"
 HITS = "doc_id long, item_id long, doc_at int, item_at int, n_words int, n_equal int"
 
 
@@ -132,10 +143,14 @@ class Slice:
                     best[key] = got
 
 
-def _slices(bench: DataFrame, id_col: str, text_col: str, least: int) -> Iterator[Slice]:
-    """Bounded parts of the benchmark, one after another; an item is never cut."""
+def _items(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """(i, t) of the items that have an id and a text, and about how many words these are."""
     rows = bench.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.coalesce(F.sum(F.length("t") / 4), F.lit(0))).first()[0]
+    return rows, rows.agg(F.coalesce(F.sum(F.length("t") / 4), F.lit(0))).first()[0]
+
+
+def _slices(rows: DataFrame, total: float, least: int) -> Iterator[Slice]:
+    """Bounded parts of the benchmark, one after another; an item is never cut."""
     n = int(total // SLICE_WORDS) + 1
     for k in range(n):
         got = sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect())
@@ -150,7 +165,138 @@ def _in_batch(batch_text: pa.Array, part: Slice) -> Iterator[tuple[int, ...]]:
             yield a + d, *rest
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+def _all_masks(least: int) -> list[str]:
+    return [*dict.fromkeys(m for n in range(max(1, least), WINDOW + 1) for m in masks_of(n))]
+
+
+def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each seed in the filter."""
+    return (seeds % U(bits)).astype(np.int64), (mix(seeds ^ U(0x5DEECE66D)) % U(bits)).astype(np.int64)
+
+
+def _laid_out(column: pa.Array, keys: list[bytes], masks: list[str], least: int, items: bool, held: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Seeds of texts, each with the words of all windows that hold it. Of items the masks of their size, of documents all that may be in the filter.
+
+    Places of a document with the same words around are laid out once, the first one, within so many places.
+    """
+    buf, off = texts(column)
+    for begin, _, own, starts in pieces(buf, off):
+        h, first = words(own, starts, PUNCT)
+        sizes = np.diff(first)
+        for number, mask in enumerate(masks):
+            seeds = _seeds(h, mask)
+            ok = np.ones(len(seeds), bool)
+            if held is not None:
+                for place in _probes(seeds, len(held) * 64):
+                    ok &= (held[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
+            at = np.flatnonzero(ok)
+            doc = np.searchsorted(first, at, "right") - 1
+            fits = at + len(mask) <= first[doc + 1]
+            if items:
+                wanted = np.array([n >= max(1, least) and mask in masks_of(int(n)) for n in sizes], bool)
+                fits &= wanted[doc] if len(doc) else fits
+            at, doc = at[fits], doc[fits]
+            span = np.arange(len(mask) - WINDOW, WINDOW)
+            for i in range(0, len(at), PLACES):
+                a, d = at[i : i + PLACES], doc[i : i + PLACES]
+                low = np.maximum(first[d] - (a + span[0]), 0)
+                high = np.minimum(first[d + 1] - (a + span[0]), len(span))
+                place = np.arange(len(span))
+                inside = (place >= low[:, None]) & (place < high[:, None])
+                around = np.where(inside, h[np.clip(a[:, None] + span, 0, len(h) - 1)], U(0))
+                whole = np.ascontiguousarray(np.column_stack([d.astype(U), low.astype(U), high.astype(U), around]))
+                once = np.sort(np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True)[1])
+                a, d, around = a[once], d[once], np.ascontiguousarray(around[once].astype("<u8"))
+                ends = np.arange(len(a) + 1, dtype=np.int32) * (len(span) * 8)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(seeds[a].view(np.int64)), pa.array(np.full(len(a), number, np.int32)), pa.array([keys[begin + j] for j in d], pa.binary()),
+                    pa.array((a - first[d]).astype(np.int32)), pa.array(low[once].astype(np.int32)), pa.array(high[once].astype(np.int32)),
+                    pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(around)]),
+                ], names=["seed", "mask", "key", "at", "low", "high", "around"])
+
+
+def _compared(batch: pa.RecordBatch, masks: list[str]) -> pa.RecordBatch:
+    """Of each pair of equal seeds the best window that holds them, if enough of its words are equal."""
+    got = {n: np.asarray(batch.column(n)) for n in ("mask", "at", "low", "high", "item_at", "item_low", "item_high", "size")}
+    rows, out = [], {n: [] for n in ("doc_at", "item_at", "n_words", "n_equal")}
+    for number in np.unique(got["mask"]):
+        length, width = len(masks[number]), 2 * WINDOW - len(masks[number])
+        for size in np.unique(got["size"][got["mask"] == number]):
+            at = np.flatnonzero((got["mask"] == number) & (got["size"] == size))
+            x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), "<u8").reshape(len(at), width) for c in ("around", "item_around"))
+            place = np.arange(width)
+            inside = (place >= np.maximum(got["low"], got["item_low"])[at, None]) & (place < np.minimum(got["high"], got["item_high"])[at, None])
+            side = WINDOW - size  # of shorter items the windows reach less far
+            held = slice(side, width - side)
+            same, whole = (np.pad(np.cumsum(v[:, held], axis=1), ((0, 0), (1, 0))) for v in (inside & (x == y), inside))
+            count = np.where(whole[:, size:] - whole[:, :-size] == size, same[:, size:] - same[:, :-size], -1)
+            k = np.argmax(count, axis=1)
+            found = count[np.arange(len(at)), k]
+            ok = found >= needed(int(size))[1]
+            move = (length - size + k)[ok]
+            rows.append(at[ok])
+            for n, v in (("doc_at", got["at"][at][ok] + move), ("item_at", got["item_at"][at][ok] + move), ("n_words", np.full(ok.sum(), size)), ("n_equal", found[ok])):
+                out[n].append(v)
+    rows = pa.array(np.concatenate(rows) if rows else [], pa.int64())
+    flat = [pa.array(np.concatenate(v).astype(np.int32) if v else [], pa.int32()) for v in out.values()]
+    return pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("item_key").take(rows), *flat], names=["doc_key", "item_key", *out])
+
+
+def _key(text: str):
+    """Sixteen bytes that stand for a text; NULL for none."""
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def _joined(docs: DataFrame, text_col: str, items: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
+    """FOUND: each text of ``docs`` with each text of ``items`` (i, t) that it holds, and the best window, by a join of seeds.
+
+    Equal texts count as one here. A seed that very many documents share makes a large partition of the join, which
+    adaptive execution splits; its items are those that have the seed, so that no more pairs are made than are compared.
+    """
+    spark, masks = docs.sparkSession, _all_masks(least)
+
+    def seeds_of(rows: DataFrame, of_items: bool, held=None) -> DataFrame:
+        def lay(batches):
+            for batch in batches:
+                yield from _laid_out(batch.column(1), batch.column(0).to_pylist(), masks, least, of_items, held and held.value)
+
+        return rows.mapInArrow(tidy(lay), SEEDS)
+
+    texts_of_items = items.select(_key("t").alias("k"), "t").dropDuplicates(["k"])
+    asked = seeds_of(texts_of_items, True)
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(np.asarray(batch.column(0)).view(U), bits)))
+            word, start = np.unique(at >> 6, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), start).view(np.int64) if len(at) else [], pa.int64())], names=["word", "b"])
+
+    set_bits = asked.select("seed").mapInArrow(places, "word long, b long").groupBy("word").agg(F.bit_or("b").alias("b")).toArrow()  # bits / 64 rows at most
+    held = np.zeros(bits // 64, U)
+    held[np.asarray(set_bits["word"], np.int64)] = np.asarray(set_bits["b"], np.int64).view(U)
+    held = spark.sparkContext.broadcast(held)
+    said = docs.where(F.col(f"`{text_col}`").isNotNull()).select(_key(f"`{text_col}`").alias("k"), F.col(f"`{text_col}`").cast("string"))
+
+    def sized(batches):
+        for batch in batches:
+            first = words(*texts(batch.column(1)), PUNCT)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([needed(int(n))[0] for n in np.diff(first)], pa.int32())], names=["item_key", "size"])
+
+    sizes = texts_of_items.mapInArrow(sized, "item_key binary, size int")
+    asked = asked.withColumnsRenamed({"key": "item_key", "at": "item_at", "low": "item_low", "high": "item_high", "around": "item_around"}).join(sizes, "item_key")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                yield _compared(batch.slice(i, PAIRS), masks)
+
+    pairs = seeds_of(said, False, held).join(asked, ["seed", "mask"]).drop("seed")
+    best = F.min(F.struct((-F.col("n_equal")).alias("e"), "doc_at", "item_at", "n_words")).alias("b")
+    found = pairs.mapInArrow(tidy(compare), FOUND).groupBy("doc_key", "item_key").agg(best)
+    return found.select("doc_key", "item_key", "b.doc_at", "b.item_at", "b.n_words", (-F.col("b.e")).alias("n_equal"))
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, join_above: float = JOIN_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_at, item_at, n_words, n_equal): each document with each item that it holds, and the best window.
 
     Words are runs of ASCII letters and digits and of all other characters, A-Z in lower case. Of an item of 8 to 12
@@ -158,11 +304,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     side, items of fewer than ``least`` words (``least=1`` looks for all) and rows with a null id on either side give no
     hit. The best window has the most equal words; ties go to the earliest in the document, then in the item. Documents
     and items repeated under one id each give theirs. Texts of any length are read whole, in bounded memory besides the
-    text. An empty table gives none.
+    text. An empty table gives none. Benchmarks of more than ``join_above`` words are joined by their seeds' hashes.
     """
     spark, out = docs.sparkSession, None
+    items, total = _items(bench, item_col, item_text)
+    if total > join_above:
+        found = _joined(docs, text_col, items, least)
+        found = found.join(items.select(F.col("i").alias("item_id"), _key("t").alias("item_key")), "item_key")
+        own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _key(f"`{text_col}`").alias("doc_key"))
+        return own.join(found, "doc_key").select("doc_id", "item_id", "doc_at", "item_at", "n_words", "n_equal")
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    for part in _slices(bench, item_col, item_text, least):
+    for part in _slices(items, total, least):
         held = spark.sparkContext.broadcast(part)
 
         def find(batches, held=held):
@@ -177,15 +329,19 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` without the contaminated rows; rows and columns are else as they were. No shuffle.
+def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, join_above: float = JOIN_WORDS) -> DataFrame:
+    """``docs`` without the contaminated rows; rows and columns are else as they were. No shuffle up to ``join_above`` benchmark words.
 
     Null and empty texts, and rows without an id, stay unless a text of theirs holds an item; ids are not read. An
     empty table, or an empty benchmark, gives ``docs`` back.
     """
+    items, total = _items(bench, item_col, item_text)
+    if total > join_above:
+        gone = _joined(docs, text_col, items, least).select(F.col("doc_key").alias("__doc_key")).distinct()
+        return docs.join(gone, _key(f"`{text_col}`") == F.col("__doc_key"), "left_anti")
     spark, schema = docs.sparkSession, T.StructType(docs.schema.fields)
     place = docs.columns.index(text_col)
-    for part in _slices(bench, item_col, item_text, least):
+    for part in _slices(items, total, least):
         held = spark.sparkContext.broadcast(part)
 
         def keep(batches, held=held):
