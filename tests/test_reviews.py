@@ -28,6 +28,13 @@ def test_suspension_lengths(spark):
     assert market.suspension_length_months(got.limit(0)).where("month IS NOT NULL").count() == 0
 
 
+def test_reviews_of_no_rows_have_the_row_over_all(spark):
+    none = spark.createDataFrame([], "SuspendDate date, trading_days int, natural_days int")
+    assert [tuple(r) for r in market.suspension_length_months(none).collect()] == [(None, 0, None, None, None, None, None, None)]
+    quotes = spark.createDataFrame([], "k int, d date, o double, c double, v double")
+    assert [(r.month, r.n) for r in market.volume_price_months(quotes, Panel(("k",), ("d",)), "d", "o", "c", "v", F.lit(False)).collect()] == [(None, 0)]
+
+
 def test_price_gaps_leave_out_what_is_no_quote(spark):
     rows = [(10.0, 12.0, 9.0, 11.0, 100.0, 1050.0, 8.0, False), (10.0, 12.0, 9.0, 11.0, 0.0, 5.0, 0.0, None), (10.0, 12.0, 9.0, 11.0, 1.0, 1.0, 8.0, True), (0.0, 12.0, 9.0, 11.0, 1.0, 1.0, 8.0, False), (None, 12.0, 9.0, 11.0, 1.0, 1.0, 8.0, False)]
     df = spark.createDataFrame(rows, "o double, h double, l double, c double, v double, a double, b double, s boolean")

@@ -1,6 +1,7 @@
 """Market reviews by month: gaps of highs and lows, moves of price and volume, lengths of suspensions in trading days.
 
-Each review has a row for every month and one over all, whose month is NULL; both come from one aggregation.
+Each review has a row for every month and one over all, whose month is NULL; both come from one aggregation. The one over
+all is there, with a count of 0, where no row is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from .joins import between_ordinals
 def _reviewed(df: DataFrame, day: str, stats: dict[str, Column]) -> DataFrame:
     """Rows and statistics by month of the year, and over all. Rows without a day are left out."""
     d = df.where(F.col(day).isNotNull()).withColumn("month", F.month(day))
-    return d.rollup("month").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in stats.items()])
+    got = d.rollup("month").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in stats.items()])
+    # Spark's ROLLUP of no rows is empty, the standard's has the row over all
+    over_all = df.sparkSession.range(1).select(F.lit(None).cast("int").alias("__all"))
+    got = got.join(over_all, F.col("month").eqNullSafe(F.col("__all")), "full")  # thirteen rows at most
+    return got.select("month", F.coalesce("n", F.lit(0)).alias("n"), *stats)
 
 
 def _moments(names: Sequence[str], median: Sequence[str] = ()) -> dict[str, Column]:
