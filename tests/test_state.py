@@ -53,6 +53,51 @@ def test_reset(spark):
     same(got.where(F.col("t") >= at).collect(), after)
 
 
+def plain(x, window=20, span=12):
+    """The running values of known x, one by one."""
+    out, ma, ema, var, a = [], 0.0, None, None, 2 / (span + 1)
+    for i, v in enumerate(x):
+        ma += (v - ma) / min(i + 1, window)
+        ema, var = (v, v * v) if i == 0 else (ema + a * (v - ema), var + a * (v * v - var))
+        w = x[max(0, i + 1 - window) : i + 1]
+        out.append((ma, ema, var**0.5, min(x[: i + 1]), max(x[: i + 1]), sum(x[: i + 1]), np.mean(w), np.std(w), min(w), max(w), len(w)))
+    return out
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_many_keys_are_folded_together(spark, batch):
+    """Keys that end within a batch of Spark's rows and ones that go on over many; none takes a call of its own."""
+    rng = np.random.default_rng(5)
+    sizes = {None: 9, 2**53 + 1: 4, **{k: int(rng.integers(1, 30)) for k in range(40)}, 77: 700}
+    every = [(k, START + dt.timedelta(seconds=i), float(rng.normal()), None, bool(rng.random() < 0.1)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(every, DDL.replace("k string", "k long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        cut = START + dt.timedelta(seconds=6)
+        held = state.states_of(df.where(F.col("t") < cut), "k", "t", "x", reset="again")
+        resumed = state.continued(df.where(F.col("t") >= cut), "k", "t", "x", before=held, reset="again")
+        whole = state.continued(df, "k", "t", "x", reset="again")
+        for d in (held, resumed, whole, incremental.running(df, "k", "t", "x")):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "GroupsInPandas" not in plan and "CoGroup" not in plan
+        want, last = {}, {}
+        for k, n in sizes.items():
+            own = [r for r in every if r[0] == k]
+            cuts = sorted({0, *(i for i, r in enumerate(own) if r[4]), n})
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                want |= {(k, own[a + i][1]): v for i, v in enumerate(plain([r[2] for r in own[a:b]]))}
+            first = own[:6]
+            begin = max([0, *(i for i, r in enumerate(first) if r[4])])
+            last[k] = [r[2] for r in first[begin:]]
+        for got, since in ((whole.collect(), START), (resumed.collect(), cut)):
+            assert {(r.k, r.t) for r in got} == {at for at in want if at[1] >= since} and len({(r.k, r.t) for r in got}) == len(got)
+            for r in got:
+                np.testing.assert_allclose([getattr(r, c) for c in incremental.COLUMNS[:-1]], want[r.k, r.t], rtol=1e-9, atol=1e-9)
+        assert {r.k: (r.n, list(r.xs)) for r in held.collect()} == {k: (len(v), v) for k, v in last.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKS)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .incremental import COLUMNS, STATE, fold, fresh
+from .incremental import COLUMNS, STATE, fold, folded, fresh
 
 NAMES = list(fresh())
 PENDING = "time timestamp, x double, y double, reset boolean"
@@ -33,8 +33,8 @@ def _out(data: DataFrame) -> T.StructType:
     return T.StructType([*data.schema.fields[:-1], *(T.StructField(c, T.DoubleType()) for c in COLUMNS)])
 
 
-def _state_schema(data: DataFrame) -> T.StructType:
-    return T.StructType([data.schema["key"], *T._parse_datatype_string(STATE).fields])
+def _keyed(states: DataFrame | None) -> DataFrame | None:
+    return None if states is None else states.select(F.col(states.columns[0]).alias("key"), *NAMES)
 
 
 def _named(out: DataFrame, df: DataFrame, key: str, time: str, x: str, y: str | None) -> DataFrame:
@@ -66,35 +66,12 @@ def _folded(rows: pd.DataFrame, held: dict, paired: bool, window: int, span: flo
 
 def continued(df: DataFrame, key: str, time: str, x: str, y: str | None = None, before: DataFrame | None = None, reset: str | None = None, window: int = 20, span: float = 12) -> DataFrame:
     """A batch's running values, starting from the states in ``before`` (key and figures) where it has the key's."""
-    data = _data(df, key, time, x, y, reset)
-    schema = _out(data)
-    names = schema.names
-    if before is None:
-        run = lambda pdf: _folded(pdf, fresh(), bool(y), window, span)[names]
-        return _named(data.groupBy("key").applyInPandas(run, schema), df, key, time, x, y)
-
-    def both(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        held = _held(states[NAMES].iloc[0]) if len(states) else fresh()
-        return _folded(pdf, held, bool(y), window, span)[names] if len(pdf) else pd.DataFrame(columns=names)
-
-    states = before.select(F.col(before.columns[0]).alias("key"), *NAMES)
-    return _named(data.groupBy("key").cogroup(states.groupBy("key")).applyInPandas(both, schema), df, key, time, x, y)
+    return _named(folded(_data(df, key, time, x, y, reset), bool(y), window, span, _keyed(before)), df, key, time, x, y)
 
 
 def states_of(df: DataFrame, key: str, time: str, x: str, y: str | None = None, before: DataFrame | None = None, reset: str | None = None, window: int = 20, span: float = 12) -> DataFrame:
     """(key, figures): the state of each key after its rows, and after ``before``; keys without rows keep theirs."""
-    data = _data(df, key, time, x, y, reset)
-    schema = _state_schema(data)
-    states = data.select("key").limit(0).selectExpr("key", *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields[1:]]) if before is None else before.select(F.col(before.columns[0]).alias("key"), *NAMES)
-
-    def last(name: tuple, pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        held = _held(states[NAMES].iloc[0]) if len(states) else fresh()
-        if len(pdf):
-            _folded(pdf, held, bool(y), window, span)
-        return pd.DataFrame([(name[0], *_values(held))], columns=schema.names)
-
-    data, states = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (data, states))
-    return data.groupBy("key").cogroup(states.groupBy("key")).applyInPandas(last, schema).withColumnRenamed("key", key)
+    return folded(_data(df, key, time, x, y, reset), bool(y), window, span, _keyed(before), last=True).withColumnRenamed("key", key)
 
 
 class Ordered(StatefulProcessor):
@@ -156,7 +133,7 @@ def ordered(stream: DataFrame, key: str, time: str, x: str, y: str | None = None
     """
     data = _data(stream, key, time, x, y, reset).withWatermark("time", late)
     schema = _out(data)
-    initial = None if before is None else before.select(F.col(before.columns[0]).alias("key"), *NAMES).groupBy("key")
+    initial = None if before is None else _keyed(before).groupBy("key")
     out = data.groupBy("key").transformWithStateInPandas(Ordered(bool(y), window, span, schema.names), schema, "Append", "EventTime", initial)
     return _named(out, stream, key, time, x, y)
 
