@@ -30,6 +30,17 @@ def test_scores_of_known_weights(spark):
     assert got.keys() == want.keys() and all(got[k][0] == n and math.isclose(got[k][1], s, abs_tol=1e-12) for k, (n, s) in want.items())
 
 
+@pytest.mark.parametrize("common", [0, 2, 50_000])
+def test_common_words_are_broadcast_and_the_others_joined(spark, monkeypatch, common):
+    monkeypatch.setattr(lexicon, "COMMON", common)
+    known = spark.createDataFrame([("good", 9, 0.5), ("bad", 8, -1.0), ("fine", 7, 0.25), ("odd", 6, None)], "word string, n long, weight double")
+    df = spark.createDataFrame([(1, "good not so good, never"), (2, "bad bad odd unknown fine"), (3, "unknown"), (4, None), (5, "fine, very fine")], "k int, text string")
+    scores = lexicon.scored(df, "k", "text", known)
+    got = {r.k: (r.words, round(r.sentiment, 9)) for r in scores.collect()}
+    turned = -0.5 * 1.5 * 0.5
+    assert got == {1: (2, round((0.5 + turned) / (0.5 - turned), 9)), 2: (4, round(-1.75 / 2.25, 9)), 3: (0, 0.0), 4: (0, 0.0), 5: (2, 1.0)}
+
+
 def test_learned_weights_and_held_out_accuracy(spark):
     rows = texts(600, 1)
     df = spark.createDataFrame(rows, "k long, text string, y int").repartition(3)

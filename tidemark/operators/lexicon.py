@@ -9,6 +9,8 @@ sum of these over the sum of their sizes, in [-1, 1]; 0 where no word is known.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ INTENSIFIERS = ("very", "really", "extremely", "highly", "so")
 DOWNTONERS = ("slightly", "somewhat", "rather", "barely", "fairly")
 #: Words after a negator that it turns round, and what is left of their weight.
 SCOPE, TURNED, MORE, LESS = 3, -0.5, 1.5, 0.5
+#: So many words of a lexicon are broadcast, a few MB.
+COMMON = 50_000
 #: What a word is: letters of any script, in lower case.
 SPLIT = r"[^\p{L}]+"
 
@@ -42,20 +46,32 @@ def learned(texts: DataFrame, text: str, label: str, least: int = 5, smoothing:
 
 
 def scored(df: DataFrame, key: str, text: str, lexicon: DataFrame, negators: Sequence[str] = NEGATORS, more: Sequence[str] = INTENSIFIERS, less: Sequence[str] = DOWNTONERS) -> DataFrame:
-    """(key, words, sentiment) of every row, ``key`` being unique: how many of its words the lexicon has, and the score.
+    """(key, words, sentiment) of every row, ``key`` being unique and the lexicon's words distinct: how many of its words the lexicon has, and the score.
 
-    Words meet the lexicon by a join, after equal uses of a word in a text have been added up.
+    The ``COMMON`` words that most texts have (by the lexicon's ``n``, if it has that) are broadcast, and their uses are
+    added up text by text where they are read. The others meet the lexicon by a join, after equal uses of a word in a
+    text have been added up.
     """
-    words = F.col("__w")
-    near = lambda i, back: F.slice(words, F.greatest(i + 1 - back, F.lit(1)), F.least(i, F.lit(back)))
-    turned = lambda i: F.exists(near(i, SCOPE), lambda v: v.isin(*negators))
-    before = lambda i, some: F.exists(near(i, 1), lambda v: v.isin(*some))
-    factor = lambda i: F.when(turned(i), TURNED).otherwise(1.0) * F.when(before(i, more), MORE).when(before(i, less), LESS).otherwise(1.0)
-    each = F.transform(words, lambda w, i: F.struct(w.alias("word"), factor(i).alias("f")))
-    rows = df.select(F.col(key).alias("__k"), _words(text).alias("__w")).select("__k", F.explode(each).alias("e"))
-    used = rows.groupBy("__k", F.col("e.word").alias("word")).agg(F.count("*").alias("c"), F.sum("e.f").alias("f"), F.sum(F.abs("e.f")).alias("g"))
-    hit = used.join(lexicon.select("word", "weight"), "word")
-    per = hit.groupBy("__k").agg(F.sum("c").alias("words"), F.sum(F.col("f") * F.col("weight")).alias("__s"), F.sum(F.col("g") * F.abs("weight")).alias("__t"))
+    kinds = {1: tuple(negators), 2: tuple(more), 3: tuple(less)}
+    mark = lambda w: F.coalesce(*[F.when(w.isin(*some), k) for k, some in kinds.items()], F.lit(0))
+    marks = F.when(F.arrays_overlap("__w", F.array(*[F.lit(w) for some in kinds.values() for w in some])), F.transform("__w", mark))
+    back = lambda i, k: F.coalesce(F.get("__m", i - k), F.lit(0))
+    turned = lambda i: reduce(or_, [back(i, k) == 1 for k in range(1, SCOPE + 1)])
+    factor = lambda i: F.when(turned(i), TURNED).otherwise(1.0) * F.when(back(i, 1) == 2, MORE).when(back(i, 1) == 3, LESS).otherwise(1.0)
+    rows = df.select(F.col(key).alias("__k"), _words(text).alias("__w")).withColumn("__m", marks)
+    rows = rows.withColumn("__f", F.when(F.col("__m").isNotNull(), F.transform("__w", lambda _, i: factor(i))))
+    rows = rows.select("__k", "__f", F.posexplode("__w").alias("__i", "word")).select("__k", "word", F.coalesce(F.get("__f", F.col("__i")), F.lit(1.0)).alias("f"))
+
+    known = lexicon.select("word", F.col("weight").alias("__weight"), F.lit(True).alias("__hit"))
+    common = lexicon.orderBy(*([F.desc("n")] if "n" in lexicon.columns else []), "word").limit(COMMON).select("word", "weight", F.lit(True).alias("__common"))
+    used = rows.join(F.broadcast(common), "word", "left")
+    w = F.col("weight")
+    used = used.groupBy("__k", F.when(F.col("__common").isNull(), F.col("word")).alias("word")).agg(F.count("__common").alias("h"), F.sum(F.col("f") * w).alias("s"), F.sum(F.abs("f") * F.abs(w)).alias("t"), F.count("*").alias("c"), F.sum("f").alias("f"), F.sum(F.abs("f")).alias("g"))
+    # what is known of a text goes with a word that no lexicon has, another one for each text, or all would meet in one task
+    used = used.withColumn("word", F.coalesce("word", F.concat(F.lit(" "), F.col("__k").cast("string"))))
+    hit = used.join(known, "word", "left").where("h > 0 OR __hit")
+    w, or_else = F.col("__weight"), lambda c, x: F.when(F.col("h") > 0, F.col(c)).otherwise(x)
+    per = hit.groupBy("__k").agg(F.sum("c").alias("words"), F.sum(or_else("s", F.col("f") * w)).alias("__s"), F.sum(or_else("t", F.col("g") * F.abs(w))).alias("__t"))
     out = df.select(F.col(key)).join(per, F.col(key) == F.col("__k"), "left")
     return out.select(key, F.coalesce("words", F.lit(0)).alias("words"), F.coalesce(div("__s", "__t"), F.lit(0.0)).alias("sentiment"))
 
