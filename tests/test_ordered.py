@@ -89,3 +89,26 @@ def test_exponential_means_over_batches_equal_pandas(spark, adjust):
         for name, want in (("f", f), ("s", s), ("m", mean(f - s, 4))):
             have = pd.Series([getattr(got[k, t], name) for key, t, _ in rows if key == k], dtype=float)
             pd.testing.assert_series_equal(have, want, check_names=False, rtol=1e-9)
+
+
+def test_rows_of_a_model_are_computed_once(spark):
+    """However often a fit, an elimination or a comparison reads them."""
+    import random
+
+    from tidemark.operators import model
+
+    rng, seen = random.Random(2), spark.sparkContext.accumulator(0)
+    rows = [(a, b, c, 2 * a - b + 0.01 * c) for a, b, c in ([rng.gauss(0, 1) for _ in range(3)] for _ in range(60))]
+
+    def told(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    schema = "a double, b double, c double, target double"
+    df, later = (spark.createDataFrame(r, schema).mapInPandas(told, schema) for r in (rows, rows[:30]))
+    model.fitted(df, ["a", "b", "c"], "ridge")
+    assert seen.value == 60
+    assert model.eliminated(df, ["a", "b", "c"], 1) == ["a"] and seen.value == 120
+    got = drift.score_drop(df, later, ["a", "b", "c"], "target").first()
+    assert got.before > 0.9 and got.after > 0.9 and seen.value == 210

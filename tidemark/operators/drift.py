@@ -122,12 +122,19 @@ def concept_drift(ref: DataFrame, cur: DataFrame, label: str, limit: float = 0.2
 
 
 def score_drop(ref: DataFrame, cur: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", limit: float = 0.1, **how) -> DataFrame:
-    """One row: r2 on both tables of a model that is fitted on the reference, its fall, and whether that is over ``limit``."""
-    from .model import fitted, regression_metrics
+    """One row: r2 on both tables of a model that is fitted on the reference, its fall, and whether that is over ``limit``.
 
-    model = fitted(ref, features, kind, target, **how)
-    of = lambda df: float(regression_metrics(model.transform(df.dropna(subset=[*features, target])), target)["r2"])
-    before, after = of(ref), of(cur)
+    Each table is computed once.
+    """
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from .model import fitted, kept
+
+    names = [*features, target]
+    with kept(ref.dropna(subset=names), names) as known:
+        model = fitted(known, features, kind, target, **how)
+        of = lambda df: float(RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(df)))
+        before, after = of(known), of(cur.dropna(subset=names))
     return ref.sparkSession.createDataFrame([(before, after, before - after, before - after > limit)], "before double, after double, fall double, drifted boolean")
 
 

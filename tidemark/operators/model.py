@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -38,11 +39,22 @@ def estimator(kind: str, target: str = "target", trees: int = 100, seed: int = 4
     return made[kind]()
 
 
+@contextmanager
+def kept(df: DataFrame, columns: Sequence[str]):
+    """These columns of ``df``, computed once for all that is done with them, in executors' memory and on their disks."""
+    d = df.select(*dict.fromkeys(columns)).persist()
+    try:
+        yield d
+    finally:
+        d.unpersist()
+
+
 def fitted(df: DataFrame, features: Sequence[str], kind: str = "linear", target: str = "target", **how) -> PipelineModel:
-    d = df.dropna(subset=[*features, target])
-    if kind == "ridge":
-        how["n"] = d.count()
-    return _stages(features, estimator(kind, target, **how)).fit(d)
+    """A fit reads the rows several times; they are computed once."""
+    with kept(df.dropna(subset=[*features, target]), [*features, target]) as d:
+        if kind == "ridge":
+            how["n"] = d.count()
+        return _stages(features, estimator(kind, target, **how)).fit(d)
 
 
 def importance(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
@@ -112,9 +124,10 @@ def cross_validated(df: DataFrame, features: Sequence[str], time: str, kind: str
 def eliminated(df: DataFrame, features: Sequence[str], keep: int, kind: str = "ridge", target: str = "target", **how) -> list[str]:
     """Recursive elimination: the least important feature goes until ``keep`` are left."""
     left = list(features)
-    while len(left) > keep:
-        worth = importance(fitted(df, left, kind, target, **how), left)
-        left.remove(min(left, key=lambda c: (worth[c], c)))
+    with kept(df, [*features, target]) as d:
+        while len(left) > keep:
+            worth = importance(fitted(d, left, kind, target, **how), left)
+            left.remove(min(left, key=lambda c: (worth[c], c)))
     return left
 
 
@@ -122,7 +135,8 @@ def importance_stability(df: DataFrame, features: Sequence[str], target: str = "
     """Mean over deviation of each feature's forest importance on random halves."""
     import numpy as np
 
-    rows = [list(importance(fitted(df.where(F.pmod(F.xxhash64(*features, F.lit(seed + i)), F.lit(2)) == 0), features, "forest", target, trees=trees, seed=seed), features).values()) for i in range(splits)]
+    with kept(df, [*features, target]) as d:
+        rows = [list(importance(fitted(d.where(F.pmod(F.xxhash64(*features, F.lit(seed + i)), F.lit(2)) == 0), features, "forest", target, trees=trees, seed=seed), features).values()) for i in range(splits)]
     x = np.array(rows)
     return dict(zip(features, map(float, x.mean(0) / (x.std(0) + 1e-12)), strict=True))
 
