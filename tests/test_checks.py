@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,22 @@ def test_reports_of_issues(spark):
     got = {r.field: r for r in quality.field_issues(q, ["p"], ["v"], F.col("susp")).collect()}
     assert (got["p"].nulls, got["p"].zeros, got["p"].placeholders, got["p"].negatives, got["p"].nulls_pct) == (1, 1, 1, 2, 25.0)
     assert (got["v"].zeros, got["v"].rows) == (2, 4)
+
+
+def test_described_quantiles_are_exact_and_in_no_one_buffer(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"x": rng.normal(size=2003), "few": rng.integers(0, 4, 2003).astype(float), "same": 7.5})
+    pdf.loc[rng.random(2003) < 0.1, "x"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "x double, few double, same double").withColumn("none", F.lit(None).cast("double")).repartition(5)
+    names = ["x", "few", "same", "none"]
+    for d in (quality.described(df, names), quality.consistency(df, names)):
+        assert "percentile(" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {r.column_name: r for r in quality.described(df, names).collect()}
+    for c in names[:3]:
+        want = pdf[c].quantile([0.25, 0.5, 0.75])
+        np.testing.assert_allclose([got[c].q25, got[c].median, got[c].q75], want, rtol=1e-12)
+        assert got[c]["count"] == pdf[c].count() and got[c].max == pdf[c].max()
+    assert got["none"]["count"] == 0 and got["none"].median is None
+    found = {r.column_name: r.outliers for r in quality.consistency(df, names).collect()}
+    q = pdf.x.quantile([0.25, 0.75]).tolist()
+    assert found == {"x": int(((pdf.x < q[0] - 1.5 * (q[1] - q[0])) | (pdf.x > q[1] + 1.5 * (q[1] - q[0]))).sum()), "few": 0, "same": 0, "none": 0}

@@ -37,6 +37,25 @@ def running_sums(df: DataFrame, by: Sequence[str], x: str, sums: dict[str, Colum
     return df.withColumns(out | {"__next": F.coalesce(F.lead(x).over(w), F.col("__later"))}).drop("__bucket", "__later", *own)
 
 
+def quantiles(counts: DataFrame, by: Sequence[str], x: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): exact quantiles of values x that each occur n times, linear between neighbours. x are distinct within ``by``.
+
+    A quantile lies at a place among all values; only the rows whose occurrences reach the place or the one after it are
+    brought together.
+    """
+    total = counts.groupBy(*by).agg(F.sum(n).alias("__total"))
+    run = running_sums(counts, by, x, {"__upto": n}).join(F.broadcast(total), list(by))
+    aggs = {}
+    for name, share in shares.items():
+        place = (F.col("__total") - 1) * F.lit(float(share))  # counted from 0
+        low, part = F.floor(place), place - F.floor(place)
+        at = F.col("__upto") > low
+        here = F.when(at & (F.col("__upto") - F.col(n) <= low), F.col(x))
+        after = F.when(F.col("__upto") > low + 1, F.col(x)).otherwise(F.col("__next"))
+        aggs[name] = F.max(F.when(here.isNotNull(), F.when((part == 0) | (after == here), here).otherwise(here * (1 - part) + after * part)))
+    return run.groupBy(*by).agg(*[c.alias(name) for name, c in aggs.items()])
+
+
 def by_day(df: DataFrame, time: str, calendar: DataFrame, day: str, columns: Sequence[str]) -> DataFrame:
     """``df`` with what the calendar's days say of the date in ``time``: some of at, before, after (days) and number (of days so far).
 

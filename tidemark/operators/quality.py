@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import quantiles
 from ..functions.panel import Panel, div
 
 #: Values that stand for missing in the vendor's tables.
@@ -209,7 +210,7 @@ def validation_report(df: DataFrame, p: Panel, required: Sequence[str], columns:
 
 def consistency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, outliers, negatives, zero_share): beyond 1.5 interquartile ranges, under zero, zero."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{c}") for c in columns])
+    q = _quantiles(df, columns, {"a": 0.25, "b": 0.75}).agg(*[F.max(F.when(F.col("column_name") == c, F.array("a", "b"))).alias(f"__{c}") for c in columns])  # a row for each column
     d = df.join(F.broadcast(q), how="cross")  # one row
     out = lambda c: (F.col(c) < F.col(f"__{c}")[0] - 1.5 * (F.col(f"__{c}")[1] - F.col(f"__{c}")[0])) | (F.col(c) > F.col(f"__{c}")[1] + 1.5 * (F.col(f"__{c}")[1] - F.col(f"__{c}")[0]))
     one = d.agg(*[F.struct(F.lit(c).alias("column_name"), F.count_if(out(c)).alias("outliers"), F.count_if(F.col(c) < 0).alias("negatives"), F.avg((F.col(c) == 0).cast("double")).alias("zero_share")).alias(f"r{i}") for i, c in enumerate(columns)])
@@ -227,10 +228,19 @@ def cross_columns(df: DataFrame, h: str, low: str, total: str | None = None, par
     return df.agg(*aggs, *([F.count_if(F.col(total) < F.col(part)).alias("total_under_part")] if total and part else []))
 
 
+def _quantiles(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> DataFrame:
+    """(column_name, one column for each share): exact quantiles of every column that has values."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*").where("x IS NOT NULL")
+    return quantiles(rows.groupBy("column_name", "x").agg(F.count("*").alias("n")), ["column_name"], "x", "n", names)
+
+
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, count, mean, std, min, q25, median, q75, max) with exact quantiles."""
-    stat = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.75).alias("q75"), F.max(c).cast("double").alias("max"))
-    return df.agg(*[stat(c).alias(f"r{i}") for i, c in enumerate(columns)]).select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(columns))])).alias("r")).select("r.*")
+    """(column_name, count, mean, std, min, q25, median, q75, max) with exact quantiles (linear), from counts of distinct values in order."""
+    moments = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    one = df.agg(*[moments(c).alias(f"r{i}") for i, c in enumerate(columns)]).select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(columns))])).alias("r")).select("r.*")
+    names = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    got = _quantiles(df, columns, names)
+    return one.join(F.broadcast(got), "column_name", "left").select("column_name", "count", "mean", "std", "min", *names, "max")  # a row for each column
 
 
 def assert_before(df: DataFrame, day: str, as_of: str) -> DataFrame:
