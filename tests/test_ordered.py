@@ -112,3 +112,29 @@ def test_rows_of_a_model_are_computed_once(spark):
     assert model.eliminated(df, ["a", "b", "c"], 1) == ["a"] and seen.value == 120
     got = drift.score_drop(df, later, ["a", "b", "c"], "target").first()
     assert got.before > 0.9 and got.after > 0.9 and seen.value == 210
+
+
+def test_both_periods_of_a_score_drop_come_from_rows_computed_once(spark, monkeypatch):
+    import random
+
+    from tidemark.queries import audit, models
+
+    rng, seen = random.Random(3), spark.sparkContext.accumulator(0)
+    rows = []
+    for i in range(120):
+        x = [rng.gauss(0, 1) for _ in models.FEATURES]
+        rows.append((dt.date(1997 + i % 2, 1 + i % 12, 1 + i % 28), *x, sum(x) * (1 if i % 2 == 0 else -1)))
+    schema = ", ".join(["d date", *(f"{c} double" for c in models.FEATURES), "target double"])
+
+    def told(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(models, "frame", lambda spark, sf: spark.createDataFrame(rows, schema).mapInPandas(told, schema))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = audit.score_drop(spark, "").first()
+    assert seen.value == len(rows) and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    plain = spark.createDataFrame(rows, schema)
+    want = drift.score_drop(plain.where("year(d) < 1998"), plain.where("year(d) >= 1998"), models.FEATURES, "target").first()
+    assert (got.before, got.after, got.fall) == pytest.approx((want.before, want.after, want.fall), abs=1e-4) and got.drifted is want.drifted is True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, drift, quality
+from ..operators import clean, drift, model, quality
 from .base import BARS, MONTH_BARS, P, W, bars, month_bars, query, read, rounded, steps
 
 HOLES = BARS + ", x AS (SELECT secu, d, CASE WHEN day(d) % 7 = 3 THEN NULL ELSE c END AS c, CASE WHEN day(d) % 5 = 1 THEN NULL ELSE v END AS v, CASE WHEN day(d) % 11 = 3 THEN NULL ELSE amt END AS amt FROM b)"
@@ -120,11 +120,11 @@ def concept_drift(spark, sf):
 
 @query()
 def score_drop(spark, sf):
-    """A model's fall from the first years to the later ones."""
+    """A model's fall from the first years to the later ones. Both are cut from rows that are computed once."""
     from .models import FEATURES, frame
 
-    d = frame(spark, sf)
-    return rounded(drift.score_drop(d.where("year(d) < 1998"), d.where("year(d) >= 1998"), FEATURES, "target"), 4)
+    with model.kept(frame(spark, sf), ["d", *FEATURES, "target"]) as d:
+        return rounded(drift.score_drop(d.where("year(d) < 1998"), d.where("year(d) >= 1998"), FEATURES, "target"), 4)
 
 
 @query()
